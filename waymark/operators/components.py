@@ -32,14 +32,15 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     mark = None
     while True:
         both = now_df.select("u", "v").union(now_df.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("n")).select("u", F.least("u", "n").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        # minima are written, so that both sides of the join are shuffled and hot nodes can be split
+        least = Written(both.groupBy("u").agg(F.min("v").alias("n")).select("u", F.least("u", "n").alias("m")), "minima")
+        large = both.join(least.df, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         step = Written(large, "components")
-        least = step.df.groupBy("u").agg(F.min("v").alias("m"))
-        small = step.df.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct()
+        lower = Written(step.df.groupBy("u").agg(F.min("v").alias("m")), "minima")
+        small = step.df.join(lower.df, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(lower.df.select("u", F.col("m").alias("v"))).distinct()
         after = Written(small, "components")
-        step.drop()
-        now.drop()
+        for done in (least, step, lower, now):
+            done.drop()
         now, now_df = after, after.df
         seen, mark = mark, _mark(now_df)
         if seen == mark or mark[0] == 0:
