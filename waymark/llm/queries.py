@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import packing, sentencepiece, tokenfile, vocab
+from waymark.llm import neardup, packing, sentencepiece, substring, tokenfile, vocab
 
 #: Where the vocabulary files are; a cluster may hold them elsewhere.
 TOKENIZERS = os.environ.get("WAYMARK_TOKENIZERS", os.path.dirname(public_tokenizers.path("word_bpe_49k.json")))
@@ -28,6 +28,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary, end_id=1, capacity=4096)
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=2, similarity=0.8)
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = sentencepiece.read_model(vocabulary_file("piece_bpe_32k.model"))
     coded = sentencepiece.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
@@ -35,6 +39,11 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), size=13, join_all=True)
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = vocab.read_vocabulary(vocabulary_file("byte_bpe_50k.json"))
     manifest = tokenfile.write_tokens(table(spark, sf_dir, "documents"), vocabulary, end_id=2)
@@ -43,7 +52,9 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op5_sentencepiece": op5_sentencepiece,
+    "op8_substring_dedup": op8_substring_dedup,
     "op10_token_output": op10_token_output,
 }
 
