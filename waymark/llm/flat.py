@@ -78,6 +78,11 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = P
             i = j
 
 
+def lower_case(raw: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z lower-cased."""
+    return _LOWER[raw]
+
+
 @dataclass
 class Words:
     """Words of a batch: hash, row, and byte range in ``data`` of each."""
@@ -111,6 +116,16 @@ def words(raw: np.ndarray, off: np.ndarray, lower: bool) -> Words:
     return Words(data, h, row, s, e, first)
 
 
+def hashes(data: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of words given one after another, equal to those of ``words``."""
+    up, down = powers(_P, len(data))
+    run = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE[data] * up[: len(data)], out=run[1:])
+    e = np.cumsum(size)
+    s = e - size
+    return mix((run[e] - run[s]) * down[s] + size.astype(np.uint64))
+
+
 def windows(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each run of ``size`` words of one row, and the index of its first word."""
     n = len(w.hash)

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from waymark.llm.flat import buffers, ranges
 from waymark.llm.flat import pieces as cut
 from waymark.llm.vocab import encoder
 from waymark.storage import materialize
@@ -190,14 +191,20 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> Da
 def _encode(vocabulary, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = encoder(vocabulary.value)
-        end = np.array([end_id], "<u4").tobytes()
         for b in cut(batches):
-            rows = []
-            for doc, ids in zip(b.column("doc_id").to_pylist(), codes.encode(b.column("text").to_pylist()), strict=True):
-                ids += end
-                rows += [(doc, k, s // 4, min(capacity, (len(ids) - s) // 4), zlib.crc32(ids[s : s + 4 * capacity])) for k, s in enumerate(range(0, len(ids), 4 * capacity))]
-            doc, piece, start, length, crc = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            flat, count = codes.encode(*buffers(b.column("text")))
+            flat = np.insert(flat.astype("<u4"), np.cumsum(count), end_id)
+            count = count + 1
+            parts = -(-count // capacity)
+            row = np.repeat(np.arange(len(count)), parts)
+            piece = ranges(np.zeros(len(parts), np.int64), parts)
+            start = piece * capacity
+            length = np.minimum(capacity, count[row] - start)
+            at = 4 * ((np.cumsum(count) - count)[row] + start)
+            raw = memoryview(flat.tobytes())
+            crc = [zlib.crc32(raw[x:y]) for x, y in zip(at.tolist(), (at + 4 * length).tolist(), strict=True)]
+            doc = b.column("doc_id").take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([doc, pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return run
 

@@ -29,6 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from waymark.llm.flat import buffers
 from waymark.llm.flat import pieces as cut
 from waymark.llm.vocab import encoder
 from waymark.storage import materialize, scratch_path
@@ -78,9 +79,10 @@ class Writer:
         self.waiting = 0
         self.zip = zstandard.ZstdCompressor(level=LEVEL)
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.docs.append(doc_id)
-        self.sizes.append(len(ids))
+    def add(self, doc_ids: list[int | None], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """More documents: their ids one after another, and how many each has."""
+        self.docs += doc_ids
+        self.sizes += sizes.tolist()
         self.held.append(ids)
         self.waiting += len(ids)
         if self.waiting >= self.block:
@@ -177,13 +179,13 @@ class Reader:
 
 def _write(folder: str, vocabulary, end_id: int, bits: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, end, shard = encoder(vocabulary.value), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
+        codes, shard = encoder(vocabulary.value), TaskContext.get().partitionId()
         out, path = None, f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex}.planes"
         for b in cut(batches):
             if out is None:
                 out = Writer(path, bits)
-            for doc, ids in zip(b.column("doc_id").to_pylist(), codes.encode(b.column("text").to_pylist()), strict=True):
-                out.add(doc, np.frombuffer(ids + end, "<u4"))
+            flat, count = codes.encode(*buffers(b.column("text")))
+            out.add(b.column("doc_id").to_pylist(), np.insert(flat, np.cumsum(count), end_id), count + 1)
         if out is not None:
             docs, ids = out.close()
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "path": [path], "n_docs": pa.array([docs], pa.int64()), "n_ids": pa.array([ids], pa.int64())})

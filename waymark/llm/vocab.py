@@ -1,33 +1,57 @@
 """Exact and quick encoding with the ``tokenizers`` library, a segment at a time.
 
-A text is cut where the tokenizer itself always cuts it, each distinct segment
-is encoded once by the library, and a text's ids are the joined ids of its
-segments. Texts with a character at which that might not hold are given to the
-library whole. Files are read by the driver, and their bytes broadcast: each is
-a vocabulary of a few MB.
+The bytes of a whole batch are cut, by masks, where the tokenizer itself always
+cuts. The library encodes each segment that is not remembered, and the ids of
+a batch are gathered from what is remembered. Texts with a character at which
+the cuts might not hold are given to the library whole. Files are read by the
+driver, and their content broadcast: each is a vocabulary of a few MB.
 """
 
 from __future__ import annotations
 
+import itertools
 import os
-import re
 from pathlib import Path
 
 import numpy as np
 
-#: White space that is not ASCII, and separators that libraries treat unlike: fixed values.
-_ODD_SPACE = "\x1c\x1d\x1e\x1f\x85\xa0  -     　᠎​﻿"
-_ODD = re.compile(f"[{_ODD_SPACE}]")
-#: A run of non-space with the blank before it; else a run of space but for its last character; else that one.
-_WITH_BLANK = re.compile(r" ?[^ \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
-_ALONE = re.compile(r"[^ \t-\r]+")
+from waymark.llm.flat import lower_case, mix, powers, ranges
+
+_P = 0xA24BAED4963EE407
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_STOP = np.zeros(256, bool)
+_STOP[list(b".,!?;:")] = True
+_BYTE = np.random.default_rng(77003).integers(1, 2**64, 256, dtype=np.uint64)
+
+#: White space that is not ASCII, and separators that libraries treat unlike.
+_ODD = "\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff"
+_ODD_CODES = np.array(sorted(int.from_bytes(c.encode(), "big") for c in _ODD), np.int64)
+_ODD_LEAD = np.zeros(256, np.int64)
+for _c in _ODD:
+    _ODD_LEAD[_c.encode()[0]] = len(_c.encode())
+
+
+def _odd_places(data: np.ndarray) -> np.ndarray:
+    """Positions of the characters of _ODD."""
+    at = np.flatnonzero(_ODD_LEAD[data])
+    size = _ODD_LEAD[data[at]]
+    code = np.zeros(len(at), np.int64)
+    for k in range(3):
+        more = size > k
+        code[more] = (code[more] << 8) | data[np.minimum(at[more] + k, len(data) - 1)]
+    return at[np.isin(code, _ODD_CODES)]
 
 
 class Encoder:
-    """Ids of texts, as little-endian unsigned 32-bit integers."""
+    """Ids of texts. Remembers segments in a table of SLOTS places; a newer one takes the place of an older."""
 
-    #: Segments kept; beyond them the store is emptied, so memory is bounded.
-    KEPT = 400_000
+    SLOTS = 1 << 21
+    #: Ids kept for remembered segments; beyond them the table is emptied.
+    IDS = 12_000_000
 
     def __init__(self, vocabulary: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -35,26 +59,108 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.tokenizer.encode_special_tokens = True
-        drops_space = '"Removed"' in vocabulary.replace(" ", "")[:4000]
-        self.find = (_ALONE if drops_space else _WITH_BLANK).findall
-        self.known: dict[str, bytes] = {}
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        whole = {i for i, t in enumerate(texts) if t and _ODD.search(t)}
-        cut = [() if not t or i in whole else self.find(t) for i, t in enumerate(texts)]
-        fresh = list(set().union(*cut).difference(self.known))
-        if fresh and len(self.known) + len(fresh) > self.KEPT:
-            self.known = {}
-            fresh = list(set().union(*cut))
-        self.known.update(zip(fresh, self._library(fresh), strict=True))
-        get = self.known.__getitem__
-        out = [b"".join(map(get, c)) for c in cut]
-        for i in whole:
-            out[i] = self._library([texts[i]])[0]
-        return out
+        # the tokenizer that drops space also lower-cases, so letters A-Z may be lower-cased at once
+        self.drops_space = '"Removed"' in vocabulary[:4000] and '"Lowercase"' in vocabulary[:4000]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.key = np.zeros(self.SLOTS, np.uint64)
+        self.at = np.zeros(self.SLOTS, np.int32)
+        self.size = np.zeros(self.SLOTS, np.int32)
+        self.ids = np.zeros(1 << 20, np.uint32)
+        self.used = 0
+
+    def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        rows = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        size = np.fromiter(map(len, rows), np.int64, len(rows))
+        return np.fromiter(itertools.chain.from_iterable(rows), np.uint32, int(size.sum())), size
+
+    def _segments(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where segments start and end, in order."""
+        n = len(data)
+        solid = ~_SPACE[data]
+        edge = np.zeros(n + 1, bool)
+        edge[off] = True
+        cut = np.zeros(n, bool)
+        cut[1:] = _STOP[data[1:]] & _LETTER[data[:-1]]
+        begin, stop = solid.copy(), solid.copy()
+        begin[1:] &= ~solid[:-1] | edge[1:n] | cut[1:]
+        stop[:-1] &= ~solid[1:] | edge[1:n] | cut[1:]
+        s, e = np.flatnonzero(begin), np.flatnonzero(stop) + 1
+        if self.drops_space:
+            return s, e
+        # a blank goes with the word after it
+        blank = (s > 0) & (data[s - 1] == 0x20) & ~edge[s] if len(s) else np.zeros(0, bool)
+        s = s - blank
+        # of the space that is left, a run before a word is cut before its last character, unless that was the blank
+        loose = ~solid
+        loose[s[blank]] = False
+        first, final = loose.copy(), loose.copy()
+        first[1:] &= ~loose[:-1] | edge[1:n]
+        final[:-1] &= ~loose[1:] | edge[1:n]
+        a, b = np.flatnonzero(first), np.flatnonzero(final) + 1
+        if not len(a):
+            return s, e
+        # a run that a word follows at once, without a blank between, gives its last character up
+        split = (b < n) & ~edge[b] & solid[np.minimum(b, n - 1)] & (b - a > 1)
+        s, e = np.concatenate([s, a, b[split] - 1]), np.concatenate([e, np.where(split, b - 1, b), b[split]])
+        order = np.argsort(s, kind="stable")
+        return s[order], e[order]
+
+    def encode(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all rows, one after another, and how many each has; from the bytes and offsets of a string column."""
+        data, rows = lower_case(raw) if self.drops_space else raw, len(off) - 1
+        n = len(data)
+        s, e = self._segments(data, off)
+        odd = np.unique(np.searchsorted(off[1:], _odd_places(raw), "right")) if n else np.zeros(0, np.int64)
+        if len(odd):
+            keep = ~np.isin(np.searchsorted(off[1:], s, "right"), odd)
+            s, e = s[keep], e[keep]
+        up, down = powers(_P, n)
+        run = np.zeros(n + 1, np.uint64)
+        np.cumsum(_BYTE[data] * up[:n], out=run[1:])
+        h = mix((run[e] - run[s]) * down[s] + (e - s).astype(np.uint64)) | np.uint64(1)
+        slot = (h >> np.uint64(20)).astype(np.int64) & (self.SLOTS - 1)
+        miss = np.flatnonzero(self.key[slot] != h)
+        at, size = self.at[slot].astype(np.int64), self.size[slot].astype(np.int64)
+        if len(miss):
+            distinct, first, which = np.unique(h[miss], return_index=True, return_inverse=True)
+            text = data.tobytes()
+            where = miss[first]
+            fresh, count = self._library([text[x:y].decode() for x, y in zip(s[where].tolist(), e[where].tolist(), strict=True)])
+            if self.used + len(fresh) > self.IDS:
+                # places of this batch's hits must stay valid: they are copied in front
+                hit = np.flatnonzero(self.key[slot] == h)
+                some, one, again = np.unique(h[hit], return_index=True, return_inverse=True)
+                old, place, long = self.ids, at[hit][one], size[hit][one]
+                self._forget()
+                self._keep(some, old[ranges(place, long)], long)
+                at[hit] = (np.cumsum(long) - long)[again]
+            base = self._keep(distinct, fresh, count)
+            at[miss] = (base + np.cumsum(count) - count)[which]
+            size[miss] = count[which]
+        flat = self.ids[ranges(at, size)]
+        total = np.bincount(np.searchsorted(off[1:], s, "right"), weights=size, minlength=rows).astype(np.int64)
+        if len(odd):
+            more, count = self._library([raw[off[i] : off[i + 1]].tobytes().decode() for i in odd])
+            where = np.repeat((np.cumsum(total) - total)[odd], count)
+            flat = np.insert(flat, where, more)
+            total[odd] = count
+        return flat, total
+
+    def _keep(self, h: np.ndarray, ids: np.ndarray, size: np.ndarray) -> int:
+        """Remember segments; where their ids start."""
+        base, need = self.used, self.used + len(ids)
+        if need > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(need - len(self.ids), len(self.ids) // 2), np.uint32)])
+        self.ids[base:need] = ids
+        self.used = need
+        slot = (h >> np.uint64(20)).astype(np.int64) & (self.SLOTS - 1)
+        self.key[slot] = h
+        # of hashes with one slot the last is kept, by each of the three assignments
+        self.at[slot] = base + np.cumsum(size) - size
+        self.size[slot] = size
+        return base
 
 
 _made: dict[int, Encoder] = {}
