@@ -56,3 +56,23 @@ def by_block(h: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray, np.nda
 
 def binary(parts: list[bytes]) -> pa.Array:
     return pa.array(parts, pa.binary())
+
+
+def pack(numbers: np.ndarray) -> bytes:
+    """Mostly small numbers at a byte each; those of 255 or more follow as (place, value)."""
+    large = np.flatnonzero(numbers >= 255)
+    head = np.array([len(large)], "<u4").tobytes() + large.astype("<u4").tobytes() + numbers[large].astype("<i8").tobytes()
+    return head + np.minimum(numbers, 255).astype(np.uint8).tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    n = int(np.frombuffer(data, "<u4", 1)[0])
+    out = np.frombuffer(data, np.uint8, offset=4 + 12 * n).astype(np.int64)
+    out[np.frombuffer(data, "<u4", n, 4)] = np.frombuffer(data, "<i8", n, 4 + 4 * n)
+    return out
+
+
+def unpack_all(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all rows, one after another, and how many each has."""
+    parts = [unpack(x) for x in column.to_pylist()]
+    return np.concatenate([np.zeros(0, np.int64), *parts]), np.array([len(p) for p in parts], np.int64)
