@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import neardup, packing, sentencepiece, substring, tokenfile, vocab
+from waymark.llm import embeddings, lm, neardup, packing, sentencepiece, substring, tokenfile, vocab, warc
 
 #: Where the vocabulary files are; a cluster may hold them elsewhere.
 TOKENIZERS = os.environ.get("WAYMARK_TOKENIZERS", os.path.dirname(public_tokenizers.path("word_bpe_49k.json")))
@@ -28,6 +28,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary, end_id=1, capacity=4096)
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2)
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=2, similarity=0.8)
 
@@ -39,11 +43,23 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substring.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), size=13, join_all=True)
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.write_archives(table(spark, sf_dir, "pages"), least_bytes=0)
+    responses = warc.read_archives(spark, path, payload="response").where("record_type = 'response'")
+    revisits = warc.read_archives(spark, path, payload="none").where("record_type = 'revisit'")
+    length = F.coalesce(F.octet_length("payload"), "payload_bytes").cast("long")
+    return responses.union(revisits).select("page_id", length.alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+
+
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = vocab.read_vocabulary(vocabulary_file("byte_bpe_50k.json"))
     manifest = tokenfile.write_tokens(table(spark, sf_dir, "documents"), vocabulary, end_id=2)
@@ -52,9 +68,12 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op5_sentencepiece": op5_sentencepiece,
+    "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_warc": op9_warc,
     "op10_token_output": op10_token_output,
 }
 
