@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import embeddings, lm, neardup, packing, sentencepiece, substring, tokenfile, vocab, warc
+from waymark.llm import chat, embeddings, lm, neardup, packing, quality, sentencepiece, substring, tokenfile, vocab, warc
 
 #: Where the vocabulary files are; a cluster may hold them elsewhere.
 TOKENIZERS = os.environ.get("WAYMARK_TOKENIZERS", os.path.dirname(public_tokenizers.path("word_bpe_49k.json")))
@@ -36,6 +36,23 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=2, similarity=0.8)
 
 
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = "</s>[INST] ok [/INST]"
+    more = spark.sql(f"SELECT * FROM VALUES (-7L, 0L, 'user', '{tricky}'), (-7L, 1L, 'assistant', '{tricky}') AS t(conv_id, turn, role, text)")
+    read = chat.turns(chat.format_conversations(rows.union(more)))
+    line = lambda t: F.concat(F.coalesce(t["role"], F.lit("")), F.lit("\n"), t["text"], F.lit("\n"))
+    read = read.withColumn("_loss", chat.loss_text(F.col("formatted"), F.col("loss")))
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(F.transform("turns", line), "").cast("binary"), 256).alias("turns_sha256"),
+        F.char_length("_loss").cast("long").alias("loss_chars"),
+        F.sha2(F.col("_loss").cast("binary"), 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = sentencepiece.read_model(vocabulary_file("piece_bpe_32k.model"))
     coded = sentencepiece.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
@@ -43,6 +60,12 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.measured(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base_failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), F.col("rejected_by").isNull().alias("kept"))
+
+
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.9)
 
@@ -70,7 +93,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_lm_scoring": op2_lm_scoring,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op4_chat_formatting": op4_chat_formatting,
     "op5_sentencepiece": op5_sentencepiece,
+    "op6_quality_rules": op6_quality_rules,
     "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_warc": op9_warc,
