@@ -9,9 +9,11 @@
    largest member; no bucket is ever gathered. Pairs whose sketches show that
    they cannot be similar enough go; the others are confirmed on their full sets.
 4. Buckets whose members these links leave in several components are looked at
-   once more: members outside the bucket's main component are paired with all
-   its members (linear in the bucket for each such member). With that, every
-   link between two members of a bucket that matters to the components is found.
+   once more: members outside a bucket's main component are compared with all its
+   members, in tiles of bounded size, by sketches first and then on full sets; a
+   tile gives out one link at most for each member and component. With that,
+   every link between two members of a bucket that matters to the components is
+   found.
 5. Components of the confirmed links.
 """
 
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.flat import buffers, mix, pieces, windows, words
+from waymark.llm.flat import buffers, mix, pieces, ranges, windows, words
 from waymark.operators.components import connected_components
 from waymark.storage import materialize
 
@@ -32,6 +34,8 @@ BANDS, ROWS = 20, 4
 SKETCH_BITS = 256
 #: A pair whose estimate is this far below the threshold is dropped unconfirmed: over five standard errors of BANDS * ROWS samples.
 MARGIN = 0.25
+#: Rows of a tile: members outside the main component, and members they are compared with.
+TILE = (256, 1024)
 
 _RNG = np.random.default_rng(4171)
 _A = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -112,12 +116,49 @@ def _confirm(percent: int):
     return run
 
 
-def _alike(similarity: float, x: str, y: str) -> F.Column:
-    """The sketches' estimate does not rule the similarity out: 1 + n / 4k * ln(1 - 2d / n) >= similarity - MARGIN."""
+def _tile(percent: int, most_apart: int):
+    """Members outside the main component against members of its buckets: one confirmed link to each other component."""
+
+    def run(table: pa.Table) -> pa.Table:
+        asks = table.column("asks").to_numpy()
+        doc, part = table.column("doc_id").to_numpy(), table.column("part").to_numpy()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
+        sketch = np.array(table.column("sketch").to_pylist(), np.int64).view(np.uint64)
+        size = np.array([len(x) for x in sets])
+        others = np.flatnonzero(~asks)
+        flat = np.concatenate([np.zeros(0, np.uint64), *(sets[i] for i in others)])
+        begin = np.cumsum(size[others]) - size[others]
+        a, b = [], []
+        for i in np.flatnonzero(asks):
+            near = np.bitwise_count(sketch[others] ^ sketch[i]).sum(1) <= most_apart
+            near &= (part[others] != part[i]) & (100 * np.minimum(size[others], size[i]) >= percent * np.maximum(size[others], size[i]))
+            k = np.flatnonzero(near)
+            if not len(k):
+                continue
+            n = size[others[k]]
+            with_ = flat[ranges(begin[k], n)]
+            at = np.minimum(np.searchsorted(sets[i], with_), len(sets[i]) - 1)
+            common = np.add.reduceat((sets[i][at] == with_).astype(np.int64), np.cumsum(n) - n)
+            linked = others[k[100 * common >= percent * (n + size[i] - common)]]
+            _, one = np.unique(part[linked], return_index=True)
+            a.append(np.full(len(one), doc[i]))
+            b.append(doc[linked[one]])
+        none = np.zeros(0, np.int64)
+        return pa.table({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b])})
+
+    return run
+
+
+def _most_apart(similarity: float) -> int:
+    """Differing sketch bits that do not rule the similarity out: 1 + n / 4k * ln(1 - 2d / n) >= similarity - MARGIN."""
     least = similarity - MARGIN
-    most = SKETCH_BITS / 2 * (1 - np.exp((least - 1) * 4 * BANDS * ROWS / SKETCH_BITS))
+    return int(np.ceil(SKETCH_BITS / 2 * (1 - np.exp((least - 1) * 4 * BANDS * ROWS / SKETCH_BITS))))
+
+
+def _alike(similarity: float, x: str, y: str) -> F.Column:
+    """The sketches' estimate does not rule the similarity out."""
     apart = sum((F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(1, SKETCH_BITS // 64)), F.bit_count(F.col(x)[0].bitwiseXOR(F.col(y)[0])))
-    return apart <= int(np.ceil(most))
+    return apart <= _most_apart(similarity)
 
 
 def links(docs: DataFrame, size: int, similarity: float) -> tuple[DataFrame, DataFrame]:
@@ -153,11 +194,18 @@ def links(docs: DataFrame, size: int, similarity: float) -> tuple[DataFrame, Dat
     main = sizes.groupBy("bucket").agg(F.max_by("part", F.struct("n", -F.col("part"))).alias("main"), F.count("*").alias("parts"), F.sum("n").alias("n"))
     main = materialize(main.where("parts > 1 AND n > 2").select("bucket", "main"), "main")
     torn = materialize(placed.join(main, "bucket"), "torn")
-    outside = torn.where("part <> main").select("bucket", "main", F.col("doc_id").alias("c"), F.col("sketch").alias("x"), F.col("part").alias("pc"))
-    rest = torn.select("bucket", F.col("doc_id").alias("d"), F.col("sketch").alias("y"), F.col("part").alias("pd"))
-    rest = outside.join(rest, (outside["bucket"] == rest["bucket"]) & (F.col("pc") != F.col("pd")) & ((F.col("c") < F.col("d")) | (F.col("pd") == F.col("main"))) & _alike(similarity, "x", "y"))
-    rest = rest.select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    return signed, first.union(confirmed(rest, "links"))
+    again = torn.groupBy("main", "doc_id").agg(F.min("part").alias("part"), F.first("sketch").alias("sketch")).join(sets, "doc_id")
+    again = materialize(again.withColumn("outside", F.col("part") != F.col("main")), "again")
+    size_of = F.octet_length("shingles")
+    chunks = lambda some, rows, mb: F.greatest(F.ceil(F.count_if(some) / rows), F.ceil(F.sum(F.when(some, size_of)) / (mb << 20))).cast("int")
+    cut = again.groupBy("main").agg(chunks(F.col("outside"), TILE[0], 2).alias("no"), chunks(F.lit(True), TILE[1], 8).alias("nm"))
+    cut = again.join(materialize(cut, "tiles"), "main")
+    spread = F.xxhash64("doc_id")
+    each = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    asked = cut.where("outside").select("*", F.pmod(spread, "no").cast("int").alias("o"), F.explode(each("nm")).alias("m"), F.lit(True).alias("asks"))
+    asked = asked.union(cut.select("*", F.explode(each("no")).alias("o"), F.pmod(spread, "nm").cast("int").alias("m"), F.lit(False).alias("asks")))
+    rest = asked.select("main", "o", "m", "asks", "doc_id", "part", "sketch", "shingles").groupBy("main", "o", "m").applyInArrow(_tile(percent, _most_apart(similarity)), "a long, b long")
+    return signed, first.union(materialize(rest, "links"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
