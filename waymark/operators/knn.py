@@ -82,8 +82,9 @@ def similar_pairs(vectors: DataFrame, threshold: float, *, id_col: str = "id", v
 
 def candidates(records: DataFrame, k: int, features: tuple[str, ...], id_col: str = "id", by: str | None = None) -> DataFrame:
     """``(id, candidate)``, with ``g`` if ``by``: the union over features of each record's k nearest, without itself."""
-    found = None
-    for f in features:
-        hits = knn_join(records, records, k, q_id=id_col, b_id=id_col, q_vec=f, b_vec=f, by=by).where("id <> neighbor").drop("similarity", "rank").withColumnRenamed("neighbor", "candidate")
-        found = hits if found is None else found.unionByName(hits)
-    return found.distinct()
+    kinds = F.explode(F.array(*(F.struct(F.lit(f"{i}|").alias("kind"), F.col(f).cast("array<double>").alias("feature")) for i, f in enumerate(features))))
+    group = F.col(by).cast("string") if by else F.lit("")
+    long = records.select(group.alias("g"), F.col(id_col).alias("id"), kinds.alias("k")).select(F.concat("k.kind", "g").alias("kg"), "id", "k.feature")
+    hits = knn_join(long, long, k, by="kg").where("id <> neighbor")
+    found = hits.select(F.regexp_replace("g", r"^\d+\|", "").alias("g"), "id", F.col("neighbor").alias("candidate")).distinct()
+    return found if by else found.drop("g")

@@ -31,12 +31,13 @@ def decode(raw: DataFrame) -> DataFrame:
 
 
 def project(records: DataFrame, feature: str, dimension: int = DIMENSION) -> DataFrame:
-    """``records`` with the feature centred and projected on its principal components, fitted on all rows that have it."""
+    """``records`` with the feature centred and projected on its principal components, fitted on all rows that have it; as it is if fewer than two have."""
     has = records.where(F.col(feature).isNotNull())
     first = has.select(F.size(feature).alias("n")).first()
-    if first is None:
+    rows = has.limit(max(2, dimension)).count()
+    if rows < 2:
         return records
-    k = max(1, min(dimension, first["n"], has.limit(dimension).count()))
+    k = min(dimension, first["n"], rows)
     vectors = records.withColumn("_v", F.when(F.col(feature).isNotNull(), array_to_vector(F.col(feature).cast("array<double>"))))
     some = vectors.where("_v IS NOT NULL")
     scaler = StandardScaler(withMean=True, withStd=False, inputCol="_v", outputCol="_c").fit(some)
