@@ -50,6 +50,32 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return up[: n + 1], down[: n + 1]
 
 
+#: Values that one running sum covers; it bounds the tables of powers and the sums in memory.
+SPAN = 1 << 18
+
+
+def span_hashes(values: np.ndarray, s: np.ndarray, e: np.ndarray, base: int, table: np.ndarray | None = None) -> np.ndarray:
+    """Polynomial of values[s:e] for each of many spans in ascending order, which may overlap; not finalised.
+
+    values are 64-bit, or numbers of rows of ``table``. Spans are taken by
+    stretches, each by one running sum; a longer span than SPAN is one stretch.
+    """
+    out = np.empty(len(s), np.uint64)
+    i = 0
+    while i < len(s):
+        lo = int(s[i])
+        j = max(i + 1, int(np.searchsorted(e, lo + SPAN, "right")))
+        n = int(e[j - 1]) - lo
+        up, down = powers(base, n)
+        part = values[lo : lo + n]
+        run = np.zeros(n + 1, np.uint64)
+        np.cumsum((part if table is None else table[part]) * up[:n], out=run[1:])
+        first = s[i:j] - lo
+        out[i:j] = (run[e[i:j] - lo] - run[first]) * down[first]
+        i = j
+    return out
+
+
 def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (rows + 1, from 0) of a string column; null: empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -107,10 +133,7 @@ def words(raw: np.ndarray, off: np.ndarray, lower: bool) -> Words:
     begin[1:] &= ~solid[:-1] | edge[1:n]
     stop[:-1] &= ~solid[1:] | edge[1:n]
     s, e = np.flatnonzero(begin), np.flatnonzero(stop) + 1
-    up, down = powers(_P, n)
-    run = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[:n], out=run[1:])
-    h = mix((run[e] - run[s]) * down[s] + (e - s).astype(np.uint64))
+    h = mix(span_hashes(data, s, e, _P, _BYTE) + (e - s).astype(np.uint64))
     row = np.searchsorted(off[1:], s, "right")
     first = np.searchsorted(row, np.arange(rows + 1))
     return Words(data, h, row, s, e, first)
@@ -118,12 +141,8 @@ def words(raw: np.ndarray, off: np.ndarray, lower: bool) -> Words:
 
 def hashes(data: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Hashes of words given one after another, equal to those of ``words``."""
-    up, down = powers(_P, len(data))
-    run = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=run[1:])
     e = np.cumsum(size)
-    s = e - size
-    return mix((run[e] - run[s]) * down[s] + size.astype(np.uint64))
+    return mix(span_hashes(data, e - size, e, _P, _BYTE) + size.astype(np.uint64))
 
 
 def windows(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -131,12 +150,8 @@ def windows(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(w.hash)
     if n < size:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    up, down = powers(_Q, n)
-    run = np.zeros(n + 1, np.uint64)
-    np.cumsum(w.hash * up[:n], out=run[1:])
-    h = mix((run[size:] - run[:-size]) * down[: n - size + 1])
     at = np.flatnonzero(w.row[: n - size + 1] == w.row[size - 1 :])
-    return h[at], at
+    return mix(span_hashes(w.hash, at, at + size, _Q)), at
 
 
 def ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:

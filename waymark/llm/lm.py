@@ -4,9 +4,8 @@ A document is its words, A-Z lower-cased, and an end. The tree has two storeys.
 
 Words: the context of a word is the word before it (none at the start). A
 context stays in the tree if its next-word distribution diverges from the
-suffix's, here the root's, by more than its parameters cost. The distribution of
-one that stays is smoothed towards the root's, by as much weight as it has
-distinct next words; the root's is the corpus's, smoothed towards spellings.
+suffix's, here the root's, so far that it predicts better, and is smoothed
+towards the root's; the root's is the corpus's, smoothed towards spellings.
 
 Spellings: the symbols of a word are its bytes and a closing blank, the contexts
 up to DEPTH symbols that reach back to the word's start at most. A context with
@@ -103,17 +102,33 @@ def _send(blocks: int):
     return run
 
 
-def _retained(context: np.ndarray, follower: np.ndarray, n: np.ndarray, total: np.ndarray) -> np.ndarray:
-    """Distinct next words of each context that stays, 0 of others; from pairs with n > 0.
+def _weights(context: np.ndarray, follower: np.ndarray, n: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """How much the root's distribution weighs in each context that stays, 0 of others; from pairs with n > 0.
 
-    Divergence test: the gain in log likelihood over the root's distribution, which
-    is taken from all pairs of the block, against half a log for each parameter.
+    Smoothing: the share of next words that are new is estimated by the share of
+    those seen once, pulled towards that of all contexts of the block that are
+    about as frequent; for a context seen once, from the contexts seen twice.
+    Divergence test: a context stays if, leaving each use out in turn, the others
+    predict it better than the root's distribution does, which is taken from all
+    pairs of the block.
     """
-    kinds = np.bincount(context, minlength=len(total))
+    if not len(n):
+        return np.zeros(len(total))
+    kinds, once = np.bincount(context, minlength=len(total)), np.bincount(context[n == 1], minlength=len(total))
+    size = np.log2(np.maximum(total, 1)).astype(np.int64)
+    pooled = (np.bincount(size, weights=once) + 1) / (np.bincount(size, weights=total) + 2)
+    twice = total == 2
+    first = ((kinds[twice] == 2).sum() + 1) / (twice.sum() + 2)
+    new = np.where(total > 1, (once + 2 * pooled[size]) / (total + 2), first)
+    new = np.clip(new, 0.001, 0.999)
+    weight = np.maximum(total, 1) * new / (1 - new)
     root = np.bincount(follower, weights=n)
-    gain = n * np.log(n / total[context] * n.sum() / root[follower]) if len(n) else np.zeros(0)
+    p, w, t = root[follower] / n.sum(), weight[context], total[context]
+    gain = n * (np.log((n - 1 + w * p) / (t - 1 + w)) - np.log(p))
+    alone = t == 1
+    gain[alone] = (1 - first) * np.log((1 + w[alone] * p[alone]) / (1 + w[alone]) / p[alone]) + first * np.log(w[alone] / (1 + w[alone]))
     gain = np.bincount(context, weights=gain, minlength=len(total))
-    return np.where(gain > 0.5 * kinds * np.log(total + 1), kinds, 0)
+    return np.where(gain > 0, weight, 0.0)
 
 
 def _count(table: pa.Table) -> pa.Table:
@@ -134,7 +149,7 @@ def _count(table: pa.Table) -> pa.Table:
     pair_total = np.bincount(pair, weights=pair_count, minlength=len(distinct)).astype(np.int64)
     used = pair_total > 0
     _, follower = np.unique(next_hash[one[used]], return_inverse=True)
-    weight = _retained(context[one[used]], follower, pair_total[used], np.bincount(context[one], weights=pair_total, minlength=len(total)).astype(np.int64))
+    weight = _weights(context[one[used]], follower, pair_total[used], np.bincount(context[one], weights=pair_total, minlength=len(total)).astype(np.int64))
     cut, cut_pairs = np.cumsum(each)[:-1], np.cumsum(pairs)[:-1]
     seen = np.flatnonzero(total > 0)
     begin = (np.cumsum(size) - size)[first[seen]]
@@ -145,7 +160,7 @@ def _count(table: pa.Table) -> pa.Table:
         "_bucket": [*bucket, None],
         "block": [block] * (n + 1),
         "counts": [*map(pack, np.split(total[which], cut)), None],
-        "weights": [*map(pack, np.split(weight[which], cut)), None],
+        "weights": [*(w.astype("<f4").tobytes() for w in np.split(weight[which], cut)), None],
         "next_counts": [*map(pack, np.split(pair_total[pair], cut_pairs)), None],
         "sizes": [None] * n + [pack(size[first[seen]])],
         "words": [None] * n + [data[ranges(begin, size[first[seen]])].tobytes()],
@@ -293,7 +308,7 @@ def _score(model, blocks: int, tokens: int, known: int):
         order = np.argsort(answers.column("block").to_numpy())
         answers = answers.take(pa.array(order))
         count, _ = unpack_all(answers.column("counts"))
-        weight, _ = unpack_all(answers.column("weights"))
+        weight = np.frombuffer(b"".join(answers.column("weights").to_pylist()), "<f4").astype(np.float64)
         pair_count, _ = unpack_all(answers.column("next_counts"))
         base = np.log10((count + 1) / (tokens + known + 1))
         # the root: a token's share of the corpus, smoothed by its spelling's probability, by the weight of the distinct tokens

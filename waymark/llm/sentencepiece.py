@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-from waymark.llm.flat import mix, pieces, powers, ranges
+from waymark.llm.flat import mix, pieces, ranges, span_hashes
 
 SPACE = 0x2581
 _NONE = np.int64(2**40)
@@ -165,10 +165,7 @@ class PieceModel:
             edge[begin] = True
             s = np.flatnonzero(edge)
             size = np.diff(np.r_[s, len(code)])
-            up, down = powers(_P, len(code))
-            run = np.zeros(len(code) + 1, np.uint64)
-            np.cumsum(mix(code.astype(np.uint64) + np.uint64(1)) * up[: len(code)], out=run[1:])
-            h = mix((run[s + size] - run[s]) * down[s] + size.astype(np.uint64))
+            h = mix(span_hashes(mix(code.astype(np.uint64) + np.uint64(1)), s, s + size, _P) + size.astype(np.uint64))
             _, one, which = np.unique(h, return_index=True, return_inverse=True)
             c = code[ranges(s[one], size[one])]
             sym = self.char[c].astype(np.int64)
@@ -241,7 +238,7 @@ def encode(docs: DataFrame, model: bytes, text: str = "text") -> DataFrame:
 def _decode(model, ids: str, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _model(model.value)
-        for b in pieces(batches, ids, 8 << 20):
+        for b in pieces(batches, ids, 2 << 20):
             rows = b.column(b.schema.get_field_index(ids)).to_pylist()
             flat = np.frombuffer(b"".join(r or b"" for r in rows), "<u4").astype(np.int64)
             count = np.array([len(r or b"") // 4 for r in rows], np.int64)

@@ -15,7 +15,7 @@ from pathlib import Path
 
 import numpy as np
 
-from waymark.llm.flat import lower_case, mix, powers, ranges
+from waymark.llm.flat import lower_case, mix, ranges, span_hashes
 
 _P = 0xA24BAED4963EE407
 
@@ -116,17 +116,13 @@ class Encoder:
         if len(odd):
             keep = ~np.isin(np.searchsorted(off[1:], s, "right"), odd)
             s, e = s[keep], e[keep]
-        up, down = powers(_P, n)
-        run = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[data] * up[:n], out=run[1:])
-        h = mix((run[e] - run[s]) * down[s] + (e - s).astype(np.uint64)) | np.uint64(1)
+        h = mix(span_hashes(data, s, e, _P, _BYTE) + (e - s).astype(np.uint64)) | np.uint64(1)
         slot = (h >> np.uint64(20)).astype(np.int64) & (self.SLOTS - 1)
         miss = np.flatnonzero(self.key[slot] != h)
         at, size = self.at[slot].astype(np.int64), self.size[slot].astype(np.int64)
         if len(miss):
             distinct, first, which = np.unique(h[miss], return_index=True, return_inverse=True)
-            text = data.tobytes()
-            where = miss[first]
+            where, text = miss[first], data.tobytes()
             fresh, count = self._library([text[x:y].decode() for x, y in zip(s[where].tolist(), e[where].tolist(), strict=True)])
             if self.used + len(fresh) > self.IDS:
                 # places of this batch's hits must stay valid: they are copied in front
