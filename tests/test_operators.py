@@ -245,3 +245,36 @@ def test_other_files(spark, tmp_path):
     assert rows(sources.read_map_document(spark, str(tmp_path / "m.json"))) == [(1, 3.0, 4.0)]
     sources.fan_out(spark.range(4), {str(tmp_path / "even"): F.col("id") % 2 == 0, str(tmp_path / "all"): F.lit(True)})
     assert (spark.read.json(str(tmp_path / "even")).count(), spark.read.json(str(tmp_path / "all")).count()) == (2, 4)
+
+
+def test_simplify(spark):
+    # a one-way chain 1-2-3-4, a two-way chain 4-5-6, a branch at 4, a ring 20-21-22, a loop at 1
+    e = spark.createDataFrame([(1, 2, 1.0), (2, 3, 2.0), (3, 4, 3.0), (4, 5, 1.0), (5, 4, 1.5), (5, 6, 2.0), (6, 5, 2.5), (4, 7, 9.0), (20, 21, 1.0), (21, 22, 1.0), (22, 20, 1.0), (1, 1, 0.5)], "u long, v long, length double")
+    got = rows(graph.simplify(e))
+    assert got == [(1, 1, 0.5), (1, 4, 6.0), (4, 6, 3.0), (4, 7, 9.0), (6, 4, 4.0), (20, 21, 1.0), (21, 22, 1.0), (22, 20, 1.0)]
+
+
+def test_streamed_clusters(spark, tmp_path):
+    from waymark.streaming.clusters import cluster_stream
+    from waymark.streaming.counts import run_available, stream_table
+
+    camera_records(spark).coalesce(1).write.parquet(str(tmp_path / "a"))
+    more = camera_records(spark).where("record_id <= 2").withColumn("record_id", F.col("record_id") + 10)
+    more.coalesce(1).write.mode("append").parquet(str(tmp_path / "a"))
+    got = rows(run_available(cluster_stream(stream_table(spark, str(tmp_path / "a")), 0.85), "stream-clusters"))
+    of = {r: c for _, r, c in got}
+    assert len(of) == 8
+    assert of[1] == of[2] == of[11] == of[12]
+    assert of[3] == of[4] != of[1]
+    assert of[6] == 6
+
+
+def test_metrics(spark, tmp_path):
+    from waymark import metrics
+
+    metrics.log_to(str(tmp_path / "log"))
+    df, seen = metrics.counted(spark.range(5), "n")
+    with metrics.stage("count", "0-1"):
+        df.collect()
+    assert seen.get["rows"] == 5
+    assert "region 0-1: count" in (tmp_path / "log").read_text()

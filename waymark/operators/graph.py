@@ -131,3 +131,38 @@ def nearest(points: DataFrame, sites: DataFrame, cell: float) -> DataFrame:
         left = materialize(left.join(hit, "point_id", "left_anti"), "points")
         ring *= 2
     return best
+
+
+def simplify(edges: DataFrame) -> DataFrame:
+    """Edges (u, v, length) with chains contracted: nodes that only pass traffic on between two neighbours go.
+
+    A directed edge whose head is such a node continues in the one edge that
+    leads on; continuations are followed by pointer doubling, so a chain of n
+    edges takes log n joins. Rings without any other node stay as they are.
+    Parallel edges and self loops count as one neighbour and are kept.
+    """
+    one = edges.groupBy("u", "v").agg(F.min("length").alias("length"))
+    ends = one.where("u <> v")
+    near = ends.select(F.col("u").alias("n"), F.col("v").alias("o")).union(ends.select("v", "u"))
+    neighbours = near.distinct().groupBy("n").agg(F.count("*").alias("k"))
+    degree = near.groupBy("n").agg(F.count("*").alias("d"))
+    out = ends.groupBy(F.col("u").alias("n")).agg(F.count("*").alias("out"))
+    loops = one.where("u = v").select(F.col("u").alias("n"))
+    passing = neighbours.join(degree, "n").join(out, "n").where("k = 2 AND (d = 2 AND out = 1 OR d = 4 AND out = 2)").join(loops, "n", "left_anti").select("n")
+    passing = materialize(passing, "passing")
+    step = ends.join(passing, F.col("v") == F.col("n")).select("u", "v").join(ends.select(F.col("u").alias("v"), F.col("v").alias("w")), "v").where("w <> u")
+    state = ends.join(step, ["u", "v"], "left").select("u", "v", "length", F.col("u").alias("a"), F.col("v").alias("b"), F.col("w").alias("w"))
+    # (u, v): a chain's first edge; (a, b): its last so far; (b, w): the edge to go on with
+    state = materialize(state, "chains")
+    rounds = max(1, state.count().bit_length())
+    for _ in range(rounds):
+        more = state.select(F.col("u").alias("b"), F.col("v").alias("w"), F.col("length").alias("l2"), F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("w").alias("w2"))
+        joined = state.join(more, ["b", "w"], "left")
+        on = F.col("l2").isNotNull()
+        state = materialize(joined.select("u", "v", F.when(on, F.col("length") + F.col("l2")).otherwise(F.col("length")).alias("length"), F.when(on, F.col("a2")).otherwise(F.col("a")).alias("a"), F.when(on, F.col("b2")).otherwise(F.col("b")).alias("b"), F.when(on, F.col("w2")).alias("w")), "chains")
+        if state.where("w IS NOT NULL").isEmpty():
+            break
+    whole = state.where("w IS NULL").join(passing.select(F.col("n").alias("u")), "u", "left_anti").select("u", F.col("b").alias("v"), "length")
+    # edges of rings never end: all that do not start at another node and were not passed through
+    ring = state.where("w IS NOT NULL").select("u", "v")
+    return whole.union(one.where("u = v").select("u", "v", "length")).union(ends.join(ring, ["u", "v"], "left_semi").select("u", "v", "length"))

@@ -512,6 +512,14 @@ def edge_geometry(spark: SparkSession, sf: str) -> DataFrame:
     return g.select("u", "v", geo.euclidean(p["x"], p["y"], q["x"], q["y"]).alias("length"), F.size("geometry").cast("long").alias("points"))
 
 
+@query("""WITH n AS (SELECT n_nationkey::BIGINT AS k, n_regionkey AS r, lead(n_nationkey::BIGINT) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS o FROM nation), e AS (SELECT k AS u, o AS v FROM n WHERE o IS NOT NULL)
+ SELECT min(u) AS u, max(v) AS v, sum(v - u)::DOUBLE AS length FROM e JOIN n ON e.u = n.k GROUP BY r""")
+def chain_contraction(spark: SparkSession, sf: str) -> DataFrame:
+    n = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("u"), "n_regionkey")
+    chains = n.withColumn("v", F.lead("u").over(Window.partitionBy("n_regionkey").orderBy("u"))).where("v IS NOT NULL")
+    return graph.simplify(chains.select("u", "v", (F.col("v") - F.col("u")).cast("double").alias("length")))
+
+
 @query(f"""WITH RECURSIVE {SQL_TRADE}, fwd AS (SELECT DISTINCT u AS a, u AS b FROM (SELECT u FROM trade UNION SELECT v FROM trade) UNION SELECT fwd.a, trade.v FROM fwd JOIN trade ON fwd.b = trade.u),
  scc AS (SELECT x.a AS node, min(x.b) AS root FROM fwd x JOIN fwd y ON x.a = y.b AND x.b = y.a GROUP BY 1), top AS (SELECT root FROM scc GROUP BY root ORDER BY count(*) DESC, root LIMIT 1) SELECT node FROM scc WHERE root IN (SELECT root FROM top)""")
 def largest_scc(spark: SparkSession, sf: str) -> DataFrame:
@@ -599,6 +607,15 @@ def threshold_clusters(spark: SparkSession, sf: str) -> DataFrame:
     return clustering.cluster_by_threshold(_camera_records(spark, sf), 0.62)
 
 
+@query()
+def stream_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    from waymark.streaming.clusters import cluster_stream
+
+    path = scratch_path(spark, "camera-records")
+    _camera_records(spark, sf).repartition(2).write.parquet(path)
+    return streams.run_available(cluster_stream(streams.stream_table(spark, path), 0.3), "stream-clusters")
+
+
 @query()
 def map_match(spark: SparkSession, sf: str) -> DataFrame:
     edges = trade(spark, sf).select("u", "v", F.col("n").cast("double").alias("length"))
