@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import chat, embeddings, lm, neardup, packing, quality, sentencepiece, substring, tokenfile, vocab, warc
+from waymark.llm import chat, embeddings, lm, neardup, oracles, packing, quality, sentencepiece, substring, tokenfile, vocab, warc
 
 #: Where the vocabulary files are; a cluster may hold them elsewhere.
 TOKENIZERS = os.environ.get("WAYMARK_TOKENIZERS", os.path.dirname(public_tokenizers.path("word_bpe_49k.json")))
@@ -102,4 +102,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_output": op10_token_output,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_minhash_near_dedup": oracles.NEAR_DEDUP,
+    "op4_chat_formatting": oracles.CHAT,
+    "op6_quality_rules": oracles.QUALITY,
+    "op7_embedding_near_dedup": oracles.NEAR_VECTORS,
+    "op8_substring_dedup": oracles.SUBSTRING,
+    "op9_warc": oracles.WARC,
+}
