@@ -278,3 +278,36 @@ def test_metrics(spark, tmp_path):
         df.collect()
     assert seen.get["rows"] == 5
     assert "region 0-1: count" in (tmp_path / "log").read_text()
+
+
+def test_greedy_clustering_matches_a_plain_loop(spark):
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(9, 5))
+    data = []
+    for i in range(150):
+        c = rng.integers(9)
+        plate = (centres[c][::-1] + rng.normal(size=5) * 0.3).tolist() if i % 4 else None
+        data.append((str(i % 2), i, i, i, int(rng.integers(50)), (centres[c] + rng.normal(size=5) * 0.4).tolist(), plate, f"AB{c}{rng.integers(3)}" if plate and i % 5 else None))
+    df = spark.createDataFrame(data, "region string, record_id long, vehicle_id long, camera_id long, time long, vehicle_feature array<double>, plate_feature array<double>, plate_text string")
+    got = {r["record_id"]: r["cluster_id"] for r in clustering.cluster_records(df, 12, 0.7).collect()}
+    want = {}
+    for region in "01":
+        mine = sorted((r for r in data if r[0] == region), key=lambda r: (r[4], r[1]))
+        unit = {r[1]: (clustering._unit(r[5]), clustering._unit(r[6])) for r in mine}
+        of = {}
+        for r in mine:
+            near = set()
+            for k in (0, 1):
+                if unit[r[1]][k] is not None:
+                    others = [(-(unit[r[1]][k] @ unit[s][k]), s) for s in unit if unit[s][k] is not None]
+                    near |= {s for _, s in sorted(others)[:12]} - {r[1]}
+            clusters = {of[s].name: of[s] for s in near if s in of}.values()
+            scored = sorted(((c.score(*unit[r[1]], r[7]), -list(dict.fromkeys(of[s].name for s in of)).index(c.name), c.name) for c in clusters), reverse=True)
+            best = next((c for c in clusters if scored and c.name == scored[0][2]), None)
+            if best is None or scored[0][0] <= 0.7:
+                best = clustering.Cluster(r[1])
+            best.add(*unit[r[1]], r[7])
+            of[r[1]] = best
+            want[r[1]] = best.name
+    assert got == want
+    assert 5 < len(set(want.values())) < 120

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -54,7 +56,7 @@ class Cluster:
             return min(1.0, max(0.0, v))
         p = float(plate @ self.plate / np.linalg.norm(self.plate))
         mine = self.text()
-        gain = 0.0 if text is None or mine is None else EDIT_GAINS.get(edit_distance(text, mine), EDIT_GAIN_BEYOND)
+        gain = _gain(text, mine)
         return min(1.0, max(0.0, WEIGHT_VEHICLE * v + WEIGHT_PLATE * p + gain))
 
 
@@ -66,31 +68,81 @@ def _unit(v) -> np.ndarray | None:
     return v / n if n > 0 else None
 
 
-def assign(rows: list[tuple], threshold: float) -> list[int]:
-    """Greedy assignment in order: (record_id, vehicle, plate, text, candidates) to the record_id that founded its cluster.
+class _Clusters:
+    """The clusters of one region as growing matrices: unnormalised mean features, their lengths, plate texts."""
+
+    def __init__(self) -> None:
+        self.n = 0
+        self.count = np.zeros((2, 64), np.int64)
+        self.mean: list[np.ndarray | None] = [None, None]
+        self.length = np.zeros((2, 64))
+        self.texts: list[dict[str, int]] = []
+
+    def found(self) -> int:
+        if self.n == self.count.shape[1]:
+            self.count, self.length = (np.concatenate([x, np.zeros_like(x)], axis=1) for x in (self.count, self.length))
+            self.mean = [None if m is None else np.concatenate([m, np.zeros_like(m)]) for m in self.mean]
+        self.n += 1
+        self.texts.append({})
+        return self.n - 1
+
+    def add(self, c: int, features: tuple[np.ndarray | None, np.ndarray | None], text: str | None) -> None:
+        for k, x in enumerate(features):
+            if x is None:
+                continue
+            if self.mean[k] is None:
+                self.mean[k] = np.zeros((self.count.shape[1], len(x)))
+            self.count[k, c] += 1
+            self.mean[k][c] += (x - self.mean[k][c]) / self.count[k, c]
+            self.length[k, c] = np.sqrt(self.mean[k][c] @ self.mean[k][c])
+        if features[1] is not None and text is not None:
+            self.texts[c][text] = self.texts[c].get(text, 0) + 1
+
+    def scores(self, of: np.ndarray, features: tuple[np.ndarray, np.ndarray | None], text: str | None) -> np.ndarray:
+        cosine = lambda k, c: self.mean[k][c] @ features[k] / self.length[k, c]
+        out = cosine(0, of)
+        if features[1] is not None:
+            both = np.flatnonzero(self.count[1, of])
+            if len(both):
+                gains = [_gain(text, max(t, key=t.__getitem__) if t else None) for t in (self.texts[c] for c in of[both])]
+                out[both] = WEIGHT_VEHICLE * out[both] + WEIGHT_PLATE * cosine(1, of[both]) + gains
+        return np.clip(out, 0, 1)
+
+
+@functools.lru_cache(maxsize=1 << 16)
+def _gain(a: str | None, b: str | None) -> float:
+    return 0.0 if a is None or b is None else EDIT_GAINS.get(edit_distance(a, b), EDIT_GAIN_BEYOND)
+
+
+def assign(ids: np.ndarray, vehicles: list, plates: list, texts: list, near: list[np.ndarray], threshold: float) -> np.ndarray:
+    """Greedy assignment in order: for each record the id of that which founded its cluster.
 
     A record looks at the clusters that its candidates are already in, takes the
     best (of equals the older) if it scores above the threshold, or founds one.
     """
-    of: dict[int, Cluster] = {}
-    born: dict[int, int] = {}
-    out = []
-    for record_id, vehicle, plate, text, near in rows:
-        v, p = _unit(vehicle), _unit(plate)
-        found = {of[c].name: of[c] for c in near or () if c in of}
-        best, top = None, -np.inf
-        if v is not None:
-            for c in sorted(found.values(), key=lambda c: born[c.name]):
-                s = c.score(v, p, text)
-                if s > top:
-                    best, top = c, s
-        if best is None or top <= threshold:
-            best = Cluster(record_id)
-            born[record_id] = len(born)
-        if v is not None:
-            best.add(v, p, text)
-            of[record_id] = best
-        out.append(best.name)
+    clusters, names, out = _Clusters(), [], np.empty(len(ids), np.int64)
+    # clusters by place of the record; candidates that are not in the region or have no cluster yet are -1
+    order = np.argsort(ids, kind="stable")
+    of = np.full(len(ids) + 1, -1)
+    for i in range(len(ids)):
+        v, p = _unit(vehicles[i]), _unit(plates[i])
+        out[i] = ids[i]
+        if v is None:
+            continue
+        at = np.minimum(np.searchsorted(ids, near[i], sorter=order), len(ids) - 1)
+        mine = np.unique(of[order[at][ids[order[at]] == near[i]]])
+        mine = mine[mine >= 0]
+        chosen = -1
+        if len(mine):
+            s = clusters.scores(mine, (v, p), texts[i])
+            best = int(s.argmax())
+            if s[best] > threshold:
+                chosen = int(mine[best])
+        if chosen < 0:
+            chosen = clusters.found()
+            names.append(ids[i])
+        clusters.add(chosen, (v, p), texts[i])
+        of[i], out[i] = chosen, names[chosen]
     return out
 
 
@@ -113,8 +165,11 @@ def cluster_records(records: DataFrame, k: int = K, threshold: float = SIMILARIT
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("time", "ascending"), ("record_id", "ascending")])
-        rows = list(zip(*(table.column(c).to_pylist() for c in ("record_id", "vehicle_feature", "plate_feature", "plate_text", "_near")), strict=True))
-        return table.select(names).append_column("cluster_id", pa.array(assign(rows, threshold), pa.int64()))
+        rows = lambda c: [None if x.values is None else x.values.to_numpy(zero_copy_only=False) for x in table.column(c)]
+        none = np.zeros(0, np.int64)
+        near = [none if x is None else x for x in rows("_near")]
+        found = assign(table.column("record_id").to_numpy(), rows("vehicle_feature"), rows("plate_feature"), table.column("plate_text").to_pylist(), near, threshold)
+        return table.select(names).append_column("cluster_id", pa.array(found, pa.int64()))
 
     return given.groupBy("region").applyInArrow(run, schema)
 

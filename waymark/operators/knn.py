@@ -25,8 +25,14 @@ def _count(df: DataFrame) -> int:
     return max(1, -(-df.count() // BLOCK))
 
 
+def matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Lists of equal length as the rows of a matrix."""
+    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), -1)
+
+
 def _unit(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    v = np.array(table.column("v").to_pylist(), np.float64)
+    v = matrix(table.column("v"))
     return table.column("id").to_numpy(), v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
@@ -50,13 +56,13 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, *, q_id: str = "id", b
         if not q.num_rows or not b.num_rows:
             return pa.table({"g": pa.array([], pa.string()), "id": pa.array([], pa.int64()), "neighbor": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})
         (qi, qv), (bi, bv) = _unit(q), _unit(b)
-        order = np.argsort(bi)
-        bi, bv = bi[order], bv[order]
         out = []
         for s in range(0, len(qi), 512):
             sim = qv[s : s + 512] @ bv.T
-            best = np.argsort(-sim, axis=1, kind="stable")[:, :k]
-            out.append((np.repeat(qi[s : s + 512], best.shape[1]), bi[best].ravel(), np.take_along_axis(sim, best, 1).ravel()))
+            # all that reach the k-th similarity leave the tile, so ties are settled by the rank over all tiles
+            least = np.partition(sim, len(bi) - k, axis=1)[:, len(bi) - k] if len(bi) > k else np.full(len(sim), -np.inf)
+            i, j = np.nonzero(sim >= least[:, None])
+            out.append((qi[s + i], bi[j], sim[i, j]))
         i, j, sim = map(np.concatenate, zip(*out, strict=True))
         return pa.table({"g": pa.array([q.column("g")[0].as_py()] * len(i), pa.string()), "id": i, "neighbor": j, "similarity": sim})
 

@@ -30,6 +30,8 @@ def silhouette(points: DataFrame, id_col: str, vec: str, label: str) -> DataFram
     import numpy as np
     import pyarrow as pa
 
+    from waymark.operators.knn import matrix
+
     n = max(1, -(-points.count() // 4096))
     base = points.select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("v"), F.col(label).cast("long").alias("l"))
     block = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
@@ -40,7 +42,7 @@ def silhouette(points: DataFrame, id_col: str, vec: str, label: str) -> DataFram
         kinds = {"id": pa.int64(), "own": pa.int64(), "l": pa.int64(), "total": pa.float64(), "n": pa.int64()}
         if not left.num_rows or not right.num_rows:
             return pa.table({k: pa.array([], t) for k, t in kinds.items()})
-        x, y = (np.array(t.column("v").to_pylist(), np.float64) for t in (left, right))
+        x, y = matrix(left.column("v")), matrix(right.column("v"))
         ids, own, labels = left.column("id").to_numpy(), left.column("l").to_numpy(), right.column("l").to_numpy()
         out = []
         for s in range(0, len(x), 256):
