@@ -58,3 +58,20 @@ def test_registered(spark):
     names = [n for n in __spark_entry__.queries() if n.startswith("op") and n[2].isdigit()]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
     assert "pipeline" in __spark_entry__.queries()
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
+@pytest.mark.parametrize("name", ["op3_minhash_near_dedup", "op4_chat_formatting", "op6_quality_rules", "op7_embedding_near_dedup", "op8_substring_dedup", "op9_warc"])
+def test_queries_equal_their_sql(spark, name):
+    import duckdb
+
+    from waymark.llm import queries
+
+    c = duckdb.connect()
+    for t in ("documents", "embeddings", "pages", "conversations"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    found = c.execute(queries.ORACLE_SQL[name])
+    names = [d[0] for d in found.description]
+    df = queries.QUERIES[name](spark, SF)
+    assert sorted(names) == sorted(df.columns)
+    assert sorted(map(repr, (tuple(r) for r in df.select(*names).collect()))) == sorted(map(repr, found.fetchall()))

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from waymark.llm.flat import give_back
 from waymark.operators.components import connected_components
 from waymark.storage import materialize
 
@@ -150,6 +151,7 @@ def _deal(index, members: np.ndarray | None, queries: np.ndarray | None):
 
 def _verify(index, cosine: float):
     def run(table: pa.Table) -> pa.Table:
+        give_back()
         ix: Index = index.value
         row = table.column("i")[0].as_py()
         kind = table.column("kind").to_numpy()

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from waymark.llm.flat import give_back
+
 BUCKET_BYTES = 4 << 20
 LEAST_BUCKETS = 24
 
@@ -35,6 +37,7 @@ def bucketed(docs: DataFrame, buckets: int) -> DataFrame:
 
 def ordered(table: pa.Table) -> pa.Table:
     """A bucket's rows by (doc_id, text), null doc_ids last."""
+    give_back()
     if table.num_rows < 2:
         return table
     return table.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()

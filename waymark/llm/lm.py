@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.llm.exchange import binary, bucket_count, bucketed, by_block, ordered, pack, unpack_all
-from waymark.llm.flat import buffers, hashes, mix, ranges, words
+from waymark.llm.flat import buffers, give_back, hashes, mix, ranges, words
 from waymark.storage import materialize
 
 DEPTH = 6
@@ -133,6 +133,7 @@ def _weights(context: np.ndarray, follower: np.ndarray, n: np.ndarray, total: np
 
 def _count(table: pa.Table) -> pa.Table:
     """A block's answers: the corpus counts of each message's words and pairs, and the weight of each word as a context; and its part of the vocabulary."""
+    give_back()
     size, each = unpack_all(table.column("sizes"))
     data = np.frombuffer(b"".join(table.column("words").to_pylist()), np.uint8)
     count, _ = unpack_all(table.column("counts"))
@@ -190,6 +191,7 @@ def contexts(flat: np.ndarray, at: np.ndarray, before: np.ndarray, depth: int, s
 
 def _grams(table: pa.Table) -> pa.Table:
     """Uses of each (context, next symbol) in the distinct training words of some blocks."""
+    give_back()
     data = np.frombuffer(b"".join(table.column("words").to_pylist()), np.uint8)
     size, _ = unpack_all(table.column("sizes"))
     flat, at, before = sequences(data, size[size > 0])

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.flat import buffers, mix, pieces, ranges, windows, words
+from waymark.llm.flat import buffers, give_back, mix, pieces, ranges, windows, words
 from waymark.operators.components import connected_components
 from waymark.storage import materialize
 
@@ -120,6 +120,7 @@ def _tile(percent: int, most_apart: int):
     """Members outside the main component against members of its buckets: one confirmed link to each other component."""
 
     def run(table: pa.Table) -> pa.Table:
+        give_back()
         asks = table.column("asks").to_numpy()
         doc, part = table.column("doc_id").to_numpy(), table.column("part").to_numpy()
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
@@ -226,5 +227,5 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) ->
     # only classes of several documents, or with links, say anything that a document does not know itself
     named = named.where("n > 1 OR component_id <> head").drop("n", "head")
     out = signed.select("doc_id", "n_shingles", "k1", "k2").join(named, ["k1", "k2", "n_shingles"], "left")
-    root = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
+    root = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", root.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

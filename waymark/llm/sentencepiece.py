@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-from waymark.llm.flat import mix, pieces, ranges, span_hashes
+from waymark.llm.flat import give_back, mix, pieces, ranges, span_hashes
 
 SPACE = 0x2581
 _NONE = np.int64(2**40)
@@ -78,6 +78,7 @@ class PieceModel:
         self.surface_at = np.cumsum(self.surface_len) - self.surface_len
         self.lead = np.array([p.startswith("▁") and not control[i] for i, p in enumerate(self.text)])
         self.control = control
+        give_back()
 
     def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and index of each pair; _NONE where there is no such merge."""
@@ -213,7 +214,7 @@ def _model(data: bytes) -> PieceModel:
 def _encode(model, text: str, schema_names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _model(model.value)
-        for b in pieces(batches, text):
+        for b in pieces(batches, text, 1 << 20):
             ids, count = m.encode(b.column(b.schema.get_field_index(text)).to_pylist())
             raw = ids.astype("<u4").tobytes()
             at = np.concatenate([[0], np.cumsum(count) * 4]).astype(np.int32)

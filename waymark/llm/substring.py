@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, LongType, StructType
 
 from waymark.llm.exchange import binary, bucket_count, bucketed, by_block, ordered
-from waymark.llm.flat import Words, buffers, ranges, windows, words
+from waymark.llm.flat import Words, buffers, give_back, ranges, windows, words
 
 WINDOW = 13
 MESSAGE = "block int, _bucket int, hashes binary, docs binary"
@@ -68,6 +68,7 @@ def _send(size: int, blocks: int, lower: bool):
 
 def _look_up(table: pa.Table) -> pa.Table:
     """A block's answers: for each window of each message, whether a smaller document has it."""
+    give_back()
     hashes = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("hashes")]
     docs = []
     for x in table.column("docs"):
