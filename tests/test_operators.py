@@ -48,6 +48,7 @@ def test_similar_pairs_in_several_blocks(spark, monkeypatch):
     v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, feature array<double>")
     one = rows(knn.similar_pairs(v, 0.5).select("a", "b"))
     monkeypatch.setattr(knn, "BLOCK", 7)
+    monkeypatch.setattr(knn, "BASE_BLOCK", 9)
     assert rows(knn.similar_pairs(v, 0.5).select("a", "b")) == one
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     assert one == [(i, j) for i in range(60) for j in range(i + 1, 60) if u[i] @ u[j] > 0.5]

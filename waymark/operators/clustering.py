@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
 from waymark.functions.scalars import EDIT_GAIN_BEYOND, EDIT_GAINS, SIMILARITY_THRESHOLD, WEIGHT_PLATE, WEIGHT_VEHICLE
-from waymark.operators.knn import candidates
+from waymark.operators.knn import candidate_lists
 
 K = 129
 
@@ -156,9 +156,8 @@ def cluster_records(records: DataFrame, k: int = K, threshold: float = SIMILARIT
     A cluster is named by the record that founded it. Records without a vehicle
     feature are alone. For one region of unbounded size use cluster_by_threshold.
     """
-    near = candidates(records, k, ("vehicle_feature", "plate_feature"), "record_id", by="region")
-    lists = near.groupBy("g", "id").agg(F.sort_array(F.collect_list("candidate")).alias("_near"))
-    lists = lists.select(F.col("g").alias("region"), F.col("id").alias("record_id"), "_near")
+    near = candidate_lists(records, k, ("vehicle_feature", "plate_feature"), "record_id", by="region")
+    lists = near.select(F.col("g").alias("region"), F.col("id").alias("record_id"), F.col("candidates").alias("_near"))
     given = records.join(lists, ["region", "record_id"], "left").select(*records.columns, "_near")
     schema = StructType([*records.schema]).add("cluster_id", LongType())
     names = records.columns

@@ -1,18 +1,26 @@
 """Exact nearest neighbours and similarity pairs of vectors, in tiles.
 
-Both sides are cut into blocks of bounded size; a tile, one block against
-another, is one matrix product in a task, and only its best hits leave it. No
-side is broadcast and no task holds more than two blocks, at any input size.
+Both sides are cut into blocks of bounded size; a tile, a block of queries
+against a block of the base, is a matrix product in a task, and only each
+query's best hits leave it, as one row. A second step merges the tiles' hits of
+a few queries at a time. No side is broadcast and no task holds more than two
+blocks, at any input size.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Vectors of a block of queries, and of a block of the base.
 BLOCK = 4096
+BASE_BLOCK = 32768
+#: Groups in which a block's queries are merged.
+MERGES = 16
+
+_LISTS = "g string, id long, neighbors array<long>, similarities array<double>"
 
 
 def _blocks(df: DataFrame, id_col: str, vector_col: str, by: str | None, n: int) -> DataFrame:
@@ -21,8 +29,8 @@ def _blocks(df: DataFrame, id_col: str, vector_col: str, by: str | None, n: int)
     return clean.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
 
 
-def _count(df: DataFrame) -> int:
-    return max(1, -(-df.count() // BLOCK))
+def _count(df: DataFrame, block: int) -> int:
+    return max(1, -(-df.count() // block))
 
 
 def matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -37,39 +45,65 @@ def _unit(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _tiles(queries: DataFrame, base: DataFrame, ids: tuple[str, str], features: tuple[str, str], by: str | None, work, schema: str) -> DataFrame:
-    nq, nb = _count(queries), _count(base)
+    nq, nb = _count(queries, BLOCK), _count(base, BASE_BLOCK)
     q = _blocks(queries, ids[0], features[0], by, nq).withColumnRenamed("block", "qb").withColumn("bb", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
     b = _blocks(base, ids[1], features[1], by, nb).withColumnRenamed("block", "bb").withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
     return q.groupBy("g", "qb", "bb").cogroup(b.groupBy("g", "qb", "bb")).applyInArrow(work, schema)
 
 
-def knn_join(queries: DataFrame, base: DataFrame, k: int, *, q_id: str = "id", b_id: str = "id", q_vec: str = "feature", b_vec: str = "feature", by: str | None = None) -> DataFrame:
-    """``(id, neighbor, similarity, rank)``: the k vectors of ``base`` with the greatest cosine to each query.
+def _lists(g: str | None, ids: np.ndarray, count: np.ndarray, neighbors: np.ndarray, sims: np.ndarray) -> pa.Table:
+    off = pa.array(np.r_[0, np.cumsum(count)].astype(np.int32))
+    columns = [pa.array([g] * len(ids), pa.string()), pa.array(ids, pa.int64()), pa.ListArray.from_arrays(off, pa.array(neighbors, pa.int64())), pa.ListArray.from_arrays(off, pa.array(sims, pa.float64()))]
+    return pa.table(columns, names=["g", "id", "neighbors", "similarities"])
+
+
+def knn_lists(queries: DataFrame, base: DataFrame, k: int, *, q_id: str = "id", b_id: str = "id", q_vec: str = "feature", b_vec: str = "feature", by: str | None = None) -> DataFrame:
+    """``(g, id, neighbors, similarities)``: the k vectors of ``base`` with the greatest cosine to each query, best first.
 
     by: a column of both sides; neighbours are sought among rows with an equal
     value, which comes back as ``g``. A vector that is in both is its own
-    neighbour; fewer than k rows come back if ``base`` is smaller. Ties go to the
-    smaller neighbor. Null and zero vectors are in neither side. Ids are integers.
+    neighbour; lists are shorter than k if ``base`` is. Ties go to the smaller
+    neighbor. Null and zero vectors are in neither side. Ids are integers.
     """
 
-    def work(q: pa.Table, b: pa.Table) -> pa.Table:
+    def tile(q: pa.Table, b: pa.Table) -> pa.Table:
+        none = np.zeros(0, np.int64)
         if not q.num_rows or not b.num_rows:
-            return pa.table({"g": pa.array([], pa.string()), "id": pa.array([], pa.int64()), "neighbor": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})
+            return _lists(None, none, none, none, none.astype(float))
         (qi, qv), (bi, bv) = _unit(q), _unit(b)
-        out = []
-        for s in range(0, len(qi), 512):
-            sim = qv[s : s + 512] @ bv.T
-            # all that reach the k-th similarity leave the tile, so ties are settled by the rank over all tiles
+        count, out = [], []
+        for s in range(0, len(qi), 128):
+            sim = qv[s : s + 128] @ bv.T
+            # all that reach the k-th similarity leave the tile, so ties are settled over all tiles
             least = np.partition(sim, len(bi) - k, axis=1)[:, len(bi) - k] if len(bi) > k else np.full(len(sim), -np.inf)
             i, j = np.nonzero(sim >= least[:, None])
-            out.append((qi[s + i], bi[j], sim[i, j]))
-        i, j, sim = map(np.concatenate, zip(*out, strict=True))
-        return pa.table({"g": pa.array([q.column("g")[0].as_py()] * len(i), pa.string()), "id": i, "neighbor": j, "similarity": sim})
+            count.append(np.bincount(i, minlength=len(sim)))
+            out.append((bi[j], sim[i, j]))
+        neighbors, sims = map(np.concatenate, zip(*out, strict=True))
+        return _lists(q.column("g")[0].as_py(), qi, np.concatenate(count), neighbors, sims)
+
+    def merge(table: pa.Table) -> pa.Table:
+        lists = table.column("neighbors").combine_chunks()
+        ids = np.repeat(table.column("id").to_numpy(), np.diff(lists.offsets.to_numpy()))
+        neighbors, sims = lists.flatten().to_numpy(), table.column("similarities").combine_chunks().flatten().to_numpy()
+        order = np.lexsort((neighbors, -sims, ids))
+        ids, neighbors, sims = ids[order], neighbors[order], sims[order]
+        new = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+        size = np.diff(np.r_[new, len(ids)])
+        kept = np.arange(len(ids)) - np.repeat(new, size) < k
+        return _lists(table.column("g")[0].as_py(), ids[new], np.minimum(size, k), neighbors[kept], sims[kept])
+
+    hits = _tiles(queries, base, (q_id, b_id), (q_vec, b_vec), by, tile, _LISTS)
+    part = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(MERGES * _count(queries, BLOCK)))
+    return hits.withColumn("_p", part).groupBy("g", "_p").applyInArrow(lambda t: merge(t.drop(["_p"])), _LISTS)
 
-    hits = _tiles(queries, base, (q_id, b_id), (q_vec, b_vec), by, work, "g string, id long, neighbor long, similarity double")
-    rank = F.row_number().over(Window.partitionBy("g", "id").orderBy(F.desc("similarity"), "neighbor"))
-    top = hits.withColumn("rank", rank).where(F.col("rank") <= k)
-    return top if by else top.drop("g")
+
+def knn_join(queries: DataFrame, base: DataFrame, k: int, *, q_id: str = "id", b_id: str = "id", q_vec: str = "feature", b_vec: str = "feature", by: str | None = None) -> DataFrame:
+    """``(id, neighbor, similarity, rank)``, with ``g`` if ``by``: knn_lists as rows, rank from 1."""
+    lists = knn_lists(queries, base, k, q_id=q_id, b_id=b_id, q_vec=q_vec, b_vec=b_vec, by=by)
+    each = lists.select("g", "id", F.posexplode(F.arrays_zip("neighbors", "similarities")).alias("p", "h"))
+    rows = each.select("g", "id", F.col("h.neighbors").alias("neighbor"), F.col("h.similarities").alias("similarity"), (F.col("p") + 1).alias("rank"))
+    return rows if by else rows.drop("g")
 
 
 def similar_pairs(vectors: DataFrame, threshold: float, *, id_col: str = "id", vec: str = "feature") -> DataFrame:
@@ -86,11 +120,17 @@ def similar_pairs(vectors: DataFrame, threshold: float, *, id_col: str = "id", v
     return _tiles(vectors, vectors, (id_col, id_col), (vec, vec), None, work, "a long, b long, similarity double")
 
 
-def candidates(records: DataFrame, k: int, features: tuple[str, ...], id_col: str = "id", by: str | None = None) -> DataFrame:
-    """``(id, candidate)``, with ``g`` if ``by``: the union over features of each record's k nearest, without itself."""
+def candidate_lists(records: DataFrame, k: int, features: tuple[str, ...], id_col: str = "id", by: str | None = None) -> DataFrame:
+    """``(g, id, candidates)``: the union over features of each record's k nearest, without itself, in ascending order."""
     kinds = F.explode(F.array(*(F.struct(F.lit(f"{i}|").alias("kind"), F.col(f).cast("array<double>").alias("feature")) for i, f in enumerate(features))))
     group = F.col(by).cast("string") if by else F.lit("")
     long = records.select(group.alias("g"), F.col(id_col).alias("id"), kinds.alias("k")).select(F.concat("k.kind", "g").alias("kg"), "id", "k.feature")
-    hits = knn_join(long, long, k, by="kg").where("id <> neighbor")
-    found = hits.select(F.regexp_replace("g", r"^\d+\|", "").alias("g"), "id", F.col("neighbor").alias("candidate")).distinct()
+    hits = knn_lists(long, long, k, by="kg").select(F.regexp_replace("g", r"^\d+\|", "").alias("g"), "id", "neighbors")
+    together = hits.groupBy("g", "id").agg(F.flatten(F.collect_list("neighbors")).alias("n"))
+    return together.select("g", "id", F.array_sort(F.array_remove(F.array_distinct("n"), F.col("id"))).alias("candidates"))
+
+
+def candidates(records: DataFrame, k: int, features: tuple[str, ...], id_col: str = "id", by: str | None = None) -> DataFrame:
+    """``(id, candidate)``, with ``g`` if ``by``: candidate_lists as rows."""
+    found = candidate_lists(records, k, features, id_col, by).select("g", "id", F.explode("candidates").alias("candidate"))
     return found if by else found.drop("g")
