@@ -7,6 +7,7 @@ checkpointed one. The folder is the one the cluster names in
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,3 +52,9 @@ class Written:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """``df``, computed once and read from the shared folder from then on."""
     return Written(df, name).df
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of jobs that are over; else they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
