@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from waymark.llm.exchange import binary, bucket_count, bucketed, by_block, ordered, pack, unpack_all
 from waymark.llm.flat import buffers, give_back, hashes, mix, ranges, words
-from waymark.storage import materialize
+from waymark.storage import materialize, release
 
 DEPTH = 6
 P_MIN = 4e-6
@@ -374,8 +374,11 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     dealt = bucketed(rows, n)
     sent = dealt.groupBy("_bucket").applyInArrow(_send(n), MESSAGE)
     counted = materialize(sent.groupBy("block").applyInArrow(_count, ANSWER), "counts")
+    # the messages are answered: their shuffle need not be kept beside the next
+    release(spark)
     vocabulary = counted.where("kind = 1")
     known, total = vocabulary.agg(F.sum("n"), F.sum("total")).first()
     tree = spark.sparkContext.broadcast(learn(vocabulary.select("block", "words", "sizes"), n))
+    release(spark)
     answers = counted.where("kind = 0").select("_bucket", "block", "counts", "weights", "next_counts")
     return dealt.groupBy("_bucket").cogroup(answers.groupBy("_bucket")).applyInArrow(_score(tree, n, total or 0, known or 0), SCORES)
