@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from waymark.llm.flat import buffers, give_back, mix, pieces, ranges, windows, words
 from waymark.operators.components import connected_components
-from waymark.storage import materialize
+from waymark.storage import materialize, release
 
 BANDS, ROWS = 20, 4
 SKETCH_BITS = 256
@@ -183,6 +183,8 @@ def links(docs: DataFrame, size: int, similarity: float) -> tuple[DataFrame, Dat
     taking_part = inside.select("doc_id").distinct()
     sets = materialize(texts.join(taking_part, "doc_id").mapInArrow(_sets(size), "doc_id long, shingles binary"), "sets")
 
+    release(docs.sparkSession)
+
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         with_sets = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
         return materialize(with_sets.mapInArrow(_confirm(percent), "a long, b long"), name)
