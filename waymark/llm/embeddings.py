@@ -10,8 +10,12 @@ measured when the index is fitted. What is visited is verified exactly.
 The codebooks are fitted on SAMPLE vectors at most; every vector is indexed and
 every vector is a query. Vectors that are equal are one entry with a weight. A
 query is sent once to each first codeword it visits, with the list of second
-codewords. Rows of the grid that hold many vectors are cut into chunks, and so
-are their queries, so no task gets more than CHUNK of either.
+codewords. There are about as many first codewords as chunks of vectors, so that
+a query is sent about as often as an exhaustive search in tiles would at most,
+and the second codewords, which cost no messages, divide further. Rows of the
+grid that hold many vectors are cut into chunks, and so are their queries, so no
+group gets more than CHUNK of either. Vectors travel as they came, at single
+precision if they came so; lengths and cosines are computed in double.
 """
 
 from __future__ import annotations
@@ -23,20 +27,27 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from waymark.llm.flat import give_back
 from waymark.operators.components import connected_components
 from waymark.storage import materialize
 
 SAMPLE = 8192
-CHUNK = 2048
+CHUNK = 8192
 RECALL = 0.9995
 MOST_CODEWORDS = 1024
+#: Vectors of a cell, about.
+CELL = 32
 _UNIT = "vec_id long, unit binary"
 
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with a valid vector, scaled to length 1 in double precision."""
+def _units(kind: type):
+    return lambda batches: _valid(batches, kind)
+
+
+def _valid(batches: Iterator[pa.RecordBatch], kind: type) -> Iterator[pa.RecordBatch]:
+    """Rows with a valid vector, as bytes; vectors whose length can't be told in double precision are scaled."""
     for b in batches:
         ids, out = [], []
         for i, x in zip(b.column("vec_id").to_pylist(), b.column("embedding"), strict=True):
@@ -44,19 +55,19 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if v is None or v.null_count or not len(v) or i is None:
                 continue
             v = v.to_numpy(zero_copy_only=False).astype(np.float64)
-            n = np.sqrt((v * v).sum())
-            if np.isfinite(v).all() and n > 0:
-                if not np.isfinite(n) or n < 1e-150:
-                    v = v / np.abs(v).max()
-                    n = np.sqrt((v * v).sum())
+            with np.errstate(over="ignore"):
+                n = np.sqrt((v * v).sum())
+            if np.isfinite(v).all() and v.any():
                 ids.append(i)
-                out.append((v / n).tobytes())
+                out.append((v if 1e-150 < n < np.inf else v / np.abs(v).max()).astype(kind).tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], names=["vec_id", "unit"])
 
 
-def _stack(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+def _stack(column: pa.Array | pa.ChunkedArray, kind: type) -> np.ndarray:
+    """Vectors as rows, scaled to length 1 in double precision."""
     parts = column.to_pylist()
-    return np.frombuffer(b"".join(parts), np.float64).reshape(len(parts), -1) if parts else np.zeros((0, 1))
+    x = np.frombuffer(b"".join(parts), kind).reshape(len(parts), -1).astype(np.float64) if parts else np.zeros((0, 1))
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
 def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -94,12 +105,12 @@ class Index:
         return own, far
 
     @staticmethod
-    def fit(sample: np.ndarray, codewords: int, cosine: float, recall: float) -> Index:
+    def fit(sample: np.ndarray, codewords: tuple[int, int], cosine: float, recall: float) -> Index:
         rng = np.random.default_rng(11)
         sample = sample[np.lexsort(sample.T[::-1])] if len(sample) else sample
-        k = max(1, min(codewords, len(np.unique(sample, axis=0))))
+        most = max(1, len(np.unique(sample, axis=0)))
         cut = max(1, sample.shape[1] // 2)
-        books = tuple(_codebook(h, k, rng) if h.shape[1] else np.zeros((1, 0)) for h in (sample[:, :cut], sample[:, cut:]))
+        books = tuple(_codebook(h, min(k, most), rng) if h.shape[1] else np.zeros((1, 0)) for h, k in zip((sample[:, :cut], sample[:, cut:]), codewords, strict=True))
         index = Index(books, 0.0)
         # neighbours at exactly the threshold, in random directions
         x = sample[rng.choice(len(sample), 20_000)]
@@ -114,7 +125,7 @@ class Index:
         return index
 
 
-def _deal(index, members: np.ndarray | None, queries: np.ndarray | None):
+def _deal(index, kind: type, members: np.ndarray | None, queries: np.ndarray | None):
     """Without counts: how many members and queries each row of the grid gets. With: the rows' messages, cut into chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +134,7 @@ def _deal(index, members: np.ndarray | None, queries: np.ndarray | None):
         for b in batches:
             for i in range(0, b.num_rows, 1024):
                 part = b.slice(i, 1024)
-                x = _stack(part.column("unit"))
+                x = _stack(part.column("unit"), kind)
                 own, far = ix.cells(x)
                 visit = far[0] <= ix.reach
                 if members is None:
@@ -142,21 +153,21 @@ def _deal(index, members: np.ndarray | None, queries: np.ndarray | None):
                     some = members[where] > r
                     at.append(who[some])
                     row.append(np.stack([where[some], np.full(int(some.sum()), r), spread[who[some]] % queries[where[some]], np.ones(int(some.sum()), np.int64)]))
-                cell, chunk, qchunk, kind = np.concatenate(row, axis=1)
+                cell, chunk, qchunk, asks = np.concatenate(row, axis=1)
                 take = pa.array(np.concatenate(at))
-                yield pa.RecordBatch.from_arrays([*(pa.array(v, pa.int32()) for v in (cell, chunk, qchunk, kind)), part.column("head").take(take), part.column("weight").take(take), part.column("unit").take(take)], names=["i", "m", "q", "kind", "head", "weight", "unit"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(v, pa.int32()) for v in (cell, chunk, qchunk, asks)), part.column("head").take(take), part.column("weight").take(take), part.column("unit").take(take)], names=["i", "m", "q", "kind", "head", "weight", "unit"])
 
     return run
 
 
-def _verify(index, cosine: float):
+def _verify(index, kind: type, cosine: float):
     def run(table: pa.Table) -> pa.Table:
         give_back()
         ix: Index = index.value
         row = table.column("i")[0].as_py()
-        kind = table.column("kind").to_numpy()
-        head, weight, x = table.column("head").to_numpy(), table.column("weight").to_numpy(), _stack(table.column("unit"))
-        q, m = np.flatnonzero(kind == 1), np.flatnonzero(kind == 0)
+        asks = table.column("kind").to_numpy()
+        head, weight, x = table.column("head").to_numpy(), table.column("weight").to_numpy(), _stack(table.column("unit"), kind)
+        q, m = np.flatnonzero(asks == 1), np.flatnonzero(asks == 0)
         q, m = q[np.argsort(head[q])], m[np.argsort(head[m])]
         own, far = ix.cells(x)
         total = np.zeros(len(head), np.int64)
@@ -216,7 +227,9 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, recall: float = RECALL
     Repeated rows are links of each other.
     """
     spark = vectors.sparkSession
-    valid = materialize(vectors.select("vec_id", "embedding").mapInArrow(_units, _UNIT), "units")
+    single = vectors.schema["embedding"].dataType == ArrayType(FloatType(), vectors.schema["embedding"].dataType.containsNull)
+    kind = np.float32 if single else np.float64
+    valid = materialize(vectors.select("vec_id", "embedding").mapInArrow(_units(kind), _UNIT), "units")
     width = valid.groupBy(F.octet_length("unit").alias("w")).count().orderBy(F.desc("count"), "w").first()
     everyone = vectors.select("vec_id")
     if width is None:
@@ -224,17 +237,19 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, recall: float = RECALL
     valid = valid.where(F.octet_length("unit") == width["w"])
     classes = materialize(valid.groupBy("unit").agg(F.min("vec_id").alias("head"), F.count("*").alias("weight")), "classes")
     n = classes.count()
-    sample = _stack(classes.orderBy(F.xxhash64("unit")).limit(SAMPLE).select("unit").toArrow().column(0))
-    codewords = int(min(MOST_CODEWORDS, max(4, round((n / 32) ** 0.5)), max(1, len(sample) // 8)))
-    fitted = Index.fit(sample, codewords, cosine, recall)
+    sample = _stack(classes.orderBy(F.xxhash64("unit")).limit(SAMPLE).select("unit").toArrow().column(0), kind)
+    most = max(1, len(sample) // 8)
+    first = int(min(MOST_CODEWORDS, max(4, -(-n // CHUNK)), most))
+    second = int(min(MOST_CODEWORDS, max(4, round(n / CELL / first)), most))
+    fitted = Index.fit(sample, (first, second), cosine, recall)
     index = spark.sparkContext.broadcast(fitted)
-    sizes = classes.mapInArrow(_deal(index, None, None), "i long, members long, queries long").groupBy("i").agg(F.sum("members").alias("m"), F.sum("queries").alias("q")).collect()
+    sizes = classes.mapInArrow(_deal(index, kind, None, None), "i long, members long, queries long").groupBy("i").agg(F.sum("members").alias("m"), F.sum("queries").alias("q")).collect()
     members, queries = np.ones(len(fitted.books[0]), np.int64), np.ones(len(fitted.books[0]), np.int64)
     for r in sizes:
         members[r["i"]], queries[r["i"]] = max(1, -(-r["m"] // CHUNK)), max(1, -(-r["q"] // CHUNK))
     message = "i int, m int, q int, kind int, head long, weight long, unit binary"
-    dealt = classes.mapInArrow(_deal(index, members, queries), message)
-    found = materialize(dealt.groupBy("i", "m", "q").applyInArrow(_verify(index, cosine), "a long, b long, n long"), "links")
+    dealt = classes.mapInArrow(_deal(index, kind, members, queries), message)
+    found = materialize(dealt.groupBy("i", "m", "q").applyInArrow(_verify(index, kind, cosine), "a long, b long, n long"), "links")
     of = connected_components(found.where("b IS NOT NULL"), "a", "b")
     links = found.groupBy("a").agg(F.sum("n").alias("n"))
     told = classes.join(links, F.col("head") == F.col("a"), "left").join(of, F.col("head") == F.col("node"), "left")
