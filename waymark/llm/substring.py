@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, LongType, StructType
 
 from waymark.llm.exchange import binary, bucket_count, bucketed, by_block, ordered
-from waymark.llm.flat import Words, buffers, give_back, ranges, windows, words
+from waymark.llm.flat import Words, buffers, give_back, windows, words
 
 WINDOW = 13
 MESSAGE = "block int, _bucket int, hashes binary, docs binary"
@@ -126,19 +126,18 @@ def _kept_text(b: _Bucket, gone: np.ndarray, removed: np.ndarray, join_all: bool
     joined = np.ones(rows, bool) if join_all else removed > 0
     keep = ~gone & joined[w.row]
     s, e, row = w.start[keep], w.end[keep], w.row[keep]
-    # each kept word with the blank after it, but for the last of its row
     last = np.r_[row[1:] != row[:-1], True] if len(row) else np.zeros(0, bool)
-    size = e - s + 1
-    data = np.empty(int(size.sum()), np.uint8)
-    ends = np.cumsum(size)
-    data[ends - 1] = 32
-    inner = np.ones(len(data), bool)
-    inner[ends - 1] = False
-    data[inner] = b.raw[ranges(s, size - 1)]
-    drop = np.ones(len(data), bool)
-    drop[ends[last] - 1] = False
-    data = data[drop]
-    length = np.bincount(row, weights=size - last, minlength=rows).astype(np.int64)
+    # texts stand side by side, so one word may end where the next begins; of the bytes, those of kept words, and the one after each but the last of its row, as a blank
+    change = np.zeros(len(b.raw) + 1, np.int8)
+    change[s] += 1
+    change[e] -= 1
+    kept = np.cumsum(change[:-1], dtype=np.int8).view(bool)
+    gap = e[~last]
+    kept[gap] = True
+    data = b.raw.copy()
+    data[gap] = 32
+    data = data[kept]
+    length = np.bincount(row, weights=e - s + ~last, minlength=rows).astype(np.int64)
     if join_all:
         off = np.r_[0, np.cumsum(length)].astype(np.int32)
         return pa.Array.from_buffers(pa.string(), rows, [None, pa.py_buffer(off.tobytes()), pa.py_buffer(data.tobytes())])
