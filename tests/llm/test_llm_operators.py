@@ -122,6 +122,19 @@ def test_lm_beats_the_base_on_held_out_texts(spark):
     assert all(r.score > 0.6 * r.base_score for r in out)
 
 
+def test_lm_does_not_depend_on_the_blocks(spark, monkeypatch):
+    # a word that is a third of all tokens, with followers of its own, and rarer words around it
+    rng = np.random.default_rng(5)
+    pick = lambda k, n: f"{k}{int(n * rng.random() ** 2)}"
+    data = [(i, " ".join(f"{pick('a', 40)} the {pick('n', 15)}" for _ in range(rng.integers(1, 40))), "") for i in range(300)]
+    df, held, got = spark.createDataFrame(data, DOCS), F.col("doc_id") % 5 == 1, {}
+    for blocks in (1, 7, 400):
+        monkeypatch.setattr(lm, "bucket_count", lambda rows, b=blocks: b)
+        got[blocks] = {r.doc_id: r.score for r in lm.score(df, held).collect()}
+    for blocks in (400, 7):
+        assert got[blocks] == pytest.approx(got[1], abs=1e-4)
+
+
 def test_lm_is_a_distribution(spark):
     """Probabilities of all next words after a context, known ones and the rest by spelling, add up to 1."""
     words = ["aa", "ab", "ba", "abc"]

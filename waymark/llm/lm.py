@@ -5,7 +5,9 @@ A document is its words, A-Z lower-cased, and an end. The tree has two storeys.
 Words: the context of a word is the word before it (none at the start). A
 context stays in the tree if its next-word distribution diverges from the
 suffix's, here the root's, so far that it predicts better, and is smoothed
-towards the root's; the root's is the corpus's, smoothed towards spellings.
+towards the root's; the root's is the corpus's, smoothed towards spellings. The
+test is a second step: blocks first count, then ask each other for the corpus
+counts of the words that follow theirs.
 
 Spellings: the symbols of a word are its bytes and a closing blank, the contexts
 up to DEPTH symbols that reach back to the word's start at most. A context with
@@ -31,9 +33,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.exchange import binary, bucket_count, bucketed, by_block, ordered, pack, unpack_all
+from waymark.llm.exchange import binary, block_of, bucket_count, bucketed, by_block, ordered, pack, unpack, unpack_all
 from waymark.llm.flat import buffers, give_back, hashes, mix, ranges, words
-from waymark.storage import materialize, release
+from waymark.storage import Written, materialize, release
 
 DEPTH = 6
 P_MIN = 4e-6
@@ -42,7 +44,13 @@ SYMBOLS = 256
 _BITS = 9
 
 MESSAGE = "block int, _bucket int, sizes binary, words binary, counts binary, nexts binary, next_hashes binary, next_counts binary"
-ANSWER = "kind int, _bucket int, block int, counts binary, weights binary, next_counts binary, sizes binary, words binary, n long, total long"
+#: Kinds of rows that a block's count makes, and what weighs them: answers to a bucket; the block's part of the vocabulary;
+#: questions of block _bucket for the counts of next words, to block; the block's pairs; counts of next words, to block.
+ANSWERS, VOCABULARY, QUESTIONS, PAIRS, FOLLOWERS = range(5)
+COUNTED = "kind int, _bucket int, block int, counts binary, places binary, next_counts binary, sizes binary, words binary, n long, total long, pool array<long>"
+WEIGHED = "_bucket int, block int, counts binary, weights binary, next_counts binary"
+#: Classes of contexts by the logarithm of their uses.
+CLASSES = 64
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -93,7 +101,7 @@ def _send(blocks: int):
         parts = []
         for x, y in zip(b.bounds[:-1], b.bounds[1:], strict=True):
             p, q = b.first_pair[x], b.first_pair[y]
-            next_hash = b.hash[b.next[p:q]].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+            next_hash = b.hash[b.next[p:q]].astype("<u8").view(np.uint8).reshape(-1, 8)[:, 3:]
             parts.append((pack(b.size[x:y]), b.data[b.first_byte[x] : b.first_byte[y]].tobytes(), pack(b.count[x:y]), pack(b.n_next[x:y]), next_hash.tobytes(), pack(b.pair_count[p:q])))
         bucket = table.column("_bucket")[0].as_py() if table.num_rows else 0
         columns = zip(*parts, strict=True)
@@ -102,28 +110,38 @@ def _send(blocks: int):
     return run
 
 
-def _weights(context: np.ndarray, follower: np.ndarray, n: np.ndarray, total: np.ndarray) -> np.ndarray:
+def _class(total: np.ndarray) -> np.ndarray:
+    return np.log2(np.maximum(total, 1)).astype(np.int64)
+
+
+def _pool(context: np.ndarray, n: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """What the smoothing of all contexts needs of a block's: by class, next words seen once and all; contexts seen twice with two next words, and all of those."""
+    kinds, once = np.bincount(context, minlength=len(total)), np.bincount(context[n == 1], minlength=len(total))
+    size, twice = _class(total), total == 2
+    by_class = [np.bincount(size, weights=v, minlength=CLASSES) for v in (once, total)]
+    return np.concatenate([*by_class, [(kinds[twice] == 2).sum(), twice.sum()]]).astype(np.int64)
+
+
+def _weights(context: np.ndarray, p: np.ndarray, n: np.ndarray, total: np.ndarray, pool: np.ndarray) -> np.ndarray:
     """How much the root's distribution weighs in each context that stays, 0 of others; from pairs with n > 0.
 
+    p: the share of each pair's next word in the training corpus. pool: the sum of
+    _pool over all blocks.
     Smoothing: the share of next words that are new is estimated by the share of
-    those seen once, pulled towards that of all contexts of the block that are
+    those seen once, pulled towards that of all contexts of the corpus that are
     about as frequent; for a context seen once, from the contexts seen twice.
     Divergence test: a context stays if, leaving each use out in turn, the others
-    predict it better than the root's distribution does, which is taken from all
-    pairs of the block.
+    predict it better than the root's distribution does.
     """
     if not len(n):
         return np.zeros(len(total))
-    kinds, once = np.bincount(context, minlength=len(total)), np.bincount(context[n == 1], minlength=len(total))
-    size = np.log2(np.maximum(total, 1)).astype(np.int64)
-    pooled = (np.bincount(size, weights=once) + 1) / (np.bincount(size, weights=total) + 2)
-    twice = total == 2
-    first = ((kinds[twice] == 2).sum() + 1) / (twice.sum() + 2)
+    once, size = np.bincount(context[n == 1], minlength=len(total)), _class(total)
+    pooled = (pool[:CLASSES] + 1) / (pool[CLASSES : 2 * CLASSES] + 2)
+    first = (pool[-2] + 1) / (pool[-1] + 2)
     new = np.where(total > 1, (once + 2 * pooled[size]) / (total + 2), first)
     new = np.clip(new, 0.001, 0.999)
     weight = np.maximum(total, 1) * new / (1 - new)
-    root = np.bincount(follower, weights=n)
-    p, w, t = root[follower] / n.sum(), weight[context], total[context]
+    w, t = weight[context], total[context]
     gain = n * (np.log((n - 1 + w * p) / (t - 1 + w)) - np.log(p))
     alone = t == 1
     gain[alone] = (1 - first) * np.log((1 + w[alone] * p[alone]) / (1 + w[alone]) / p[alone]) + first * np.log(w[alone] / (1 + w[alone]))
@@ -131,45 +149,90 @@ def _weights(context: np.ndarray, follower: np.ndarray, n: np.ndarray, total: np
     return np.where(gain > 0, weight, 0.0)
 
 
-def _count(table: pa.Table) -> pa.Table:
-    """A block's answers: the corpus counts of each message's words and pairs, and the weight of each word as a context; and its part of the vocabulary."""
+def _table(rows: list[dict]) -> pa.Table:
+    """Rows of COUNTED; what a row does not name is null."""
+    kinds = {"kind": pa.int32(), "_bucket": pa.int32(), "block": pa.int32(), **dict.fromkeys(("counts", "places", "next_counts", "sizes", "words"), pa.binary()), "n": pa.int64(), "total": pa.int64(), "pool": pa.list_(pa.int64())}
+    return pa.table({k: pa.array([r.get(k) for r in rows], t) for k, t in kinds.items()})
+
+
+def _five(parts: list[bytes]) -> np.ndarray:
+    """The upper 40 bits of hashes."""
+    five = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, 5)
+    out = np.zeros((len(five), 8), np.uint8)
+    out[:, :5] = five
+    return out.view("<u8").ravel()
+
+
+def _count(blocks: int):
+    def run(table: pa.Table) -> pa.Table:
+        """A block's rows of COUNTED: the corpus counts of each message's words and pairs, and the places of its words among the block's; what the weights of the block's words as contexts need."""
+        give_back()
+        size, each = unpack_all(table.column("sizes"))
+        data = np.frombuffer(b"".join(table.column("words").to_pylist()), np.uint8)
+        count, _ = unpack_all(table.column("counts"))
+        nexts, _ = unpack_all(table.column("nexts"))
+        pair_count, pairs = unpack_all(table.column("next_counts"))
+        next_hash = _five(table.column("next_hashes").to_pylist())
+        _, first, which = np.unique(hashes(data, size), return_index=True, return_inverse=True)
+        total = np.bincount(which, weights=count, minlength=len(first)).astype(np.int64)
+        context = np.repeat(which, nexts)
+        distinct, one, pair = np.unique(mix(next_hash + mix(context.astype(np.uint64) + np.uint64(1))), return_index=True, return_inverse=True)
+        pair_total = np.bincount(pair, weights=pair_count, minlength=len(distinct)).astype(np.int64)
+        bucket, block = table.column("_bucket").to_pylist(), table.column("block")[0].as_py()
+        cut, cut_pairs = np.cumsum(each)[:-1], np.cumsum(pairs)[:-1]
+        parts = zip(np.split(total[which], cut), np.split(which, cut), np.split(pair_total[pair], cut_pairs), strict=True)
+        rows = [{"kind": ANSWERS, "_bucket": b, "block": block, "counts": pack(c), "places": w.astype("<i4").tobytes(), "next_counts": pack(n)} for b, (c, w, n) in zip(bucket, parts, strict=True)]
+        # the pairs of training documents, by context
+        used = np.flatnonzero(pair_total > 0)
+        used = used[np.argsort(context[one[used]], kind="stable")]
+        after, follower = np.unique(next_hash[one[used]], return_inverse=True)
+        context, n = context[one[used]], pair_total[used]
+        uses = np.bincount(context, weights=n, minlength=len(total)).astype(np.int64)
+        rows.append({"kind": PAIRS, "block": block, "sizes": pack(np.bincount(context, minlength=len(total))), "places": follower.astype("<i4").tobytes(), "next_counts": pack(n)})
+        _, asked, bounds = by_block(after << np.uint64(24), blocks)
+        after = after.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+        rows += [{"kind": QUESTIONS, "_bucket": block, "block": int(k), "words": after[x:y].tobytes()} for k, x, y in zip(asked, bounds[:-1], bounds[1:], strict=True)]
+        seen = np.flatnonzero(total > 0)
+        begin = (np.cumsum(size) - size)[first[seen]]
+        rows.append({
+            "kind": VOCABULARY, "block": block, "counts": pack(total[seen]), "sizes": pack(size[first[seen]]), "words": data[ranges(begin, size[first[seen]])].tobytes(),
+            "n": len(seen), "total": int(total.sum()), "pool": _pool(context, n, uses),
+        })
+        return _table(rows)
+
+    return run
+
+
+def _follow(table: pa.Table) -> pa.Table:
+    """Answers of a block to the questions for the counts of its words."""
     give_back()
-    size, each = unpack_all(table.column("sizes"))
-    data = np.frombuffer(b"".join(table.column("words").to_pylist()), np.uint8)
-    count, _ = unpack_all(table.column("counts"))
-    nexts, _ = unpack_all(table.column("nexts"))
-    pair_count, pairs = unpack_all(table.column("next_counts"))
-    five = np.frombuffer(b"".join(table.column("next_hashes").to_pylist()), np.uint8).reshape(-1, 5)
-    next_hash = np.zeros((len(five), 8), np.uint8)
-    next_hash[:, :5] = five
-    next_hash = next_hash.view("<u8").ravel()
-    _, first, which = np.unique(hashes(data, size), return_index=True, return_inverse=True)
-    total = np.bincount(which, weights=count, minlength=len(first)).astype(np.int64)
-    context = np.repeat(which, nexts)
-    distinct, one, pair = np.unique(mix(next_hash + mix(context.astype(np.uint64) + np.uint64(1))), return_index=True, return_inverse=True)
-    pair_total = np.bincount(pair, weights=pair_count, minlength=len(distinct)).astype(np.int64)
-    used = pair_total > 0
-    _, follower = np.unique(next_hash[one[used]], return_inverse=True)
-    weight = _weights(context[one[used]], follower, pair_total[used], np.bincount(context[one], weights=pair_total, minlength=len(total)).astype(np.int64))
-    cut, cut_pairs = np.cumsum(each)[:-1], np.cumsum(pairs)[:-1]
-    seen = np.flatnonzero(total > 0)
-    begin = (np.cumsum(size) - size)[first[seen]]
-    bucket, block = table.column("_bucket").to_pylist(), table.column("block")[0].as_py()
-    n = len(bucket)
-    rows = {
-        "kind": [0] * n + [1],
-        "_bucket": [*bucket, None],
-        "block": [block] * (n + 1),
-        "counts": [*map(pack, np.split(total[which], cut)), None],
-        "weights": [*(w.astype("<f4").tobytes() for w in np.split(weight[which], cut)), None],
-        "next_counts": [*map(pack, np.split(pair_total[pair], cut_pairs)), None],
-        "sizes": [None] * n + [pack(size[first[seen]])],
-        "words": [None] * n + [data[ranges(begin, size[first[seen]])].tobytes()],
-        "n": [None] * n + [len(seen)],
-        "total": [None] * n + [int(total.sum())],
-    }
-    kinds = (pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * 5, pa.int64(), pa.int64())
-    return pa.table({k: pa.array(v, t) for (k, v), t in zip(rows.items(), kinds, strict=True)})
+    kind = table.column("kind").to_numpy()
+    own, asked = table.filter(pa.array(kind == VOCABULARY)), table.filter(pa.array(kind == QUESTIONS))
+    size, _ = unpack_all(own.column("sizes"))
+    count, _ = unpack_all(own.column("counts"))
+    word, which = np.unique(hashes(np.frombuffer(b"".join(own.column("words").to_pylist()), np.uint8), size) >> np.uint64(24), return_inverse=True)
+    count = np.bincount(which, weights=count, minlength=len(word)).astype(np.int64)
+    questions = zip(asked.column("_bucket").to_pylist(), asked.column("block").to_pylist(), asked.column("words").to_pylist(), strict=True)
+    return _table([{"kind": FOLLOWERS, "_bucket": k, "block": b, "counts": pack(count[np.searchsorted(word, _five([w]))])} for b, k, w in questions])
+
+
+def _weigh(tokens: int, pool: np.ndarray):
+    def run(table: pa.Table) -> pa.Table:
+        """A block's answers, with the weights of their words as contexts."""
+        give_back()
+        kind = table.column("kind").to_numpy()
+        answers, own, told = (table.filter(pa.array(kind == k)) for k in (ANSWERS, PAIRS, FOLLOWERS))
+        # questions went by block in the order of the hashes
+        count, _ = unpack_all(told.take(pa.array(np.argsort(told.column("_bucket").to_numpy()))).column("counts"))
+        kinds, n = unpack(own.column("sizes")[0].as_py()), unpack(own.column("next_counts")[0].as_py())
+        context = np.repeat(np.arange(len(kinds)), kinds)
+        p = count[np.frombuffer(own.column("places")[0].as_py(), "<i4")] / max(tokens, 1)
+        total = np.bincount(context, weights=n, minlength=len(kinds)).astype(np.int64)
+        weight = _weights(context, p, n, total, pool).astype("<f4")
+        weights = [weight[np.frombuffer(x, "<i4")].tobytes() for x in answers.column("places").to_pylist()]
+        return answers.select(["_bucket", "block", "counts"]).append_column("weights", pa.array(weights, pa.binary())).append_column("next_counts", answers.column("next_counts"))
+
+    return run
 
 
 def sequences(data: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -343,7 +406,7 @@ def _score(model, blocks: int, tokens: int, known: int):
 
 
 def learn(vocabulary: DataFrame, blocks: int) -> Tree:
-    """The spelling tree of the training words in ``vocabulary`` (rows of kind 1 of the count)."""
+    """The spelling tree of the training words in ``vocabulary`` (those rows of the count)."""
     groups = max(12, blocks // 8)
     grams = vocabulary.withColumn("_group", F.pmod(F.xxhash64("block"), F.lit(groups))).groupBy("_group").applyInArrow(_grams, "key long, n long")
     each = grams.groupBy("key").agg(F.sum("n").alias("n"))
@@ -373,12 +436,20 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     n = bucket_count(rows)
     dealt = bucketed(rows, n)
     sent = dealt.groupBy("_bucket").applyInArrow(_send(n), MESSAGE)
-    counted = materialize(sent.groupBy("block").applyInArrow(_count, ANSWER), "counts")
+    written = Written(sent.groupBy("block").applyInArrow(_count(n), COUNTED), "counts")
+    counted = written.df
     # the messages are answered: their shuffle need not be kept beside the next
     release(spark)
-    vocabulary = counted.where("kind = 1")
+    vocabulary = counted.where(F.col("kind") == VOCABULARY)
     known, total = vocabulary.agg(F.sum("n"), F.sum("total")).first()
+    pool = np.zeros(2 * CLASSES + 2, np.int64)
+    for place, value in vocabulary.select(F.posexplode("pool")).groupBy("pos").agg(F.sum("col")).collect():
+        pool[place] = value
     tree = spark.sparkContext.broadcast(learn(vocabulary.select("block", "words", "sizes"), n))
     release(spark)
-    answers = counted.where("kind = 0").select("_bucket", "block", "counts", "weights", "next_counts")
+    followers = counted.where(F.col("kind").isin(VOCABULARY, QUESTIONS)).groupBy("block").applyInArrow(_follow, COUNTED)
+    weighed = counted.where(F.col("kind").isin(ANSWERS, PAIRS)).unionByName(followers).select("kind", "_bucket", "block", "counts", "places", "next_counts", "sizes")
+    answers = materialize(weighed.groupBy("block").applyInArrow(_weigh(total or 0, pool), WEIGHED), "weights")
+    written.drop()
+    release(spark)
     return dealt.groupBy("_bucket").cogroup(answers.groupBy("_bucket")).applyInArrow(_score(tree, n, total or 0, known or 0), SCORES)
