@@ -426,6 +426,21 @@ def test_warc_of_other_writers(spark, tmp_path):
     assert got == [(1, 27000), (1, 27000), (2, 1), (2, 1)]
 
 
+@pytest.mark.parametrize("packed", [True, False])
+def test_warc_long_urls(spark, tmp_path, packed):
+    rng, letters = np.random.default_rng(3), np.frombuffer(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789-_", np.uint8)
+    # among the lengths are those that put byte 4,096 into the HTTP headers
+    sizes = [*range(3500, 4200, 7), 5000, 60_000, 2_000_000]
+    urls = [u for n in sizes for u in ("http://x/" + rng.choice(letters, n).tobytes().decode(), "http://x/" + "a" * n)]
+    pack = warc.member if packed else bytes
+    data = b"".join(pack(warc.record(i, u, "revisit", 7, warc.digest(b"abc"), b"abc")) + pack(warc.record(-1 - i, u, "response", None, warc.digest(b"abc"), b"abc")) for i, u in enumerate(urls))
+    (tmp_path / ("x.warc.gz" if packed else "x.warc")).write_bytes(data)
+    got = warc.read_archives(spark, f"file://{tmp_path}", payload="none").select("page_id", "record_type", "payload_bytes", "refers_to", F.md5("target_uri")).collect()
+    name = [hashlib.md5(u.encode()).hexdigest() for u in urls]
+    want = [(i, "revisit", 3, 7, h) for i, h in enumerate(name)] + [(-1 - i, "response", 3, None, h) for i, h in enumerate(name)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_warc_finds_a_spoilt_payload(spark, tmp_path):
     bad = warc.record(1, "http://x", "response", None, warc.digest(b"abc"), b"abd")
     (tmp_path / "bad.warc").write_bytes(bad)

@@ -111,6 +111,14 @@ def parse_head(data: bytes) -> tuple[dict[str, str], int] | None:
     return {k.strip().lower(): v.strip() for k, _, v in pairs}, end + 4
 
 
+def _complete(data: bytes, parsed: tuple[dict[str, str], int] | None) -> bool:
+    """Whether a record's beginning holds all its headers, those of HTTP too."""
+    if parsed is None:
+        return False
+    head, start = parsed
+    return not head.get("content-type", "").startswith("application/http") or data.find(b"\r\n\r\n", start) >= 0
+
+
 def _number(urn: str | None) -> int | None:
     digits = (urn or "").strip("<>").removeprefix(_ID)
     return int(digits) if digits.lstrip("-").isdigit() else None
@@ -186,14 +194,17 @@ class _Source:
             if len(data) >= 24 and data[3] & 4 and data[12:14] == b"sl":
                 low, high = struct.unpack("<II", data[16:24])
                 length = low | high << 32
-                unzip = zlib.decompressobj(31)
-                head = unzip.decompress(data[:length], _HEAD)
-                done, parsed = min(len(data), length), parse_head(head)
-                while (parsed is None or b"\r\n\r\n" not in head[parsed[1] :]) and done < length and len(head) < 1 << 20:
-                    more = self._at(at + done, min(_HEAD, length - done))
-                    done += len(more)
-                    head += unzip.decompress(unzip.unconsumed_tail + more)
+                unzip, head, left, done = zlib.decompressobj(31), b"", data[:length], min(len(data), length)
+                while left:
+                    # as much again each time, so that long headers are searched a few times only
+                    head += unzip.decompress(left, max(_HEAD, len(head)))
                     parsed = parse_head(head)
+                    if unzip.eof or _complete(head, parsed):
+                        break
+                    left = unzip.unconsumed_tail
+                    if not left and done < length:
+                        left = self._at(at + done, min(max(_HEAD, done), length - done))
+                        done += len(left)
                 whole = lambda: zlib.decompress(self._at(at, length), 31)  # noqa: B023, E731
             else:
                 unzip, parts, k = zlib.decompressobj(31), [], at
@@ -212,13 +223,15 @@ class _Source:
     def _plain(self, wanted, payloads) -> Iterator[dict]:
         at = 0
         while at < self.size:
-            n, parsed = _HEAD, None
-            while parsed is None:
+            n = _HEAD
+            while True:
                 data = self._at(at, n)
                 parsed = parse_head(data)
-                if parsed is None and len(data) < n:
-                    raise ValueError(f"a record without headers at byte {at}")
+                if _complete(data, parsed) or len(data) < n:
+                    break
                 n *= 4
+            if parsed is None:
+                raise ValueError(f"a record without headers at byte {at}")
             head, start = parsed
             length = start + int(head["content-length"])
             yield from self._record(head, start, data, lambda: self._at(at, length), wanted, payloads)  # noqa: B023
