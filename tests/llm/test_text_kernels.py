@@ -73,6 +73,19 @@ def test_encoder_forgets_and_stays_exact(both, monkeypatch):
         assert [g.tolist() for g in np.split(ids, np.cumsum(count)[:-1])] == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_queries_encode_as_the_library_does_when_loaded(name):
+    text = vocab.read_vocabulary(public_tokenizers.path(name))
+    ours, library = vocab.encoder(text), Tokenizer.from_str(text)
+    rng = random.Random(4)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|endof", "text|>", "<|", "|>", " ", "  ", "\n", "Word", "end of it", ".", "é", "\u2003", "'s"]
+    texts = ["end of it <|endoftext|> next", "<|endoftext|>", "<|endof", "text|>", *("".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(2000))]
+    ids, count = ours.encode(*flat.buffers(pa.array(texts, pa.string())))
+    got = [g.tolist() for g in np.split(ids, np.cumsum(count)[:-1])]
+    assert got == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+    assert any({49407, 50256} & set(g) for g in got)
+
+
 @pytest.fixture(scope="module")
 def pieces():
     path = public_tokenizers.path("piece_bpe_32k.model")

@@ -3,8 +3,8 @@
 The bytes of a whole batch are cut, by masks, where the tokenizer itself always
 cuts. The library encodes each segment that is not remembered, and the ids of
 a batch are gathered from what is remembered. Texts with a character at which
-the cuts might not hold are given to the library whole. Files are read by the
-driver, and their content broadcast: each is a vocabulary of a few MB.
+the cuts might not hold, or with the content of an added token, are given to the
+library whole. Files are read by the driver, and their content broadcast: each is a vocabulary of a few MB.
 """
 
 from __future__ import annotations
@@ -53,16 +53,30 @@ class Encoder:
     #: Ids kept for remembered segments; beyond them the table is emptied.
     IDS = 12_000_000
 
-    def __init__(self, vocabulary: str) -> None:
+    def __init__(self, vocabulary: str, added: bool = False) -> None:
+        """added: whether the content of an added token is that token, the library's default; else it is text like other."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
         # the tokenizer that drops space also lower-cases, so letters A-Z may be lower-cased at once
         self.drops_space = '"Removed"' in vocabulary[:4000] and '"Lowercase"' in vocabulary[:4000]
+        # sought in what is cut, which may be lower-cased: the library decides on the text itself
+        contents = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
+        self.contents = sorted({lower_case(np.frombuffer(c, np.uint8)).tobytes() if self.drops_space else c for c in contents})
         self._forget()
 
+    def _added_places(self, data: np.ndarray) -> np.ndarray:
+        """Positions of added tokens' content."""
+        out, text = [], data.tobytes() if self.contents else b""
+        for content in self.contents:
+            at = text.find(content)
+            while at >= 0:
+                out.append(at)
+                at = text.find(content, at + 1)
+        return np.array(out, np.int64)
+
     def _forget(self) -> None:
         self.key = np.zeros(self.SLOTS, np.uint64)
         self.at = np.zeros(self.SLOTS, np.int32)
@@ -112,7 +126,8 @@ class Encoder:
         data, rows = lower_case(raw) if self.drops_space else raw, len(off) - 1
         n = len(data)
         s, e = self._segments(data, off)
-        odd = np.unique(np.searchsorted(off[1:], _odd_places(raw), "right")) if n else np.zeros(0, np.int64)
+        places = np.concatenate([_odd_places(raw), self._added_places(data)])
+        odd = np.unique(np.searchsorted(off[1:], places, "right")) if n else np.zeros(0, np.int64)
         if len(odd):
             keep = ~np.isin(np.searchsorted(off[1:], s, "right"), odd)
             s, e = s[keep], e[keep]
@@ -166,7 +181,7 @@ def encoder(vocabulary: str) -> Encoder:
     """One encoder for a worker process and vocabulary."""
     key = hash(vocabulary)
     if key not in _made:
-        _made[key] = Encoder(vocabulary)
+        _made[key] = Encoder(vocabulary, added=True)
     return _made[key]
 
 
