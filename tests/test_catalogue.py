@@ -41,6 +41,21 @@ def test_query(spark, duck, name):
     assert canonical(rows) == canonical(expected)
 
 
+def test_map_match_takes_all_records(spark, duck):
+    """Every record is in its vehicle's trace, and each trace is matched as by a plain search."""
+    from waymark.operators import mapmatching
+
+    got = {r.vehicle_id: r for r in catalogue.map_match(spark, SF).collect()}
+    n = dict(duck.execute("SELECT user_id, count(*) FROM events GROUP BY 1").fetchall())
+    assert {k: len(r.path) for k, r in got.items()} == n
+    assert max(n.values()) > 10
+    ways = {}
+    for u, v, length in sorted((e.u, e.v, float(e.n)) for e in catalogue.trade(spark, SF).collect()):
+        ways.setdefault(u, []).append((v, length))
+    for r in got.values():
+        assert r.node_path == mapmatching.match(ways, r.path, {})
+
+
 def test_entry_points(spark):
     import __spark_entry__
 

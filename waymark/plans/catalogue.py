@@ -347,9 +347,10 @@ def trace_build(spark: SparkSession, sf: str) -> DataFrame:
     return t.select("vehicle_id", F.size("t").cast("long").alias("n"), text.alias("trace"))
 
 
-def _paths(spark: SparkSession, sf: str, most: int) -> DataFrame:
-    """Each vehicle's first nodes by time."""
-    ordered = F.slice(F.sort_array(F.collect_list(F.struct("time", "record_id", "camera_id"))), 1, most)
+def _paths(spark: SparkSession, sf: str, most: int | None = None) -> DataFrame:
+    """Each vehicle's nodes by time; the first ``most`` of them, where the query's SQL takes these."""
+    ordered = F.sort_array(F.collect_list(F.struct("time", "record_id", "camera_id")))
+    ordered = ordered if most is None else F.slice(ordered, 1, most)
     return records(spark, sf).groupBy("vehicle_id").agg(F.transform(ordered, lambda s: s["camera_id"]).alias("path"))
 
 
@@ -619,7 +620,7 @@ def stream_clusters(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def map_match(spark: SparkSession, sf: str) -> DataFrame:
     edges = trade(spark, sf).select("u", "v", F.col("n").cast("double").alias("length"))
-    return mapmatching.map_match(_paths(spark, sf, 10), edges, "path")
+    return mapmatching.map_match(_paths(spark, sf), edges, "path")
 
 
 @query()
