@@ -128,31 +128,130 @@ def test_lm_does_not_depend_on_the_blocks(spark, monkeypatch):
     pick = lambda k, n: f"{k}{int(n * rng.random() ** 2)}"
     data = [(i, " ".join(f"{pick('a', 40)} the {pick('n', 15)}" for _ in range(rng.integers(1, 40))), "") for i in range(300)]
     df, held, got = spark.createDataFrame(data, DOCS), F.col("doc_id") % 5 == 1, {}
-    for blocks in (1, 7, 400):
-        monkeypatch.setattr(lm, "bucket_count", lambda rows, b=blocks: b)
-        got[blocks] = {r.doc_id: r.score for r in lm.score(df, held).collect()}
-    for blocks in (400, 7):
-        assert got[blocks] == pytest.approx(got[1], abs=1e-4)
+    for deal in ((1, 1), (24, 7), (200, 200)):
+        monkeypatch.setattr(lm, "deal_counts", lambda rows, d=deal: d)
+        got[deal] = {r.doc_id: r.score for r in lm.score(df, held).collect()}
+    for deal in list(got)[1:]:
+        assert got[deal] == pytest.approx(got[1, 1], rel=1e-9, abs=1e-6)
 
 
-def test_lm_is_a_distribution(spark):
-    """Probabilities of all next words after a context, known ones and the rest by spelling, add up to 1."""
-    words = ["aa", "ab", "ba", "abc"]
-    count = Counter("aa ab aa ba ab aa abc aa ab".split())
-    data, size = np.frombuffer("".join(words).encode(), np.uint8), np.array([len(w) for w in words])
-    table = {}
+def spelling_tree(words):
+    table = Counter()
     for w in words:
         seq = [32, *w.encode(), 32]
         for j in range(1, len(seq)):
             for d in range(min(lm.DEPTH, j) + 1):
                 code = sum((seq[j - k] + 1) << (9 * (k - 1)) for k in range(1, d + 1))
-                table.setdefault(code, Counter())[seq[j]] += 1
-    tree = lm.Tree.fit({k: dict(v) for k, v in table.items()})
+                table[(code << 9) | (seq[j] + 1)] += 1
+    return lm.Tree.fit(np.array(list(table), np.int64), np.array(list(table.values()), np.int64))
+
+
+class BruteModel:
+    """The word storey by dictionaries of tuples; spellings by the tree itself."""
+
+    def __init__(self, texts):
+        self.count = Counter()
+        for t in texts:
+            s = ["", *t, ""]
+            for j in range(1, len(s)):
+                for n in range(1, min(lm.WORDS + 1, j + 1) + 1):
+                    self.count[tuple(s[j - n + 1 : j + 1])] += 1
+        self.uses = lambda s: self.count[s] if s != ("",) else len(texts)
+        self.tokens = sum(c for s, c in self.count.items() if len(s) == 1)
+        words = sorted({s[0] for s in self.count if len(s) == 1 and s[0]})
+        self.known = len({s for s in self.count if len(s) == 1})
+        self.tree = spelling_tree(words)
+        follow = {}
+        for s, c in self.count.items():
+            if len(s) > 1:
+                follow.setdefault(s[:-1], {})[s[-1]] = c
+        self.weight = {}
+        for s, nexts in follow.items():
+            if self.examined(s):
+                gains = []
+                for k in range(len(lm.SHARES)):
+                    n, w = self.uses(s), max(lm.LEAST_WEIGHT, lm.SHARES[k] * self.uses(s))
+                    gains.append((sum(c * math.log((c - 1 + w * self.suffix(s, x)) / (n - 1 + w) / self.suffix(s, x)) for x, c in nexts.items()), w))
+                best = max(g for g, _ in gains)
+                if best > lm.LEAST_GAIN:
+                    self.weight[s] = next(w for g, w in gains if g == best)
+
+    def examined(self, s):
+        n = self.uses(s)
+        return n >= 2 and (len(s) == 1 or n != self.uses(s[1:]))
+
+    def suffix(self, s, x):
+        q = self.count[(x,)] / self.tokens
+        for d in range(1, len(s)):
+            if self.examined(s[len(s) - d :]):
+                q = (self.count[(*s[len(s) - d :], x)] + q) / (self.uses(s[len(s) - d :]) + 1)
+        return q
+
+    def p(self, before, x):
+        k = max(self.known, 1)
+        spelt = 1 / (k + 1) if x == "" else k / (k + 1) * 10 ** self.tree.words(np.frombuffer(x.encode(), np.uint8), np.array([len(x.encode())]))[0]
+        out = (self.count[(x,)] + k * spelt) / (self.tokens + k)
+        for d in range(1, min(lm.WORDS, len(before)) + 1):
+            s = tuple(before[-d:])
+            if s in self.weight:
+                w = self.weight[s]
+                out = (self.count[(*s, x)] + w * out) / (self.uses(s) + w)
+        return out
+
+
+def phrases(seed, n):
+    """Texts of few words, with phrases that come back, one hot word, and documents that occur twice."""
+    rng = np.random.default_rng(seed)
+    words = [f"w{k}" for k in range(12)]
+    texts = []
+    for i in range(n):
+        w = []
+        for _ in range(rng.integers(0, 9)):
+            w += [["a", "b", "c", "d"], ["a", "b", "e"], ["the"], rng.choice(words, 2).tolist(), ["x", "b", "c", "f"]][rng.integers(5)]
+        texts.append(texts[-1] if i % 9 == 8 else w)
+    return texts
+
+
+def test_lm_scores_equal_brute_force(spark, monkeypatch):
+    texts = phrases(1, 120)
+    monkeypatch.setattr(lm, "deal_counts", lambda rows: (5, 3))
+    df = spark.createDataFrame([(i, " ".join(t).upper(), None) for i, t in enumerate(texts)], DOCS)
+    got = {r.doc_id: r.score for r in lm.score(df, F.col("doc_id") % 4 == 1).collect()}
+    model = BruteModel([t for i, t in enumerate(texts) if i % 4 != 1])
+    assert {len(s) for s in model.weight} == {1, 2, 3}
+    for i, t in enumerate(texts):
+        s = ["", *t, ""]
+        assert got[i] == pytest.approx(sum(math.log10(model.p(s[:j], s[j])) for j in range(1, len(s))), rel=1e-9)
+
+
+def test_lm_adds_up_to_one_at_most():
+    texts = phrases(2, 60)
+    model = BruteModel(texts)
+    vocabulary = ["", *sorted({w for t in texts for w in t})]
+    for context in ([""], ["", "a"], ["a", "b"], ["x", "b", "c"], ["", "zzz"]):
+        known = sum(model.p(context, x) for x in vocabulary)
+        assert 0.5 < known < 1
+
+
+def test_lm_tells_texts_that_occur_twice(spark):
+    rng = np.random.default_rng(7)
+    words = [f"w{k}" for k in range(300)]
+    texts = [" ".join(rng.choice(words, 60)) for _ in range(90)]
+    texts += texts[:15]
+    out = lm.score(spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], DOCS), F.lit(False)).collect()
+    gain = {r.doc_id: r.score - r.base_score for r in out}
+    assert min(gain[i] for i in range(15)) > max(gain[i] for i in range(15, 90)) + 60
+
+
+def test_lm_is_a_distribution(spark):
+    """Probabilities of all next words after a context, known ones and the rest by spelling, add up to 1."""
+    words = ["aa", "ab", "ba", "abc"]
+    tree = spelling_tree(words)
+    data, size = np.frombuffer("".join(words).encode(), np.uint8), np.array([len(w) for w in words])
     assert tree.words(data, size).max() < 0
     for state in range(len(tree.parent)):
         p = 10 ** tree._next(np.full(256, state), np.arange(256))
         assert p.sum() == pytest.approx(1, abs=1e-9)
-    assert count["aa"] == 4
 
 
 def test_lm_edges(spark, empty):

@@ -2,14 +2,19 @@
 
 Operators that must look every word or window of the corpus up in a table built
 from all of it would, row by row, shuffle a row for each. Here a bucket of
-documents (a few MB of text, by a hash of doc_id) sends each block of the hash
-space one message with all its keys for it, each distinct key once; a block
-answers each message with one of equal order. Keys go at 8 bytes and answers at a
-bit or a few bytes, and a key that is frequent in the corpus is one entry for
-each bucket, not one for each use: no hot key gathers rows.
+documents (a few MB of text, by a hash of doc_id and text) sends each block of the
+hash space one message with all its keys for it, each distinct key once and in
+ascending order; a block answers each message with one of equal order. A key that
+is frequent in the corpus is one entry for each bucket, not one for each use: no
+hot key gathers rows.
+
+Buckets grow with the input, blocks only once a block would hold the keys of more
+than BLOCK_BYTES of text: messages are LEAST_BLOCKS a bucket up to LEAST_BLOCKS *
+BLOCK_BYTES of text, and never more than there are distinct keys in the buckets.
+Keys go at KEY_BYTES: with the block they are in, collisions stay as rare at every size.
 
 Buckets are made of documents alone, in the order of (doc_id, text), so a
-recomputed task sends the same message.
+recomputed task sends the same message. Rows without a doc_id are spread by their text.
 """
 
 from __future__ import annotations
@@ -22,17 +27,20 @@ from pyspark.sql import functions as F
 from waymark.llm.flat import give_back
 
 BUCKET_BYTES = 4 << 20
+BLOCK_BYTES = 32 << 20
 LEAST_BUCKETS = 24
+LEAST_BLOCKS = 128
+KEY_BYTES = 5
 
 
-def bucket_count(docs: DataFrame, text: str = "text") -> int:
-    """Buckets of about BUCKET_BYTES of text; grows with the input."""
+def deal_counts(docs: DataFrame, text: str = "text") -> tuple[int, int]:
+    """Buckets of about BUCKET_BYTES of text, and blocks for the keys of about BLOCK_BYTES of text each."""
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    return max(LEAST_BUCKETS, -(-size // BUCKET_BYTES))
+    return max(LEAST_BUCKETS, -(-size // BUCKET_BYTES)), max(LEAST_BLOCKS, -(-size // BLOCK_BYTES))
 
 
 def bucketed(docs: DataFrame, buckets: int) -> DataFrame:
-    return docs.withColumn("_bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
+    return docs.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int"))
 
 
 def ordered(table: pa.Table) -> pa.Table:
@@ -48,13 +56,24 @@ def block_of(h: np.ndarray, blocks: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
 
 
-def by_block(h: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A stable order by block, the blocks that occur, and the bounds of each in that order."""
+def cuts(h: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of ascending hashes: the blocks that occur, and the bounds of each."""
     block = block_of(h, blocks)
-    order = np.argsort(block, kind="stable")
-    block = block[order]
     first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else np.zeros(0, np.int64)
-    return order, block[first], np.r_[first, len(block)]
+    return block[first], np.r_[first, len(block)]
+
+
+def keys(h: np.ndarray) -> np.ndarray:
+    """The lower KEY_BYTES of hashes, a row each; the block tells most of the rest."""
+    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
+
+
+def read_keys(parts: list[bytes]) -> np.ndarray:
+    """Keys of messages, one after another, as numbers."""
+    five = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, KEY_BYTES)
+    out = np.zeros((len(five), 8), np.uint8)
+    out[:, :KEY_BYTES] = five
+    return out.view("<u8").ravel()
 
 
 def binary(parts: list[bytes]) -> pa.Array:
@@ -76,6 +95,18 @@ def unpack(data: bytes) -> np.ndarray:
 
 
 def unpack_all(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers of all rows, one after another, and how many each has."""
-    parts = [unpack(x) for x in column.to_pylist()]
+    """The numbers of all rows, one after another, and how many each has; a null has none."""
+    parts = [unpack(x) if x is not None else np.zeros(0, np.int64) for x in column.to_pylist()]
     return np.concatenate([np.zeros(0, np.int64), *parts]), np.array([len(p) for p in parts], np.int64)
+
+
+def by_block(h: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    block = block_of(h, blocks)
+    order = np.argsort(block, kind="stable")
+    block = block[order]
+    first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else np.zeros(0, np.int64)
+    return order, block[first], np.r_[first, len(block)]
+
+
+def bucket_count(docs, text="text"):
+    return deal_counts(docs, text)[0]

@@ -2,12 +2,15 @@
 
 A document is its words, A-Z lower-cased, and an end. The tree has two storeys.
 
-Words: the context of a word is the word before it (none at the start). A
-context stays in the tree if its next-word distribution diverges from the
-suffix's, here the root's, so far that it predicts better, and is smoothed
-towards the root's; the root's is the corpus's, smoothed towards spellings. The
-test is a second step: blocks first count, then ask each other for the corpus
-counts of the words that follow theirs.
+Words: the contexts of a word are the one to WORDS words before it, back to the
+start of its document at most, which counts as a word of its own. A context is
+examined if it occurs twice or more in training, and not always after the same
+word (then it says nothing that its suffix doesn't say). It stays in the tree if
+its next-word distribution diverges from its suffix's: if, each use left out in
+turn, the others predict it better than the suffix does, by LEAST_GAIN nats in
+all. A context that stays is smoothed towards the next shorter one that stays, in
+the end towards the corpus's shares of words, and these towards spellings; of
+four degrees of smoothing it takes the one that predicts the left-out uses best.
 
 Spellings: the symbols of a word are its bytes and a closing blank, the contexts
 up to DEPTH symbols that reach back to the word's start at most. A context with
@@ -16,12 +19,15 @@ from its longest suffix's (or if a longer one that stays needs it). This storey
 learns from each distinct word once, as it is needed for rare ones, and knows all
 bytes, so every text has a probability.
 
-A text is scored by the longest suffix that stays, symbol by symbol. Counts come
-from the whole training corpus through the exchange of buckets and blocks: a
-block holds the words that hash to it, with all their next words. The spelling
-storey has DEPTH / P_MIN contexts at most, whatever the corpus, and that bound is
-why it may be collected and broadcast; the word storey grows with the corpus and
-stays distributed.
+A text is scored by the longest suffix that stays, symbol by symbol. All counts
+are those of the whole training corpus, whatever the dealing: buckets of documents
+ask blocks of hashes (see exchange). The counts of sequences of one and two words
+come first; those of n + 1 words are asked where the n before the last are examined
+as a context. Once a bucket knows them, it sums the test's terms over its own uses
+of each context, and a block adds up these sums: one entry a bucket for each
+context, however often it is used. The word storey grows with the corpus and stays
+distributed; the spelling storey has DEPTH / P_MIN contexts at most, whatever the
+corpus, and that bound is why it may be collected and broadcast.
 """
 
 from __future__ import annotations
@@ -33,206 +39,235 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.exchange import binary, block_of, bucket_count, bucketed, by_block, ordered, pack, unpack, unpack_all
+from waymark.llm.exchange import KEY_BYTES, binary, bucketed, cuts, deal_counts, keys, ordered, pack, read_keys, unpack_all
 from waymark.llm.flat import buffers, give_back, hashes, mix, ranges, words
 from waymark.storage import Written, materialize, release
 
+#: Words of a context.
+WORDS = 3
+#: Nats by which a context must predict its left-out uses better than its suffix does.
+LEAST_GAIN = 1.0
+#: Weights of the suffix in a context of N uses: these shares of N, LEAST_WEIGHT at least.
+SHARES = (1 / 64, 1 / 16, 1 / 4, 1)
+LEAST_WEIGHT = 0.5
 DEPTH = 6
 P_MIN = 4e-6
 BLANK = 0x20
 SYMBOLS = 256
 _BITS = 9
 
-MESSAGE = "block int, _bucket int, sizes binary, words binary, counts binary, nexts binary, next_hashes binary, next_counts binary"
-#: Kinds of rows that a block's count makes, and what weighs them: answers to a bucket; the block's part of the vocabulary;
-#: questions of block _bucket for the counts of next words, to block; the block's pairs; counts of next words, to block.
-ANSWERS, VOCABULARY, QUESTIONS, PAIRS, FOLLOWERS = range(5)
-COUNTED = "kind int, _bucket int, block int, counts binary, places binary, next_counts binary, sizes binary, words binary, n long, total long, pool array<long>"
-WEIGHED = "_bucket int, block int, counts binary, weights binary, next_counts binary"
-#: Classes of contexts by the logarithm of their uses.
-CLASSES = 64
+#: From a bucket to a block: distinct words, their bytes and uses; keys of longer sequences and their uses; keys of contexts and the test's sums, for each degree of smoothing.
+MESSAGE = "block int, _bucket int, sizes binary, words binary, uses binary, keys binary, key_uses binary, contexts binary, gains binary"
+#: Answers of equal order; rows without a bucket are the block's part of the vocabulary.
+ANSWER = "_bucket int, block int, counts binary, key_counts binary, degrees binary, sizes binary, words binary, n long, total long"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+_VOID = hashes(np.zeros(0, np.uint8), np.zeros(1, np.int64))
+_A = np.uint64(0xA24BAED4963EE407)
+
+
+def weights(n: np.ndarray, degree: int | np.ndarray) -> np.ndarray:
+    """The suffix's weight in contexts of n uses."""
+    return np.maximum(LEAST_WEIGHT, np.array(SHARES)[degree] * n)
 
 
 class _Bucket:
-    """A bucket's distinct words and pairs of neighbours, in order of blocks, and their uses in training documents.
+    """The tokens of a bucket's documents, and what is known of the sequences of words that end at each.
 
-    The empty word stands for the start of a document and, as a next word, for its end.
+    The empty word stands for the start of a document and, as a next word, for its
+    end. Place 0 is a start; each row has its words and an end, which is the start
+    for the next row.
     """
 
-    def __init__(self, table: pa.Table, blocks: int) -> None:
+    def __init__(self, table: pa.Table) -> None:
         self.table = ordered(table)
         w = words(*buffers(self.table.column("text")), lower=True)
         self.train = self.table.column("_train").to_numpy().astype(bool)
         rows = len(self.train)
-        h, first, which = np.unique(w.hash, return_index=True, return_inverse=True)
-        void = len(h)
-        h = np.r_[h, hashes(np.zeros(0, np.uint8), np.zeros(1, np.int64))]
-        # each row's words, then an end; the start is the end of the row before
-        self.token = np.insert(which, w.first[1:], void)
-        self.row = np.insert(w.row, w.first[1:], np.arange(rows))
-        before = np.r_[void, self.token[:-1]] if rows else self.token
-        order, self.names, self.bounds = by_block(h, blocks)
-        spot = np.empty(len(h), np.int64)
-        spot[order] = np.arange(len(h))
-        self.hash, self.void = h[order], int(spot[void])
-        self.token, before = spot[self.token], spot[before]
-        trained = self.train[self.row]
-        self.count = np.bincount(self.token[trained], minlength=len(h))
-        pair, self.pair = np.unique(before * len(h) + self.token, return_inverse=True)
-        self.pair_count = np.bincount(self.pair[trained], minlength=len(pair))
-        self.context, self.next = pair // len(h), pair % len(h)
-        self.n_next = np.bincount(self.context, minlength=len(h))
-        self.first_pair = np.r_[0, np.cumsum(self.n_next)]
-        # the bytes of the words in order; none of the empty word
-        real = order != void
-        s = np.zeros(len(h), np.int64)
-        self.size = np.zeros(len(h), np.int64)
-        s[real] = w.start[first[order[real]]]
-        self.size[real] = w.end[first[order[real]]] - s[real]
-        self.data = w.data[ranges(s, self.size)]
-        self.first_byte = np.r_[0, np.cumsum(self.size)]
         self.n = np.diff(w.first)
-
-
-def _send(blocks: int):
-    def run(table: pa.Table) -> pa.Table:
-        b = _Bucket(table, blocks)
-        parts = []
-        for x, y in zip(b.bounds[:-1], b.bounds[1:], strict=True):
-            p, q = b.first_pair[x], b.first_pair[y]
-            next_hash = b.hash[b.next[p:q]].astype("<u8").view(np.uint8).reshape(-1, 8)[:, 3:]
-            parts.append((pack(b.size[x:y]), b.data[b.first_byte[x] : b.first_byte[y]].tobytes(), pack(b.count[x:y]), pack(b.n_next[x:y]), next_hash.tobytes(), pack(b.pair_count[p:q])))
+        self.hash = np.r_[_VOID, np.insert(w.hash, w.first[1:], _VOID[0])]
+        self.row = np.r_[-1, np.insert(w.row, w.first[1:], np.arange(rows))]
+        start = np.cumsum(self.n + 1) - self.n
+        #: Words that the longest sequence ending at a place may have, the start counted.
+        self.reach = np.arange(len(self.hash)) - (start[self.row] if rows else 0) + 2
+        self.reach[0] = 1
+        self.trained = np.r_[False, self.train[self.row[1:]]]
+        self.sequence = [self.hash]
+        #: By sequence length from 1: ascending distinct hashes, the number of each place's (-1: not asked), the corpus counts by place.
+        self.distinct: list[np.ndarray] = []
+        self.which: list[np.ndarray] = []
+        self.count: list[np.ndarray] = []
+        self._words = w
+        self._ask(np.ones(len(self.hash), bool))
+
+    def _ask(self, places: np.ndarray) -> None:
+        n = len(self.distinct)
+        if n:
+            longer = np.zeros(len(self.hash), np.uint64)
+            longer[n:] = mix(self.sequence[-1][n:] * _A + self.hash[: len(self.hash) - n])
+            self.sequence.append(longer)
+        at = np.flatnonzero(places)
+        distinct, own = np.unique(self.sequence[-1][at], return_inverse=True)
+        which = np.full(len(self.hash), -1, np.int32)
+        which[at] = own
+        self.distinct.append(distinct)
+        self.which.append(which)
+
+    def ask(self) -> None:
+        """Ask for the sequences one word longer: all of two words, else those whose context is examined."""
+        n = len(self.distinct) + 1
+        self._ask((self.reach >= n) & (self.examined(n - 1) if n > 2 else True) & (self.row >= 0))
+
+    def told(self, counts: np.ndarray) -> None:
+        known, which = np.r_[counts, 0], self.which[len(self.count)]
+        self.count.append(known[which])
+
+    def uses(self, n: int) -> np.ndarray:
+        """Uses of the distinct sequences of n words in training documents here."""
+        which = self.which[n - 1]
+        return np.bincount(which[self.trained & (which >= 0)], minlength=len(self.distinct[n - 1]))
+
+    def before(self, values: np.ndarray) -> np.ndarray:
+        """Values of the place before each."""
+        return np.r_[values[:1], values[:-1]]
+
+    def examined(self, depth: int) -> np.ndarray:
+        """Places whose context of ``depth`` words is examined."""
+        n = self.before(self.count[depth - 1])
+        out = (self.reach > depth) & (n >= 2) & (self.row >= 0)
+        return out & (n != self.before(self.count[depth - 2])) if depth > 1 else out
+
+    def contexts(self, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The places where a context of ``depth`` is examined, its distinct contexts, and the number of each place's among them."""
+        at = np.flatnonzero(self.examined(depth))
+        number, own = np.unique(self.which[depth - 1][at - 1], return_inverse=True)
+        return at, self.distinct[depth - 1][number], own
+
+    def gains(self, depth: int, tokens: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Contexts of ``depth``, and the test's sums over their uses in training here, for each degree of smoothing.
+
+        The suffix's distribution is smoothed by one use of its own suffix's. A sum
+        is left at 0 where the degree before it has the same weight.
+        """
+        q = self.count[0] / max(tokens, 1)
+        for d in range(1, depth):
+            at = np.flatnonzero(self.examined(d) & self.trained)
+            q[at] = (self.count[d][at] + q[at]) / (self.count[d - 1][at - 1] + 1)
+        places, distinct, own = self.contexts(depth)
+        used = self.trained[places]
+        at, own = places[used], own[used]
+        n, c, q = self.count[depth - 1][at - 1], self.count[depth][at], q[at]
+        out, last = [], np.zeros(len(at))
+        for degree in range(len(SHARES)):
+            w = weights(n, degree)
+            term = np.log((c - 1 + w * q) / (n - 1 + w) / q)
+            out.append(np.bincount(own, weights=np.where(w == last, 0, term), minlength=len(distinct)))
+            last = w
+        return distinct, out
+
+
+def _recall(table: pa.Table, answers: pa.Table | None, rounds: int) -> tuple[_Bucket, list[np.ndarray]]:
+    """The bucket with the counts of all rounds so far, and the degrees of smoothing by depth (0: the context is not in the tree)."""
+    b = _Bucket(table)
+    b.ask()
+    degrees = []
+    for r in range(1, rounds + 1):
+        some = answers.filter(pa.array(answers.column("round").to_numpy() == r))
+        some = some.take(pa.array(np.argsort(some.column("block").to_numpy(), kind="stable")))
+        if r == 1:
+            b.told(unpack_all(some.column("counts"))[0])
+        else:
+            degrees.append(np.frombuffer(b"".join(x or b"" for x in some.column("degrees").to_pylist()), np.uint8))
+        if r <= WORDS:
+            b.told(unpack_all(some.column("key_counts"))[0])
+            if r < WORDS:
+                b.ask()
+    return b, degrees
+
+
+def _send(round: int, blocks: int, tokens: int):
+    """Messages of a round: the first asks for words and pairs, round r for r + 1 words and for the contexts of r - 1."""
+
+    def send(table: pa.Table, answers: pa.Table | None) -> pa.Table:
+        b, _ = _recall(table, answers, round - 1)
         bucket = table.column("_bucket")[0].as_py() if table.num_rows else 0
-        columns = zip(*parts, strict=True)
-        return pa.table([pa.array(b.names, pa.int32()), pa.array([bucket] * len(parts), pa.int32()), *(binary(list(c)) for c in columns)], names=["block", "_bucket", "sizes", "words", "counts", "nexts", "next_hashes", "next_counts"])
-
-    return run
-
-
-def _class(total: np.ndarray) -> np.ndarray:
-    return np.log2(np.maximum(total, 1)).astype(np.int64)
-
-
-def _pool(context: np.ndarray, n: np.ndarray, total: np.ndarray) -> np.ndarray:
-    """What the smoothing of all contexts needs of a block's: by class, next words seen once and all; contexts seen twice with two next words, and all of those."""
-    kinds, once = np.bincount(context, minlength=len(total)), np.bincount(context[n == 1], minlength=len(total))
-    size, twice = _class(total), total == 2
-    by_class = [np.bincount(size, weights=v, minlength=CLASSES) for v in (once, total)]
-    return np.concatenate([*by_class, [(kinds[twice] == 2).sum(), twice.sum()]]).astype(np.int64)
-
-
-def _weights(context: np.ndarray, p: np.ndarray, n: np.ndarray, total: np.ndarray, pool: np.ndarray) -> np.ndarray:
-    """How much the root's distribution weighs in each context that stays, 0 of others; from pairs with n > 0.
-
-    p: the share of each pair's next word in the training corpus. pool: the sum of
-    _pool over all blocks.
-    Smoothing: the share of next words that are new is estimated by the share of
-    those seen once, pulled towards that of all contexts of the corpus that are
-    about as frequent; for a context seen once, from the contexts seen twice.
-    Divergence test: a context stays if, leaving each use out in turn, the others
-    predict it better than the root's distribution does.
-    """
-    if not len(n):
-        return np.zeros(len(total))
-    once, size = np.bincount(context[n == 1], minlength=len(total)), _class(total)
-    pooled = (pool[:CLASSES] + 1) / (pool[CLASSES : 2 * CLASSES] + 2)
-    first = (pool[-2] + 1) / (pool[-1] + 2)
-    new = np.where(total > 1, (once + 2 * pooled[size]) / (total + 2), first)
-    new = np.clip(new, 0.001, 0.999)
-    weight = np.maximum(total, 1) * new / (1 - new)
-    w, t = weight[context], total[context]
-    gain = n * (np.log((n - 1 + w * p) / (t - 1 + w)) - np.log(p))
-    alone = t == 1
-    gain[alone] = (1 - first) * np.log((1 + w[alone] * p[alone]) / (1 + w[alone]) / p[alone]) + first * np.log(w[alone] / (1 + w[alone]))
-    gain = np.bincount(context, weights=gain, minlength=len(total))
-    return np.where(gain > 0, weight, 0.0)
-
-
-def _table(rows: list[dict]) -> pa.Table:
-    """Rows of COUNTED; what a row does not name is null."""
-    kinds = {"kind": pa.int32(), "_bucket": pa.int32(), "block": pa.int32(), **dict.fromkeys(("counts", "places", "next_counts", "sizes", "words"), pa.binary()), "n": pa.int64(), "total": pa.int64(), "pool": pa.list_(pa.int64())}
-    return pa.table({k: pa.array([r.get(k) for r in rows], t) for k, t in kinds.items()})
-
-
-def _five(parts: list[bytes]) -> np.ndarray:
-    """The upper 40 bits of hashes."""
-    five = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, 5)
-    out = np.zeros((len(five), 8), np.uint8)
-    out[:, :5] = five
-    return out.view("<u8").ravel()
-
-
-def _count(blocks: int):
-    def run(table: pa.Table) -> pa.Table:
-        """A block's rows of COUNTED: the corpus counts of each message's words and pairs, and the places of its words among the block's; what the weights of the block's words as contexts need."""
-        give_back()
-        size, each = unpack_all(table.column("sizes"))
-        data = np.frombuffer(b"".join(table.column("words").to_pylist()), np.uint8)
-        count, _ = unpack_all(table.column("counts"))
-        nexts, _ = unpack_all(table.column("nexts"))
-        pair_count, pairs = unpack_all(table.column("next_counts"))
-        next_hash = _five(table.column("next_hashes").to_pylist())
-        _, first, which = np.unique(hashes(data, size), return_index=True, return_inverse=True)
-        total = np.bincount(which, weights=count, minlength=len(first)).astype(np.int64)
-        context = np.repeat(which, nexts)
-        distinct, one, pair = np.unique(mix(next_hash + mix(context.astype(np.uint64) + np.uint64(1))), return_index=True, return_inverse=True)
-        pair_total = np.bincount(pair, weights=pair_count, minlength=len(distinct)).astype(np.int64)
-        bucket, block = table.column("_bucket").to_pylist(), table.column("block")[0].as_py()
-        cut, cut_pairs = np.cumsum(each)[:-1], np.cumsum(pairs)[:-1]
-        parts = zip(np.split(total[which], cut), np.split(which, cut), np.split(pair_total[pair], cut_pairs), strict=True)
-        rows = [{"kind": ANSWERS, "_bucket": b, "block": block, "counts": pack(c), "places": w.astype("<i4").tobytes(), "next_counts": pack(n)} for b, (c, w, n) in zip(bucket, parts, strict=True)]
-        # the pairs of training documents, by context
-        used = np.flatnonzero(pair_total > 0)
-        used = used[np.argsort(context[one[used]], kind="stable")]
-        after, follower = np.unique(next_hash[one[used]], return_inverse=True)
-        context, n = context[one[used]], pair_total[used]
-        uses = np.bincount(context, weights=n, minlength=len(total)).astype(np.int64)
-        rows.append({"kind": PAIRS, "block": block, "sizes": pack(np.bincount(context, minlength=len(total))), "places": follower.astype("<i4").tobytes(), "next_counts": pack(n)})
-        _, asked, bounds = by_block(after << np.uint64(24), blocks)
-        after = after.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-        rows += [{"kind": QUESTIONS, "_bucket": block, "block": int(k), "words": after[x:y].tobytes()} for k, x, y in zip(asked, bounds[:-1], bounds[1:], strict=True)]
-        seen = np.flatnonzero(total > 0)
-        begin = (np.cumsum(size) - size)[first[seen]]
-        rows.append({
-            "kind": VOCABULARY, "block": block, "counts": pack(total[seen]), "sizes": pack(size[first[seen]]), "words": data[ranges(begin, size[first[seen]])].tobytes(),
-            "n": len(seen), "total": int(total.sum()), "pool": _pool(context, n, uses),
-        })
-        return _table(rows)
-
-    return run
-
-
-def _follow(table: pa.Table) -> pa.Table:
-    """Answers of a block to the questions for the counts of its words."""
+        parts: dict[int, dict[str, bytes]] = {}
+
+        def put(h: np.ndarray, name: str, make) -> None:
+            names, bounds = cuts(h, blocks)
+            for k, x, y in zip(names.tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                parts.setdefault(k, {})[name] = make(x, y)
+
+        if round == 1:
+            w, h, uses = b._words, b.distinct[0], b.uses(1)
+            _, first = np.unique(w.hash, return_index=True)
+            real = h != _VOID[0]
+            s, size = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
+            s[real], size[real] = w.start[first], w.end[first] - w.start[first]
+            data, at = w.data[ranges(s, size)], np.r_[0, np.cumsum(size)]
+            put(h, "sizes", lambda x, y: pack(size[x:y]))
+            put(h, "words", lambda x, y: data[at[x] : at[y]].tobytes())
+            put(h, "uses", lambda x, y: pack(uses[x:y]))
+        if round <= WORDS:
+            h, more = b.distinct[round], b.uses(round + 1)
+            key = keys(h)
+            put(h, "keys", lambda x, y: key[x:y].tobytes())
+            put(h, "key_uses", lambda x, y: pack(more[x:y]))
+        if round > 1:
+            h, sums = b.gains(round - 1, tokens)
+            seen, sums = keys(h), np.array(sums, "<f4")
+            put(h, "contexts", lambda x, y: seen[x:y].tobytes())
+            put(h, "gains", lambda x, y: sums[:, x:y].tobytes())
+        names = [f.split()[0] for f in MESSAGE.split(", ")][2:]
+        return pa.table({"block": pa.array(list(parts), pa.int32()), "_bucket": pa.array([bucket] * len(parts), pa.int32()), **{n: binary([p.get(n) for p in parts.values()]) for n in names}})
+
+    if round == 1:
+        return lambda table: send(table, None)
+    return lambda table, answers: send(table, answers)
+
+
+def _total(key: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sum of the values of each distinct key, and the key's number at each entry."""
+    distinct, which = np.unique(key, return_inverse=True)
+    return np.bincount(which, weights=values, minlength=len(distinct)), which
+
+
+def _answer(table: pa.Table) -> pa.Table:
+    """A block's answers, in the order of each message: the corpus counts of words and sequences, and the degree of smoothing of contexts that stay (0: none)."""
     give_back()
-    kind = table.column("kind").to_numpy()
-    own, asked = table.filter(pa.array(kind == VOCABULARY)), table.filter(pa.array(kind == QUESTIONS))
-    size, _ = unpack_all(own.column("sizes"))
-    count, _ = unpack_all(own.column("counts"))
-    word, which = np.unique(hashes(np.frombuffer(b"".join(own.column("words").to_pylist()), np.uint8), size) >> np.uint64(24), return_inverse=True)
-    count = np.bincount(which, weights=count, minlength=len(word)).astype(np.int64)
-    questions = zip(asked.column("_bucket").to_pylist(), asked.column("block").to_pylist(), asked.column("words").to_pylist(), strict=True)
-    return _table([{"kind": FOLLOWERS, "_bucket": k, "block": b, "counts": pack(count[np.searchsorted(word, _five([w]))])} for b, k, w in questions])
-
-
-def _weigh(tokens: int, pool: np.ndarray):
-    def run(table: pa.Table) -> pa.Table:
-        """A block's answers, with the weights of their words as contexts."""
-        give_back()
-        kind = table.column("kind").to_numpy()
-        answers, own, told = (table.filter(pa.array(kind == k)) for k in (ANSWERS, PAIRS, FOLLOWERS))
-        # questions went by block in the order of the hashes
-        count, _ = unpack_all(told.take(pa.array(np.argsort(told.column("_bucket").to_numpy()))).column("counts"))
-        kinds, n = unpack(own.column("sizes")[0].as_py()), unpack(own.column("next_counts")[0].as_py())
-        context = np.repeat(np.arange(len(kinds)), kinds)
-        p = count[np.frombuffer(own.column("places")[0].as_py(), "<i4")] / max(tokens, 1)
-        total = np.bincount(context, weights=n, minlength=len(kinds)).astype(np.int64)
-        weight = _weights(context, p, n, total, pool).astype("<f4")
-        weights = [weight[np.frombuffer(x, "<i4")].tobytes() for x in answers.column("places").to_pylist()]
-        return answers.select(["_bucket", "block", "counts"]).append_column("weights", pa.array(weights, pa.binary())).append_column("next_counts", answers.column("next_counts"))
-
-    return run
+    table = table.take(pa.array(np.argsort(table.column("_bucket").to_numpy())))
+    out = {"_bucket": table.column("_bucket").to_pylist()}
+    messages = table.num_rows
+
+    def split(values: np.ndarray, each: np.ndarray) -> list[np.ndarray]:
+        return np.split(values, np.cumsum(each)[:-1])
+
+    size, each = unpack_all(table.column("sizes"))
+    data = np.frombuffer(b"".join(x or b"" for x in table.column("words").to_pylist()), np.uint8)
+    word = hashes(data, size)
+    total, which = _total(word, unpack_all(table.column("uses"))[0])
+    total = total.astype(np.int64)
+    out["counts"] = [pack(x) for x in split(total[which], each)]
+    seen = np.unique(which, return_index=True)[1][total > 0] if len(which) else np.zeros(0, np.int64)
+    begin = (np.cumsum(size) - size)[seen]
+    vocabulary = {"sizes": pack(size[seen]), "words": data[ranges(begin, size[seen])].tobytes(), "n": len(seen), "total": int(total.sum())}
+
+    uses, each = unpack_all(table.column("key_uses"))
+    sums, which = _total(read_keys([x or b"" for x in table.column("keys").to_pylist()]), uses)
+    out["key_counts"] = [pack(x) for x in split(sums.astype(np.int64)[which], each)]
+
+    asked = [x or b"" for x in table.column("contexts").to_pylist()]
+    gains = [np.frombuffer(x or b"", "<f4").reshape(len(SHARES), -1) for x in table.column("gains").to_pylist()]
+    gains = np.concatenate(gains, axis=1)
+    context = read_keys(asked)
+    best, degree = np.full(len(context), LEAST_GAIN), np.zeros(len(context), np.uint8)
+    for k in range(len(SHARES)):
+        sums, which = _total(context, gains[k])
+        better = sums[which] > best if len(context) else np.zeros(0, bool)
+        best[better], degree[better] = sums[which][better], k + 1
+    out["degrees"] = [x.tobytes() for x in split(degree, np.array([len(x) // KEY_BYTES for x in asked]))]
+    rows = {k: [*v, None] for k, v in out.items()} | {"block": [table.column("block")[0].as_py()] * (messages + 1)} | {k: [None] * messages + [v] for k, v in vocabulary.items()}
+    kinds = {"_bucket": pa.int32(), "block": pa.int32(), **dict.fromkeys(("counts", "key_counts", "degrees", "sizes", "words"), pa.binary()), "n": pa.int64(), "total": pa.int64()}
+    return pa.table({k: pa.array(rows[k], t) for k, t in kinds.items()})
 
 
 def sequences(data: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -289,44 +324,44 @@ class Tree:
     root: np.ndarray
 
     @staticmethod
-    def fit(rows: dict[int, dict[int, int]]) -> Tree:
-        """rows: next-symbol counts by context code."""
-        top = rows.setdefault(0, {})
-        whole = sum(top.values()) + SYMBOLS
-        root = np.array([(top.get(s, 0) + 1) / whole for s in range(SYMBOLS)])
-
-        def depth(c: int) -> int:
-            return -(-c.bit_length() // _BITS)
-
-        def suffix(c: int) -> int:
-            return c & ((1 << (_BITS * (depth(c) - 1))) - 1)
-
-        by_depth = sorted((c for c in rows if c and suffix(c) in rows), key=lambda c: (depth(c), c))
-        p: dict[int, dict[int, float]] = {0: dict(enumerate(root.tolist()))}
-        keep = set()
-        for c in by_depth:
-            seen, up = rows[c], p.get(suffix(c))
-            if up is None:
-                continue
-            n, k = sum(seen.values()), len(seen)
-            p[c] = {s: (x + k * up[s]) / (n + k) for s, x in seen.items()}
-            gain = sum(x * np.log(x / n / up[s]) for s, x in seen.items())
-            if gain > 0.5 * k * np.log(n + 1):
-                keep.add(c)
-        for c in sorted(keep, key=depth, reverse=True):
-            while c := suffix(c):
-                keep.add(c)
-        kept = [c for c in by_depth if c in keep and c in p]
-        number = {0: 0} | {c: i + 1 for i, c in enumerate(kept)}
-        parent = np.array([0, *(number[suffix(c)] for c in kept)], np.int64)
-        back = np.array([0.0, *(np.log10(len(rows[c]) / (sum(rows[c].values()) + len(rows[c]))) for c in kept)])
-        entries = sorted(((number[c] << _BITS) | s, x) for c in kept for s, x in p[c].items())
-        codes, states = [], []
-        for d in range(1, DEPTH + 1):
-            level = sorted(c for c in kept if depth(c) == d)
-            codes.append(np.array(level, np.int64))
-            states.append(np.array([number[c] for c in level], np.int64))
-        return Tree(codes, states, parent, back, np.array([e[0] for e in entries], np.int64), np.log10(np.array([e[1] for e in entries])), np.log10(root))
+    def fit(key: np.ndarray, n: np.ndarray) -> Tree:
+        """key: a context's code and the next symbol plus one, each (context, symbol) once; n: its uses. Every suffix of a context is given too."""
+        order = np.argsort(key)
+        key, n = key[order], n[order].astype(float)
+        code, symbol = key >> _BITS, (key & ((1 << _BITS) - 1)) - 1
+        top = code == 0
+        seen = np.bincount(symbol[top], weights=n[top], minlength=SYMBOLS)
+        root = (seen + 1) / (seen.sum() + SYMBOLS)
+        # by depth: contexts, their pairs with the number of the context and the smoothed probability, and whether they stay
+        levels, upper = [], (key[top], root[symbol[top]])
+        for depth in range(1, DEPTH + 1):
+            at = np.flatnonzero((code >= 1 << (_BITS * (depth - 1))) & (code < 1 << (_BITS * depth)))
+            context, own = np.unique(code[at], return_inverse=True)
+            uses, kinds = np.bincount(own, weights=n[at], minlength=len(context)), np.bincount(own, minlength=len(context))
+            shorter = ((code[at] & ((1 << (_BITS * (depth - 1))) - 1)) << _BITS) | (symbol[at] + 1)
+            up = upper[1][np.searchsorted(upper[0], shorter)] if len(at) else np.zeros(0)
+            p = (n[at] + kinds[own] * up) / (uses + kinds)[own]
+            gain = np.bincount(own, weights=n[at] * np.log(n[at] / uses[own] / up), minlength=len(context))
+            levels.append([context, own, symbol[at], p, uses, kinds, gain > 0.5 * kinds * np.log(uses + 1)])
+            upper = (key[at], p)
+        for depth in range(DEPTH, 1, -1):
+            context, keep, below = levels[depth - 1][0], levels[depth - 1][6], levels[depth - 2]
+            below[6][np.searchsorted(below[0], context[keep] & ((1 << (_BITS * (depth - 1))) - 1))] = True
+        codes, states, parent, back, entry, logp, last = [], [], [np.zeros(1, np.int64)], [np.zeros(1)], [], [], 0
+        for depth, (context, own, after, p, uses, kinds, keep) in enumerate(levels, 1):
+            number = np.cumsum(keep) + last
+            shorter = context[keep] & ((1 << (_BITS * (depth - 1))) - 1)
+            parent.append(states[-1][np.searchsorted(codes[-1], shorter)] if depth > 1 else np.zeros(len(shorter), np.int64))
+            codes.append(context[keep])
+            states.append(number[keep])
+            back.append(np.log10(kinds[keep] / (uses + kinds)[keep]))
+            some = keep[own]
+            entry.append((number[own[some]] << _BITS) | after[some])
+            logp.append(np.log10(p[some]))
+            last += int(keep.sum())
+        entry, logp = np.concatenate(entry), np.concatenate(logp)
+        order = np.argsort(entry)
+        return Tree(codes, states, np.concatenate(parent), np.concatenate(back), entry[order], logp[order], np.log10(root))
 
     def _next(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         """log10 probability of each symbol after each state."""
@@ -366,37 +401,40 @@ class Tree:
         return np.add.reduceat(each, np.cumsum(size + 1) - (size + 1))
 
 
-def _score(model, blocks: int, tokens: int, known: int):
+def _score(model, tokens: int, known: int):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         tree: Tree = model.value
-        b = _Bucket(table, blocks)
-        order = np.argsort(answers.column("block").to_numpy())
-        answers = answers.take(pa.array(order))
-        count, _ = unpack_all(answers.column("counts"))
-        weight = np.frombuffer(b"".join(answers.column("weights").to_pylist()), "<f4").astype(np.float64)
-        pair_count, _ = unpack_all(answers.column("next_counts"))
+        b, degrees = _recall(table, answers, WORDS + 1)
+        # the root: a word's share of the corpus, smoothed by its spelling's probability, by the weight of the distinct tokens
+        w, which = b._words, b.which[0]
+        count = np.zeros(len(b.distinct[0]), np.int64)
+        count[which] = b.count[0]
         base = np.log10((count + 1) / (tokens + known + 1))
-        # the root: a token's share of the corpus, smoothed by its spelling's probability, by the weight of the distinct tokens
-        real = b.size > 0
-        spelt = np.zeros(len(count))
-        spelt[real] = tree.words(b.data, b.size[real])
-        spelt[~real] = -np.log10(max(known, 1))
-        k = max(known, 1)
+        _, first = np.unique(w.hash, return_index=True)
+        real, k = b.distinct[0] != _VOID[0], max(known, 1)
+        size = w.end[first] - w.start[first]
+        spelt = np.full(len(count), -np.log10(k + 1))
+        spelt[real] = tree.words(w.data[ranges(w.start[first], size)], size) + np.log10(k / (k + 1))
         root = np.log10(k) + spelt
         seen = count > 0
         root[seen] = np.log10(count[seen] + k * 10.0 ** spelt[seen])
         root -= np.log10(tokens + k)
-        # a context that stays: its share, smoothed by the root
-        w, n = weight[b.context], count[b.context]
-        logp = root[b.next]
-        stays = w > 0
-        logp[stays] += np.log10(w[stays])
-        both = stays & (pair_count > 0)
-        logp[both] = np.log10(pair_count[both] + w[both] * 10.0 ** root[b.next[both]])
-        logp[stays] -= np.log10(n[stays] + w[stays])
+        # contexts that stay, from the shortest on: their shares, smoothed by what the shorter ones gave
+        logp = root[which]
+        for depth in range(1, WORDS + 1):
+            at, _, own = b.contexts(depth)
+            degree = degrees[depth - 1][own]
+            at, degree = at[degree > 0], degree[degree > 0]
+            n, c = b.count[depth - 1][at - 1], b.count[depth][at]
+            weight = weights(n, degree - 1)
+            lower = np.log10(weight) + logp[at]
+            both = c > 0
+            lower[both] = np.log10(c[both] + 10.0 ** lower[both])
+            logp[at] = lower - np.log10(n + weight)
         rows = len(b.train)
-        sums = [np.bincount(b.row, weights=v, minlength=rows) for v in (base[b.token], logp[b.pair])]
-        hits = np.bincount(b.row[count[b.token] > 0], minlength=rows)
+        row = b.row[1:]
+        sums = [np.bincount(row, weights=v[1:], minlength=rows) for v in (base[which], logp)]
+        hits = np.bincount(row[b.count[0][1:] > 0], minlength=rows)
         return pa.table({
             "doc_id": b.table.column("doc_id"), "held_out": pa.array(~b.train), "n_tokens": pa.array(b.n + 1, pa.int64()), "n_known": pa.array(hits, pa.int64()),
             "train_tokens": pa.array([tokens] * rows, pa.int64()), "base_score": sums[0], "score": sums[1],
@@ -406,17 +444,17 @@ def _score(model, blocks: int, tokens: int, known: int):
 
 
 def learn(vocabulary: DataFrame, blocks: int) -> Tree:
-    """The spelling tree of the training words in ``vocabulary`` (those rows of the count)."""
+    """The spelling tree of the training words in ``vocabulary`` (those rows of the first answers)."""
     groups = max(12, blocks // 8)
     grams = vocabulary.withColumn("_group", F.pmod(F.xxhash64("block"), F.lit(groups))).groupBy("_group").applyInArrow(_grams, "key long, n long")
-    each = grams.groupBy("key").agg(F.sum("n").alias("n"))
-    context = F.shiftright("key", _BITS)
-    by_context = each.groupBy(context.alias("context")).agg(F.sum("n").alias("total"), F.collect_list(F.struct(F.col("key").bitwiseAND((1 << _BITS) - 1).alias("s"), "n")).alias("next"))
-    by_context = materialize(by_context, "contexts")
-    whole = by_context.where("context = 0").agg(F.sum("total")).first()[0] or 0
-    rows = by_context.where(F.col("total") >= P_MIN * whole).select("context", F.col("next.s").alias("s"), F.col("next.n").alias("n")).toArrow()
-    columns = (rows.column(k).to_pylist() for k in ("context", "s", "n"))
-    return Tree.fit({c: dict(zip([x - 1 for x in s], n, strict=True)) for c, s, n in zip(*columns, strict=True)})
+    counted = Written(grams.groupBy("key").agg(F.sum("n").alias("n")), "grams")
+    context = F.shiftright("key", _BITS).alias("context")
+    total = counted.df.groupBy(context).agg(F.sum("n").alias("total"))
+    whole = total.where("context = 0").agg(F.sum("total")).first()[0] or 0
+    frequent = total.where(F.col("total") >= P_MIN * whole)
+    rows = counted.df.withColumn("context", F.shiftright("key", _BITS)).join(frequent, "context").select("key", "n").toArrow()
+    counted.drop()
+    return Tree.fit(rows.column("key").to_numpy(), rows.column("n").to_numpy())
 
 
 def score(docs: DataFrame, held_out: Column) -> DataFrame:
@@ -425,31 +463,30 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     n_tokens counts the words and one end; n_known those tokens that occur in
     training; train_tokens is the number of training tokens; base_score sums
     log10((c + 1) / (N + V + 1)) over the tokens; score is the tree's log10
-    probability of the words and the end.
+    probability of the words and the end. Texts are scored whole, however long
+    (one is held by one task). Scores do not depend on how documents are dealt.
 
     A null text counts as empty (an end alone); a null held_out as false; null
-    and repeated doc_ids are rows like others. Without training rows the model is
-    uniform. No rows give none.
+    and repeated doc_ids are rows like others, and each learns and is scored.
+    Without training rows the model is uniform. No rows give none. Columns other
+    than doc_id and text are read by ``held_out`` alone, whatever their names.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text", (~F.coalesce(held_out, F.lit(False))).alias("_train"))
-    n = bucket_count(rows)
+    n, blocks = deal_counts(rows)
     dealt = bucketed(rows, n)
-    sent = dealt.groupBy("_bucket").applyInArrow(_send(n), MESSAGE)
-    written = Written(sent.groupBy("block").applyInArrow(_count(n), COUNTED), "counts")
-    counted = written.df
+    sent = dealt.groupBy("_bucket").applyInArrow(_send(1, blocks, 0), MESSAGE)
+    first = materialize(sent.groupBy("block").applyInArrow(_answer, ANSWER), "answers")
     # the messages are answered: their shuffle need not be kept beside the next
     release(spark)
-    vocabulary = counted.where(F.col("kind") == VOCABULARY)
+    vocabulary = first.where("_bucket IS NULL")
     known, total = vocabulary.agg(F.sum("n"), F.sum("total")).first()
-    pool = np.zeros(2 * CLASSES + 2, np.int64)
-    for place, value in vocabulary.select(F.posexplode("pool")).groupBy("pos").agg(F.sum("col")).collect():
-        pool[place] = value
-    tree = spark.sparkContext.broadcast(learn(vocabulary.select("block", "words", "sizes"), n))
-    release(spark)
-    followers = counted.where(F.col("kind").isin(VOCABULARY, QUESTIONS)).groupBy("block").applyInArrow(_follow, COUNTED)
-    weighed = counted.where(F.col("kind").isin(ANSWERS, PAIRS)).unionByName(followers).select("kind", "_bucket", "block", "counts", "places", "next_counts", "sizes")
-    answers = materialize(weighed.groupBy("block").applyInArrow(_weigh(total or 0, pool), WEIGHED), "weights")
-    written.drop()
-    release(spark)
-    return dealt.groupBy("_bucket").cogroup(answers.groupBy("_bucket")).applyInArrow(_score(tree, n, total or 0, known or 0), SCORES)
+    known, total = known or 0, total or 0
+    tree = spark.sparkContext.broadcast(learn(vocabulary.select("block", "words", "sizes"), blocks))
+    answers = first.where("_bucket IS NOT NULL").select(F.lit(1).alias("round"), "_bucket", "block", "counts", "key_counts", "degrees")
+    for r in range(2, WORDS + 2):
+        sent = dealt.groupBy("_bucket").cogroup(answers.groupBy("_bucket")).applyInArrow(_send(r, blocks, total), MESSAGE)
+        more = materialize(sent.groupBy("block").applyInArrow(_answer, ANSWER), "answers")
+        release(spark)
+        answers = answers.unionByName(more.where("_bucket IS NOT NULL").select(F.lit(r).alias("round"), "_bucket", "block", "counts", "key_counts", "degrees"))
+    return dealt.groupBy("_bucket").cogroup(answers.groupBy("_bucket")).applyInArrow(_score(tree, total, known), SCORES)
