@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -447,6 +448,73 @@ def test_remove_repeats(docs, size):
     assert sum(r.n_removed for r in got.values()) > 100
 
 
+def test_factors_are_copies_of_their_sources(docs):
+    data, df = docs
+    words = {i: WORD.findall(t or "") for i, t, _ in data}
+    seen = 0
+    for r in substring.remove_repeats(df, 13).collect():
+        covered = set()
+        for f in r.factors:
+            assert f.source < r.doc_id
+            assert f.length >= 13
+            assert words[r.doc_id][f.start : f.start + f.length] == words[f.source][f.position : f.position + f.length]
+            covered.update(range(f.start, f.start + f.length))
+            seen += 1
+        assert len(covered) == r.n_removed
+    assert seen > 10
+
+
+def plain_words(texts):
+    from waymark.llm import flat
+
+    return flat.words(*flat.buffers(pa.array(texts)), lower=False)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_greedy_parse_covers_all_windows(seed):
+    """Texts over few words, whose windows often straddle two sources."""
+    rng = np.random.default_rng(seed)
+    text = lambda n: " ".join(rng.choice(list("abc"), n))
+    ref = [text(rng.integers(1, 60)) for _ in range(12)]
+    ask = [text(rng.integers(1, 90)) for _ in range(10)] + [" ".join(ref[3:6]), ref[2] + " " + ref[2]]
+    ref_doc, ask_doc = np.sort(rng.integers(0, 20, 12)), rng.integers(0, 22, 12)
+    r, q = plain_words(ref), plain_words(ask)
+    at, source, length = substring.longest_factors(r, ref_doc, q, ask_doc, 4)
+    covered = set()
+    for a, s, n in zip(at, source, length, strict=True):
+        assert (q.hash[a : a + n] == r.hash[s : s + n]).all()
+        assert q.row[a] == q.row[a + n - 1]
+        assert r.row[s] == r.row[s + n - 1]
+        assert ref_doc[r.row[s]] < ask_doc[q.row[a]]
+        more = a + n < q.first[q.row[a] + 1] and s + n < r.first[r.row[s] + 1]
+        assert not more or q.hash[a + n] != r.hash[s + n]
+        covered.update(range(a, a + n))
+    want = set()
+    for k, t in enumerate(ask):
+        w = t.split()
+        for p in range(len(w) - 3):
+            if any(ref_doc[j] < ask_doc[k] and w[p : p + 4] == u[x : x + 4] for j, u in enumerate(map(str.split, ref)) for x in range(len(u) - 3)):
+                want.update(range(q.first[k] + p, q.first[k] + p + 4))
+    assert covered == want
+
+
+@pytest.mark.parametrize("deal", [(1, 1), (7, 3), (300, 50)])
+def test_remove_repeats_does_not_depend_on_the_blocks(spark, monkeypatch, deal):
+    rng = np.random.default_rng(11)
+    shared = [" ".join(rng.choice([f"w{k}" for k in range(50)], n)) for n in (13, 13, 20, 40)]
+    data = []
+    for i in range(120):
+        parts = [" ".join(rng.choice([f"w{k}" for k in range(9)], rng.integers(0, 12))) for _ in range(4)]
+        for k in rng.choice(4, rng.integers(0, 3), replace=False):
+            parts.insert(int(rng.integers(5)), shared[k])
+        # one passage in all documents, after the same word or not, and one text in a third of them
+        data.append((i, " ".join([*parts, shared[0]]) if i % 3 else "same " * 30, None))
+    monkeypatch.setattr(substring, "deal_counts", lambda docs: deal)
+    monkeypatch.setattr(substring, "CHUNK_BYTES", 300)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.text) for r in substring.remove_repeats(spark.createDataFrame(data, DOCS), 13, join_all=True).collect()}
+    assert got == brute_cut(data, 13)
+
+
 def test_remove_repeats_keeps_untouched_texts_and_columns(docs):
     data, df = docs
     want = brute_cut(data, 13)

@@ -98,15 +98,3 @@ def unpack_all(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The numbers of all rows, one after another, and how many each has; a null has none."""
     parts = [unpack(x) if x is not None else np.zeros(0, np.int64) for x in column.to_pylist()]
     return np.concatenate([np.zeros(0, np.int64), *parts]), np.array([len(p) for p in parts], np.int64)
-
-
-def by_block(h: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    block = block_of(h, blocks)
-    order = np.argsort(block, kind="stable")
-    block = block[order]
-    first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else np.zeros(0, np.int64)
-    return order, block[first], np.r_[first, len(block)]
-
-
-def bucket_count(docs, text="text"):
-    return deal_counts(docs, text)[0]

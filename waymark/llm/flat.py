@@ -134,8 +134,8 @@ class Words:
     first: np.ndarray
 
 
-def words(raw: np.ndarray, off: np.ndarray, lower: bool) -> Words:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of each row; lower: with A-Z lower-cased."""
+def words(raw: np.ndarray, off: np.ndarray, lower: bool, hashed: bool = True) -> Words:
+    """Words ``[^\\x20\\x09-\\x0D]+`` of each row; lower: with A-Z lower-cased; unless hashed, only where they are."""
     data = _LOWER[raw] if lower else raw
     n, rows = len(data), len(off) - 1
     solid = ~_SPACE[data]
@@ -145,7 +145,7 @@ def words(raw: np.ndarray, off: np.ndarray, lower: bool) -> Words:
     begin[1:] &= ~solid[:-1] | edge[1:n]
     stop[:-1] &= ~solid[1:] | edge[1:n]
     s, e = np.flatnonzero(begin), np.flatnonzero(stop) + 1
-    h = mix(span_hashes(data, s, e, _P, _BYTE) + (e - s).astype(np.uint64))
+    h = mix(span_hashes(data, s, e, _P, _BYTE) + (e - s).astype(np.uint64)) if hashed else np.zeros(0, np.uint64)
     row = np.searchsorted(off[1:], s, "right")
     first = np.searchsorted(row, np.arange(rows + 1))
     return Words(data, h, row, s, e, first)
