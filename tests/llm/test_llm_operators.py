@@ -40,31 +40,50 @@ def rows(df):
 
 def check_plan(lengths, demand, capacity):
     plan = packing.solve(lengths, demand, capacity)
-    assert (sum(c * n for c, n in plan) == demand).all()
-    assert all((c * lengths).sum() <= capacity for c, _ in plan)
-    return sum(n for _, n in plan)
+    assert (sum(c * n for c, n in plan.configurations) == demand).all()
+    assert all((c * lengths).sum() <= capacity for c, _ in plan.configurations)
+    assert plan.bound <= plan.sequences <= plan.bound + len(plan.configurations)
+    return plan
 
 
 @pytest.mark.parametrize("seed", range(4))
-def test_packing_plan_is_near_the_bound(seed):
+@pytest.mark.parametrize("times", [1, 50])
+def test_packing_plan_is_near_the_bound(seed, times):
     rng = np.random.default_rng(seed)
     x = np.minimum(np.maximum(1, rng.lognormal(4, 1, 3000).astype(int)), 512)
     lengths, demand = np.unique(x, return_counts=True)
-    used = check_plan(lengths, demand, 512)
-    assert used <= math.ceil(1.005 * x.sum() / 512) + 1
+    plan = check_plan(lengths, demand * times, 512)
+    assert plan.bound >= math.ceil(times * x.sum() / 512)
+    assert plan.gap <= 0.01
+    assert plan.share >= 0.9
 
 
 def test_packing_plan_edges():
-    assert packing.solve(np.zeros(0, np.int64), np.zeros(0, np.int64), 8) == []
-    assert check_plan(np.array([8]), np.array([5]), 8) == 5
-    assert check_plan(np.array([5]), np.array([4]), 8) == 4
-    assert check_plan(np.array([3, 5]), np.array([7, 7]), 8) == 7
-    assert check_plan(np.array([1]), np.array([17]), 8) == 3
+    empty = packing.solve(np.zeros(0, np.int64), np.zeros(0, np.int64), 8)
+    assert (empty.configurations, empty.sequences, empty.bound, empty.gap) == ([], 0, 0, 0.0)
+    for lengths, demand, used in (([8], [5], 5), ([5], [4], 4), ([3, 5], [7, 7], 7), ([1], [17], 3), ([1, 4096], [10**9, 3], None)):
+        plan = check_plan(np.array(lengths), np.array(demand), 8 if used else 4096)
+        assert plan.sequences == plan.bound == (used or -(-(10**9) // 4096) + 3)
+
+
+def test_the_dual_bound_sees_what_can_not_be_filled():
+    # two of 5 never share a sequence of 9; room for 12 of 4 is left beside them
+    plan = check_plan(np.array([4, 5]), np.array([30, 12]), 9)
+    assert plan.sequences == plan.bound == 21
 
 
 def test_knapsack_prices_the_best_configuration():
-    copies = packing.best_configuration(np.array([3, 4, 5]), np.array([3.0, 4.5, 5.1]), 9)
-    assert copies.tolist() == [0, 1, 1]
+    value = np.array([3.0, 4.5, 5.1])
+    assert packing.best_configuration(np.array([3, 4, 5]), value, np.array([9, 9, 9]), 9)[1].tolist() == [0, 1, 1]
+    assert packing.best_configuration(np.array([3, 4, 5]), value, np.array([9, 9, 0]), 9)[1].tolist() == [0, 2, 0]
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        lengths, most = np.sort(rng.choice(np.arange(1, 20), 4, replace=False)), rng.integers(0, 4, 4)
+        value = rng.random(4)
+        every = [c for c in np.ndindex(*(most + 1)) if np.dot(c, lengths) <= 25]
+        top, copies = packing.best_configuration(lengths, value, most, 25) if most.any() else (0.0, np.zeros(4))
+        assert top == pytest.approx(max(np.dot(c, value) for c in every))
+        assert np.dot(copies, value) == pytest.approx(top)
 
 
 def test_pack_documents(spark, docs):

@@ -1,18 +1,27 @@
 """Best-fit packing of token pieces into sequences of a fixed capacity.
 
 The plan is made from the histogram of lengths alone, which has at most
-``capacity`` rows whatever the size of the input: a configuration linear program
-(a variable for each way to fill one sequence) is solved by multiplicative
-weights, each round pricing the best configuration by a knapsack dynamic
-program; the solution is rounded down, and what rounding leaves is packed best
-fit decreasing. Pieces then take their places by their rank among the pieces of
-equal length, which needs one shuffle of (id, length) rows and no driver data.
+``capacity`` rows whatever the size of the input. The configuration linear program
+has a variable for each way to fill one sequence and asks that every length is
+covered as often as it occurs. It is solved by multiplicative weights: a length's
+weight grows with the share of it that is still uncovered; each round prices the
+configuration of most weight by a knapsack dynamic program over sizes and steps
+along it, half of the way to where it would cover some length completely. Steps
+are rounded to whole sequences as they are taken, as far as the demand left allows,
+so rounding loses nothing; the last REST of the tokens is packed best fit
+decreasing. The averaged weights are a solution of the dual program and bound from
+below how many sequences any packing needs. Pieces then take their places by their
+rank among the pieces of equal length, which needs one shuffle of (id, length) rows
+and no driver data.
 """
 
 from __future__ import annotations
 
+import logging
+import math
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,70 +34,104 @@ from waymark.llm.vocab import encoder
 from waymark.storage import materialize
 
 CAPACITY = 4096
-ROUNDS = 240
-#: Share of the tokens left to the rounding step.
-REST = 0.15
+#: Share of the tokens left to best fit.
+REST = 0.1
+#: Lengths that a round prices: half of them those least covered, half spread over all.
+PRICED = 64
+#: How fast weights grow.
+RATE = 0.1
 
+_log = logging.getLogger(__name__)
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+_GOLDEN, _PLASTIC = 0.6180339887498949, 0.7548776662466927
 
 
-def best_configuration(lengths: np.ndarray, value: np.ndarray, capacity: int) -> np.ndarray:
-    """Copies of each length in the most valuable filling of one sequence: an unbounded knapsack, by capacity."""
+@dataclass
+class Plan:
+    """Configurations (copies by length) and how often each is used, which cover the demand exactly."""
+
+    configurations: list[tuple[np.ndarray, int]]
+    #: Share of the tokens that configurations of the linear program place; best fit places the others.
+    share: float
+    #: What the dual program shows that any packing needs.
+    bound: int
+
+    @property
+    def sequences(self) -> int:
+        return sum(n for _, n in self.configurations)
+
+    @property
+    def gap(self) -> float:
+        return self.sequences / self.bound - 1 if self.bound else 0.0
+
+
+def knapsack(size: np.ndarray, value: np.ndarray, capacity: int, told: bool = True) -> tuple[float, list[int]]:
+    """The most value that items, each once at most, have within the capacity, and (if told) which they are."""
     best = np.zeros(capacity + 1)
-    took = np.full(capacity + 1, -1)
-    fits = np.searchsorted(lengths, np.arange(capacity + 1), "right")
-    for c in range(1, capacity + 1):
-        best[c] = best[c - 1]
-        if k := fits[c]:
-            gain = best[c - lengths[:k]]
-            gain += value[:k]
-            j = int(gain.argmax())
-            if gain[j] > best[c]:
-                best[c], took[c] = gain[j], j
-    copies, c = np.zeros(len(lengths), np.int64), capacity
-    while c > 0:
-        if took[c] < 0:
-            c -= 1
-        else:
-            copies[took[c]] += 1
-            c -= lengths[took[c]]
-    return copies
-
-
-def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[np.ndarray, int]]:
-    """Configurations (copies by length) and how often each is used, covering the demand exactly.
-
-    Multiplicative weights: a length's weight is length / capacity, its price in
-    a perfect packing, times e to the share of it that is not yet covered; each
-    round adds the configuration of most weight. The last REST of the tokens, and
-    what rounding down leaves, are packed best fit decreasing. Where that alone
-    needs fewer sequences (few pieces, where rounding takes the most), it is kept.
+    took = np.zeros((len(size), capacity + 1), bool) if told else None
+    for i, (s, v) in enumerate(zip(size.tolist(), value.tolist(), strict=True)):
+        new = best[: capacity + 1 - s] + v
+        better = new > best[s:]
+        if told:
+            took[i, s:] = better
+        np.copyto(best[s:], new, where=better)
+    chosen, c = [], int(best.argmax())
+    top = float(best[c])
+    if told:
+        for i in range(len(size) - 1, -1, -1):
+            if took[i, c]:
+                chosen.append(i)
+                c -= int(size[i])
+    return top, chosen
+
+
+def best_configuration(lengths: np.ndarray, value: np.ndarray, most: np.ndarray, capacity: int, told: bool = True) -> tuple[float, np.ndarray]:
+    """The most value of one sequence, and the copies of each length in it, ``most`` of each at most."""
+    most, which, times = np.minimum(most, capacity // lengths), [], []
+    # copies in powers of two, so that any number of them can be chosen
+    k = 1
+    while (most > 0).any():
+        now = np.minimum(k, most)
+        which.append(np.flatnonzero(now))
+        times.append(now[which[-1]])
+        most, k = most - now, 2 * k
+    which, times = np.concatenate(which), np.concatenate(times)
+    top, chosen = knapsack(lengths[which] * times, value[which] * times, capacity, told)
+    copies = np.zeros(len(lengths), np.int64)
+    np.add.at(copies, which[chosen], times[chosen])
+    return top, copies
+
+
+def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> Plan:
+    """The plan for ``demand`` pieces of each of ``lengths`` (ascending, from 1 to capacity).
+
+    A round ends some length or halves what is left of it, so rounds grow with the
+    lengths (capacity at most) and, by a logarithm, with the demand.
     """
-    share = lengths / capacity
-    total = float((demand * lengths).sum())
-    left = demand.astype(float)
-    used: list[tuple[np.ndarray, float]] = []
-    for _ in range(rounds):
-        behind = float((left * lengths).sum()) / total if total else 0.0
-        at = np.flatnonzero(left >= 1)
-        if behind < REST or not len(at):
-            break
-        weight = np.exp(left[at] / demand[at] - behind)
+    if not len(lengths):
+        return Plan([], 0.0, 0)
+    share, left, total = lengths / capacity, demand.copy(), int((demand * lengths).sum())
+    out: list[tuple[np.ndarray, int]] = []
+    weights, rounds = np.zeros(len(lengths)), 0
+    while (behind := (left * lengths).sum() / total) >= REST:
+        at = np.flatnonzero(left)
+        need = left / demand
+        weight = share * np.exp(RATE * (need - behind))
+        weights, rounds = weights + weight, rounds + 1
+        if len(at) > PRICED:
+            spread = (at * _GOLDEN + rounds * _PLASTIC) % 1
+            least = np.lexsort((spread, -np.round(8 * need[at])))[: PRICED // 2]
+            at = np.unique(np.r_[at[least], at[np.argsort(spread)[: PRICED // 2]]])
         copies = np.zeros(len(lengths), np.int64)
-        copies[at] = best_configuration(lengths[at], share[at] * weight, capacity)
-        copies = np.minimum(copies, np.floor(left).astype(np.int64))
+        _, copies[at] = best_configuration(lengths[at], weight[at], left[at], capacity)
         has = copies > 0
-        times = float((np.maximum(left - REST * demand / 2, 1)[has] / copies[has]).min()) / 2
-        left = np.maximum(0, left - copies * times)
-        used.append((copies, times))
-    rest, out = demand.copy(), []
-    for copies, times in used:
-        if times >= 1:
-            out.append((copies, int(times)))
-            rest -= copies * int(times)
-    out += best_fit(lengths, rest, capacity)
-    plain = best_fit(lengths, demand, capacity)
-    return min(out, plain, key=lambda plan: sum(n for _, n in plan))
+        times = (int((left[has] // copies[has]).min()) + 1) // 2
+        left = left - copies * times
+        out.append((copies, times))
+    # any weights are a dual solution once divided by the most that one sequence can hold of them
+    bound = max(float((y * demand).sum()) / best_configuration(lengths, y, demand, capacity, told=False)[0] for y in (share, weights / max(rounds, 1)) if y.any())
+    placed = 1 - float((left * lengths).sum()) / total
+    return Plan(out + best_fit(lengths, left, capacity), placed, math.ceil(bound - 1e-6))
 
 
 def best_fit(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
@@ -162,7 +205,7 @@ def _place(at: dict[str, np.ndarray]):
     return run
 
 
-def pack(parts: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> DataFrame:
+def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``parts`` (the columns of PIECES, lengths 1 to capacity) with ``sequence_id`` and ``offset``.
 
     ``parts`` is read three times: give a written table. Ranks are numbers within
@@ -176,7 +219,9 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> Da
     demand = np.array([r[1] for r in rows], np.int64)
     if len(lengths) and (lengths[0] < 1 or lengths[-1] > capacity):
         raise ValueError(f"lengths must be from 1 to {capacity}, found {lengths[0]} to {lengths[-1]}")
-    at = places(lengths, solve(lengths, demand, capacity, rounds))
+    plan = solve(lengths, demand, capacity)
+    _log.info("%d sequences, at least %d needed, %.3f of the tokens placed by configurations", plan.sequences, plan.bound, plan.share)
+    at = places(lengths, plan.configurations)
     salts = int(max(64, -(-demand.sum() // 500_000)))
     salted = parts.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
     size = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
