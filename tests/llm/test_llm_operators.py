@@ -191,9 +191,9 @@ class BruteModel:
                 gains = []
                 for k in range(len(lm.SHARES)):
                     n, w = self.uses(s), max(lm.LEAST_WEIGHT, lm.SHARES[k] * self.uses(s))
-                    gains.append((sum(c * math.log((c - 1 + w * self.suffix(s, x)) / (n - 1 + w) / self.suffix(s, x)) for x, c in nexts.items()), w))
+                    gains.append((sum(c * round(lm.GRAIN * math.log((c - 1 + w * self.suffix(s, x)) / (n - 1 + w) / self.suffix(s, x))) for x, c in nexts.items()), w))
                 best = max(g for g, _ in gains)
-                if best > lm.LEAST_GAIN:
+                if best > lm.GRAIN * lm.LEAST_GAIN:
                     self.weight[s] = next(w for g, w in gains if g == best)
 
     def examined(self, s):

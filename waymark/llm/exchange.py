@@ -29,7 +29,7 @@ from waymark.llm.flat import give_back
 BUCKET_BYTES = 4 << 20
 BLOCK_BYTES = 32 << 20
 LEAST_BUCKETS = 24
-LEAST_BLOCKS = 128
+LEAST_BLOCKS = 64
 KEY_BYTES = 5
 
 
