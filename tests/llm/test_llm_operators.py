@@ -436,6 +436,7 @@ def test_near_vectors(spark, monkeypatch):
     links, label = brute_links(x, 0.9)
     for chunk in (2048, 40):
         monkeypatch.setattr(embeddings, "CHUNK", chunk)
+        monkeypatch.setattr(embeddings, "CELL", 20)
         got = sorted(embeddings.near_vectors(df, 0.9).collect())
         found = np.array([r.n_links for r in got])
         assert (found <= links).all()
@@ -444,11 +445,37 @@ def test_near_vectors(spark, monkeypatch):
         assert all(r.kept == (r.vec_id == r.component_id) for r in got)
 
 
+def test_traversal_visits_the_nearest_cells_in_order():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 6))
+    index = embeddings.Index((rng.normal(size=(7, 3)), rng.normal(size=(5, 3))), 9)
+    border = [np.maximum(b, 0) for b in index.borders(x)]
+    every = (border[0][:, :, None] + border[1][:, None, :]).reshape(60, -1)
+    got = index.traverse(x, 9)
+    assert np.allclose(np.take_along_axis(every, got, 1), np.sort(every, axis=1)[:, :9])
+    assert all(len(set(g)) == 9 for g in got.tolist())
+    own = [embeddings._distances(h, c).argmin(1) for h, c in zip((x[:, :3], x[:, 3:]), index.books, strict=True)]
+    assert (got[:, 0] == own[0] * 5 + own[1]).all()
+
+
+def test_near_vectors_of_two_widths(spark, monkeypatch):
+    """Each width has links of its own, also the rarer one, and extra columns with clashing names do no harm."""
+    monkeypatch.setattr(embeddings, "CHUNK", 30)
+    rng = np.random.default_rng(9)
+    x = {i: (lambda v: v + rng.normal(size=len(v)) * 0.05)(np.eye(6 if i % 4 else 9)[i % 5]).tolist() for i in range(200)}
+    df = spark.createDataFrame([(i, v, 1, 2) for i, v in x.items()], "vec_id long, embedding array<double>, n_links int, head int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_vectors(df, 0.9).collect()}
+    for w in (6, 9):
+        ids = [i for i, v in x.items() if len(v) == w]
+        links, label = brute_links(np.array([x[i] for i in ids]), 0.9)
+        assert {i: got[i] for i in ids} == {i: (n, ids[c]) for i, n, c in zip(ids, links, label, strict=True)}
+
+
 def test_near_vector_edges(spark):
     kind = "vec_id long, embedding array<float>, label int"
-    df = spark.createDataFrame([(1, [1.0, 0.0], 0), (2, [2.0, 0.0], 0), (3, [0.0, 0.0], 0), (4, None, 0), (5, [None, 1.0], 0), (6, [float("nan"), 1.0], 0), (7, [float("inf"), 1.0], 0), (8, [], 0), (9, [1.0, 0.0, 0.0], 0), (None, [1.0, 0.0], 0), (10, [0.0, 1.0], 0), (10, [0.0, 1.0], 0)], kind)
+    df = spark.createDataFrame([(1, [1.0, 0.0], 0), (2, [2.0, 0.0], 0), (3, [0.0, 0.0], 0), (4, None, 0), (5, [None, 1.0], 0), (6, [float("nan"), 1.0], 0), (7, [float("inf"), 1.0], 0), (8, [], 0), (9, [1.0, 0.0, 0.0], 0), (11, [1.0, 0.1, 0.0], 0), (12, [3.0], 0), (13, [4.0], 0), (14, [-4.0], 0), (None, [1.0, 0.0], 0), (10, [0.0, 1.0], 0), (10, [0.0, 1.0], 0)], kind)
     got = rows(embeddings.near_vectors(df))
-    want = [(1, 1, 1, True), (2, 1, 1, False), *((i, 0, i, True) for i in range(3, 10)), (None, 0, None, True), (10, 1, 10, True), (10, 1, 10, True)]
+    want = [(1, 1, 1, True), (2, 1, 1, False), *((i, 0, i, True) for i in range(3, 9)), (9, 1, 9, True), (11, 1, 9, False), (12, 1, 12, True), (13, 1, 12, False), (14, 0, 14, True), (None, 0, None, True), (10, 1, 10, True), (10, 1, 10, True)]
     assert got == sorted(want, key=repr)
     assert embeddings.near_vectors(spark.createDataFrame([], kind)).count() == 0
     assert rows(embeddings.near_vectors(df.where("vec_id = 4"))) == [(4, 0, 4, True)]
