@@ -385,7 +385,8 @@ ODD = ["a b c d e f g h a b c d e f g h", "x " * 40, "a\na\n\n a\nb\n", "THE END
 def test_measures(spark, docs):
     data, df = docs
     more = spark.createDataFrame([(1000 + i, t, None) for i, t in enumerate(ODD)], DOCS)
-    out = quality.measured(df.union(more).withColumn("n_words", F.lit("clash"))).collect()
+    names = [*quality.REPORTED, "n_lines", "n_stutters", "n_shouted"]
+    out = quality.measured(df.union(more).withColumn("n_words", F.lit("clash")).withColumn("_words", F.lit(1)), report=names).collect()
     texts = {i: t for i, t, _ in data} | {1000 + i: t for i, t in enumerate(ODD)}
     for r in out:
         m = brute_measures(texts[r.doc_id])
@@ -403,6 +404,18 @@ def test_cascade_order_does_not_change_the_verdict(docs):
         assert rows(again) == kept
     assert 0 < len(kept) < df.count()
     assert {r.name for r in quality.ordered_rules(df)} == {r.name for r in quality.RULES}
+    free = quality.ordered_rules(df, known=quality.REPORTED)
+    assert {r.name for r in free[:4]} == {"few_words", "repeats", "symbols", "word_length"}
+
+
+def test_late_measures_are_taken_inside_the_cascade(docs):
+    _, df = docs
+    plan = quality.measured(df)._jdf.queryExecution().optimizedPlan().toString()
+    late = [line for line in plan.splitlines() if "upper(" in line]
+    assert len(late) == 1
+    assert "CASE WHEN" in late[0].split("upper(")[0]
+    with_all = quality.measured(df, report=[*quality.REPORTED, "n_lines", "n_stutters", "n_shouted"])
+    assert rows(quality.measured(df).select("doc_id", F.col("rejected_by").isNull())) == rows(with_all.select("doc_id", F.col("rejected_by").isNull()))
 
 
 def test_quality_of_no_rows(empty):

@@ -1,31 +1,33 @@
 """Quality rules as one short-circuit cascade of column expressions.
 
-A rule is a test over measures of a text. On a sample, each rule's cost (the time
-to evaluate it alone) and selectivity (the share it rejects) are estimated; rules
-then stand in the order of rejections per cost, in one CASE expression, so that
-an expensive measure is only taken of texts that the rules before it let pass.
+A rule is a test over measures of a text. On a sample of rows, in one job, each
+rule's cost and selectivity (the share it rejects) are estimated: the cost is the
+median time between two readings of the clock before and after the rule, so that
+neither a job's fixed cost nor the splitting into words, which all share, counts.
+Rules then stand in the order of rejections per cost, in one CASE expression, so
+that an expensive measure is only taken of texts that the rules before it let pass.
 The order changes the work, never the verdict. Everything is SQL functions.
 """
 
 from __future__ import annotations
 
-import time
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.storage import Written
-
-#: Texts on which costs and selectivities are estimated; results do not depend on it.
+#: Texts on which costs and selectivities are estimated, about; results do not depend on it.
 SAMPLE = 2000
+SEED = 29
 #: Words of a window for repeats.
 WINDOW = 8
 
 _BLANK = "[ \\t-\\r]+"
 _SYMBOLS = "[#*$%&|<>]+"
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stutters", "n_shouted")
+#: Measures that a report has of every text; rules may use more, which are taken where a rule needs them.
+REPORTED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 Measures = Callable[[str], Column]
 
@@ -91,7 +93,7 @@ def _repeat_words(words: Column) -> Column:
 
 
 def measure(name: str, text: Column, words: Column) -> Column:
-    """One of MEASURES, as a long; text is not null."""
+    """A measure, as a long; text is not null."""
     lines = lambda: F.filter(F.split(text, "\n"), lambda x: x.rlike("[^ \\t-\\r]"))
     if name == "n_words":
         out = F.size(words)
@@ -128,33 +130,64 @@ def verdict(text: Column, rules: tuple[Rule, ...]) -> Column:
     return let(words_of(whole), lambda w: cascade(lambda name: measure(name, whole, w), rules))
 
 
-def ordered_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample: int = SAMPLE, text: str = "text") -> tuple[Rule, ...]:
-    """The rules by rejections per second on up to ``sample`` rows; an empty table leaves them as they are."""
-    some = Written(docs.select(F.col(text).alias("text")).limit(sample), "sample")
-    whole = F.col("text")
-    rows = some.df.count()
-    rates = {}
-    for r in rules:
-        began = time.perf_counter()
-        rejected = some.df.where(verdict(whole, (r,)).isNotNull()).count()
-        rates[r.name] = rejected / max(rows, 1) / max(time.perf_counter() - began, 1e-6)
-    some.drop()
-    return tuple(sorted(rules, key=lambda r: -rates[r.name]))
+def _clock() -> Column:
+    return F.reflect(F.lit("java.lang.System"), F.lit("nanoTime")).cast("long")
+
+
+def _measures(text: Column, words: Column, known: Sequence[str] = ()) -> Measures:
+    return lambda name: F.col(name) if name in known else measure(name, text, words)
+
 
+def _needs(rule: Rule) -> set[str]:
+    """The measures of a rule."""
+    asked: set[str] = set()
 
-def measured(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs`` with all MEASURES and ``rejected_by``, the first rule of the cascade that rejects the text (null: kept).
+    def note(name: str) -> Column:
+        asked.add(name)
+        return F.lit(0)
 
-    A null text is an empty one. Columns named like the added ones are replaced.
+    rule.rejects(note)
+    return asked
+
+
+def ordered_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample: int = SAMPLE, text: str = "text", known: Sequence[str] = ()) -> tuple[Rule, ...]:
+    """The rules by rejections per cost on about ``sample`` rows, drawn from all partitions; an empty table leaves them as they are.
+
+    known: measures that are taken anyway; rules that need no others cost nothing and
+    come first. Costs are rounded to powers of two, so that they come out alike every time.
+    """
+    rows = docs.count()
+    if not rows:
+        return rules
+    some = docs.select(F.coalesce(text, F.lit("")).alias("_text")).sample(min(1.0, sample / rows), seed=SEED).withColumn("_words", words_of(F.col("_text")))
+    take = _measures(F.col("_text"), F.col("_words"))
+    tried = [F.array(_clock(), F.coalesce(r.rejects(take), F.lit(False)).cast("long"), _clock()).alias(f"_{i}") for i, r in enumerate(rules)]
+    hits = [F.sum(F.col(f"_{i}")[1]) for i in range(len(rules))]
+    costs = [F.percentile_approx(F.col(f"_{i}")[2] - F.col(f"_{i}")[0], 0.5) for i in range(len(rules))]
+    seen, *found = some.select(*tried).agg(F.count("*"), *hits, *costs).first()
+    rate = {}
+    for r, hit, cost in zip(rules, found, found[len(rules) :], strict=False):
+        free = _needs(r) <= set(known)
+        rate[r.name] = (not free, -((hit or 0) + 0.5) / (seen + 1) / 2.0 ** round(math.log2(max(cost or 1, 1))))
+    return tuple(sorted(rules, key=lambda r: rate[r.name]))
+
+
+def measured(docs: DataFrame, rules: tuple[Rule, ...] = RULES, report: Sequence[str] = REPORTED) -> DataFrame:
+    """``docs`` with the measures of ``report`` and ``rejected_by``, the first rule of the cascade that rejects the text (null: kept).
+
+    Measures that only rules need are taken inside the cascade, of the texts that
+    reach them. A null text is an empty one, and so has no words; texts are measured
+    whole, however long; repeated rows are rows like others, and no rows give none.
+    Other columns are carried along; those named like the added ones, ``_words`` or
+    ``_text`` are replaced or left out.
     """
-    order = ordered_rules(docs, rules)
-    whole = F.coalesce("text", F.lit(""))
-    kept = docs.drop(*MEASURES, "rejected_by", "_words")
-    with_words = kept.withColumn("_words", words_of(whole))
-    out = with_words.select("*", *(measure(name, whole, F.col("_words")).alias(name) for name in MEASURES)).drop("_words")
-    return out.withColumn("rejected_by", cascade(F.col, order))
+    order = ordered_rules(docs, rules, known=report)
+    kept = docs.drop(*report, "rejected_by", "_words", "_text").withColumn("_text", F.coalesce("text", F.lit("")))
+    with_words = kept.withColumn("_words", words_of(F.col("_text")))
+    out = with_words.select("*", *(measure(name, F.col("_text"), F.col("_words")).alias(name) for name in report))
+    return out.withColumn("rejected_by", cascade(_measures(F.col("_text"), F.col("_words"), report), order)).drop("_words", "_text")
 
 
 def quality_filter(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of ``docs`` that no rule rejects, unchanged."""
+    """The rows of ``docs`` that no rule rejects, unchanged; null texts count as empty, other columns may have any names."""
     return docs.where(verdict(F.col("text"), ordered_rules(docs, rules)).isNull())
