@@ -594,7 +594,7 @@ def test_remove_repeat_edges(spark, empty):
 # --- WARC ---
 
 
-PAGES = [(1, "http://a/1", "<p>x</p>"), (2, "http://a/2", "<p>x</p>"), (3, None, "y"), (4, "u\r\nv%", None), (5, "http://b", ""), (None, "n", "<p>x</p>"), (7, "http://c", "é" * 5000), (8, "http://c", "<p>x</p>"), (8, "http://d", "<p>x</p>")]
+PAGES = [(1, "http://a/1", "<p>x</p>"), (2, "http://a/2", "<p>x</p>"), (3, None, "y"), (4, "u\r\nv%", None), (5, "http://b", ""), (None, "n", "<p>x</p>"), (7, "http://c", "é" * 5000), (9, " http://x/a%20b%25 \u00a0", "z"), (10, "http://x/a%20b%0A", "q"), (11, "", "w"), (12, " \t", "v"), (8, "http://c", "<p>x</p>"), (8, "http://d", "<p>x</p>")]
 
 
 @pytest.fixture(scope="module")
@@ -652,6 +652,32 @@ def test_warc_of_other_writers(spark, tmp_path):
     assert got == [(1, 27000), (1, 27000), (2, 1), (2, 1)]
 
 
+@pytest.mark.parametrize("fields", [False, True])
+def test_warc_of_several_records_in_a_member(spark, tmp_path, fields):
+    import gzip
+
+    pages = [(i, bytes([65 + i]) * n) for i, n in enumerate((3, 9000, 0, 3_000_000, 70_000, 1))]
+    raw = [warc.record(i, f"http://x/{i}", "response", None, warc.digest(p), p) for i, p in pages]
+    pack = warc.member if fields else gzip.compress
+    (tmp_path / "x.warc.gz").write_bytes(pack(raw[0] + raw[1] + raw[2]) + warc.member(raw[3]) + pack(raw[4] + raw[5]))
+    got = rows(warc.read_archives(spark, f"file://{tmp_path}").select("page_id", F.length("payload")))
+    assert got == [(i, len(p)) for i, p in pages]
+    light = warc.read_archives(spark, f"file://{tmp_path}", payload="none").where("page_id >= 3").select("page_id", "payload_bytes", "payload")
+    assert rows(light) == [(i, len(p), None) for i, p in pages[3:]]
+
+
+def test_warc_headers_are_plain_to_others(spark, tmp_path):
+    """Addresses are not escaped unless no header can hold them, and those of other writers are taken as they are."""
+    assert b"WARC-Target-URI: http://x/a%20b\r\n" in warc.record(1, "http://x/a%20b", "response", None, "", b"")
+    other = b"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Target-URI: http://x/a%25b%0D\r\nWARC-Payload-Digest: sha256:0123\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n1\r\na\r\n0\r\n\r\n"
+    other += b"WARC/1.0\r\nWARC-Type: response\r\nContent-Type: application/http\r\nWARC-Payload-Digest: sha1:" + warc.digest(b"a").encode() + b"\r\nContent-Length: %d\r\n\r\n" % len(chunked) + chunked + b"\r\n\r\n"
+    other += b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Payload-Digest: sha1:6dcd4ce2\r\nContent-Length: 1\r\n\r\nx\r\n\r\n"
+    (tmp_path / "other.warc").write_bytes(other)
+    got = [tuple(r) for r in warc.read_archives(spark, f"file://{tmp_path}").select("target_uri", "payload_digest", "payload").collect()]
+    assert got == [("http://x/a%25b%0D", "sha256:0123", b"abc"), (None, warc.digest(b"a"), b"1\r\na\r\n0\r\n\r\n"), (None, "6dcd4ce2", b"x")]
+
+
 @pytest.mark.parametrize("packed", [True, False])
 def test_warc_long_urls(spark, tmp_path, packed):
     rng, letters = np.random.default_rng(3), np.frombuffer(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789-_", np.uint8)

@@ -5,21 +5,25 @@ comparison filters on the header columns down into the reader, parses the header
 of each record first, and decodes a payload only where the record passes the
 filters and its payload is wanted (option ``payload``: all, response, none).
 
-Archives are written a gzip member a record, with an extra field "sl" that holds
-the member's compressed length, so that a reader steps over a record it does not
-want after decompressing the first bytes. Members without the field and archives
-that are not compressed are read too, front to back.
+Archives are written a gzip member a record, with the extra field "sl" of the WARC
+standard that holds the member's compressed and uncompressed length, so that a reader
+steps over a record it does not want after decompressing the first bytes. Members
+without the field, members of several records, and archives that are not compressed
+are read too, front to back, whatever they hold in memory bounded by one record.
+Digests are verified where they are SHA-1 in base32 of the payload as it is stored.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -53,6 +57,8 @@ INPUT = ("page_id", "url", "record_type", "refers_to", "payload_digest", "payloa
 PARTITION_BYTES = 64 << 20
 _HEAD = 4096
 _ID = "urn:page:"
+_ESCAPED = "Waymark-Escaped-Target-URI"
+_SHA1 = re.compile("sha1:[A-Z2-7]{32}")
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -68,21 +74,21 @@ def _system(path: str):
 
 
 def member(data: bytes) -> bytes:
-    """A gzip member whose extra field holds its own length."""
+    """A gzip member whose extra field holds its lengths, unless they are too large for it."""
     body = zlib.compressobj(6, zlib.DEFLATED, -15)
     packed = body.compress(data) + body.flush()
     length = 12 + 12 + len(packed) + 8
-    head = b"\x1f\x8b\x08\x04" + b"\0" * 4 + b"\0\xff" + struct.pack("<H", 12) + b"sl" + struct.pack("<HII", 8, length & 0xFFFFFFFF, length >> 32)
-    return head + packed + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
+    end = packed + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
+    if max(length, len(data)) >> 32:
+        return b"\x1f\x8b\x08\0" + b"\0" * 4 + b"\0\xff" + end
+    return b"\x1f\x8b\x08\x04" + b"\0" * 4 + b"\0\xff" + struct.pack("<H", 12) + b"sl" + struct.pack("<HII", 8, length, len(data)) + end
 
 
 def _clean(value: str) -> str:
-    """A header value on one line: percent escapes for what would end it, and for the percent sign."""
-    return "".join(f"%{ord(c):02X}" if c in "%\r\n" else c for c in value)
-
-
-def _dirty(value: str) -> str:
-    return value.replace("%0D", "\r").replace("%0A", "\n").replace("%25", "%")
+    """A header value on one line: percent escapes for line ends, for white space around it, and for the percent sign."""
+    inner = value.strip()
+    at = value.find(inner) if inner else len(value)
+    return "".join(quote(c, safe="") if c in "%\r\n" or not at <= i < at + len(inner) else c for i, c in enumerate(value))
 
 
 def record(page_id: int | None, url: str | None, kind: str, refers_to: int | None, name: str, payload: bytes) -> bytes:
@@ -91,7 +97,9 @@ def record(page_id: int | None, url: str | None, kind: str, refers_to: int | Non
     body = http if kind == "revisit" else http + payload
     lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{_ID}{'null' if page_id is None else page_id}>", "WARC-Date: 1970-01-01T00:00:00Z"]
     if url is not None:
-        lines.append(f"WARC-Target-URI: {_clean(url)}")
+        # other writers' readers see an address as it is; only what no header can hold is escaped, and marked
+        plain = url == url.strip() and "\r" not in url and "\n" not in url
+        lines += [f"WARC-Target-URI: {url}"] if plain else [f"WARC-Target-URI: {_clean(url)}", f"{_ESCAPED}: percent"]
     lines += ["Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha1:{name}"]
     if kind == "revisit":
         lines += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: <{_ID}{refers_to}>"]
@@ -135,7 +143,7 @@ def columns(head: dict[str, str], block: bytes) -> dict:
         size = int(head.get("content-length", 0))
     uri = head.get("warc-target-uri")
     return {
-        "page_id": _number(head.get("warc-record-id")), "record_type": head.get("warc-type"), "target_uri": None if uri is None else _dirty(uri),
+        "page_id": _number(head.get("warc-record-id")), "record_type": head.get("warc-type"), "target_uri": unquote(uri) if uri is not None and _ESCAPED.lower() in head else uri,
         "refers_to": _number(head.get("warc-refers-to")), "payload_digest": head.get("warc-payload-digest", "").removeprefix("sha1:") or None, "payload_bytes": size,
     }
 
@@ -170,6 +178,35 @@ def _supported(f) -> bool:
     return type(inner) in _TESTS and len(inner.attribute) == 1 and inner.attribute[0] in ("page_id", "record_type", "target_uri", "refers_to", "payload_digest", "payload_bytes")
 
 
+class _Unzipped:
+    """The content of one gzip member, read forwards; what lies before the last place asked for is forgotten."""
+
+    def __init__(self, read: Callable[[int, int], bytes], at: int) -> None:
+        self.read, self.next, self.zip = read, at, zlib.decompressobj(31)
+        self.buffer, self.base = b"", 0
+
+    def _more(self, most: int) -> bytes:
+        data = self.zip.unconsumed_tail
+        if not data:
+            data = self.read(self.next, 1 << 16)
+            self.next += len(data)
+            if not data:
+                raise ValueError("an archive that ends within a member")
+        return self.zip.decompress(data, most)
+
+    def __call__(self, at: int, n: int) -> bytes:
+        while not self.zip.eof and at + n > self.base + len(self.buffer):
+            skip = min(at - self.base, len(self.buffer))
+            self.buffer, self.base = self.buffer[skip:] + self._more(max(1 << 20, n)), self.base + skip
+        return self.buffer[at - self.base : at - self.base + n]
+
+    def end(self) -> int:
+        """Where the next member starts; the rest of this one is passed over."""
+        while not self.zip.eof:
+            self._more(1 << 20)
+        return self.next - len(self.zip.unused_data)
+
+
 class _Source:
     """Records of one archive, headers first."""
 
@@ -184,17 +221,16 @@ class _Source:
         if self._at(0, 2) == b"\x1f\x8b":
             yield from self._members(wanted, payloads)
         else:
-            yield from self._plain(wanted, payloads)
+            yield from self._sequence(self._at, wanted, payloads)
 
     def _members(self, wanted, payloads) -> Iterator[dict]:
         at = 0
         while at < self.size:
-            # the length from the extra field, or by decompressing the member
-            data, length = self._at(at, _HEAD), None
-            if len(data) >= 24 and data[3] & 4 and data[12:14] == b"sl":
-                low, high = struct.unpack("<II", data[16:24])
-                length = low | high << 32
+            data = self._at(at, _HEAD)
+            if len(data) >= 24 and data[3] & 4 and data[12:16] == b"sl\x08\0":
+                length, full = struct.unpack("<II", data[16:24])
                 unzip, head, left, done = zlib.decompressobj(31), b"", data[:length], min(len(data), length)
+                parsed = None
                 while left:
                     # as much again each time, so that long headers are searched a few times only
                     head += unzip.decompress(left, max(_HEAD, len(head)))
@@ -205,27 +241,24 @@ class _Source:
                     if not left and done < length:
                         left = self._at(at + done, min(max(_HEAD, done), length - done))
                         done += len(left)
-                whole = lambda: zlib.decompress(self._at(at, length), 31)  # noqa: B023, E731
-            else:
-                unzip, parts, k = zlib.decompressobj(31), [], at
-                while not unzip.eof and k < self.size:
-                    more = self._at(k, 1 << 16)
-                    parts.append(unzip.decompress(more))
-                    k += len(more)
-                length, head = k - len(unzip.unused_data) - at, b"".join(parts)
-                parsed = parse_head(head)
-                whole = lambda: head  # noqa: B023, E731
-            if parsed is None:
-                raise ValueError(f"a record without headers at byte {at}")
-            yield from self._record(*parsed, head, whole, wanted, payloads)
-            at += length
-
-    def _plain(self, wanted, payloads) -> Iterator[dict]:
+                if parsed is None:
+                    raise ValueError(f"a record without headers at byte {at}")
+                if parsed[1] + int(parsed[0]["content-length"]) + 4 >= full:
+                    yield from self._record(*parsed, head, lambda: zlib.decompress(self._at(at, length), 31), wanted, payloads)  # noqa: B023
+                    at += length
+                    continue
+            # several records, or no word of its length
+            member = _Unzipped(self._at, at)
+            yield from self._sequence(member, wanted, payloads)
+            at = member.end()
+
+    def _sequence(self, read: Callable[[int, int], bytes], wanted, payloads) -> Iterator[dict]:
+        """Records one after another."""
         at = 0
-        while at < self.size:
+        while read(at, _HEAD).strip():
             n = _HEAD
             while True:
-                data = self._at(at, n)
+                data = read(at, n)
                 parsed = parse_head(data)
                 if _complete(data, parsed) or len(data) < n:
                     break
@@ -234,7 +267,7 @@ class _Source:
                 raise ValueError(f"a record without headers at byte {at}")
             head, start = parsed
             length = start + int(head["content-length"])
-            yield from self._record(head, start, data, lambda: self._at(at, length), wanted, payloads)  # noqa: B023
+            yield from self._record(head, start, data, lambda: read(at, length), wanted, payloads)  # noqa: B023
             at += length + 4
 
     def _record(self, head, start, data, whole, wanted, payloads) -> Iterator[dict]:
@@ -244,7 +277,10 @@ class _Source:
         if payloads == "all" or payloads == row["record_type"]:
             block = whole()[start : start + int(head["content-length"])]
             row["payload"] = body_of(head, block)
-            if row["record_type"] != "revisit" and row["payload_digest"] not in (None, digest(row["payload"])):
+            told = head.get("warc-payload-digest", "")
+            # a payload that was sent in chunks or cut short is not what its digest is of
+            plain = "warc-truncated" not in head and b"transfer-encoding:" not in block[: len(block) - len(row["payload"])].lower()
+            if row["record_type"] in ("response", "resource") and plain and _SHA1.fullmatch(told) and told != f"sha1:{digest(row['payload'])}":
                 raise ValueError(f"the payload of {head.get('warc-record-id')} does not have its digest")
         else:
             row["payload"] = None
@@ -377,8 +413,11 @@ def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
     Only (page_id, digest) is shuffled by digest, and joined with the digests of
     several pages; payloads are shuffled once, by page_id, which no group shares.
-    A null html is an empty payload. A null page_id is never revisited and never a
-    revisit. Rows with one page_id and equal payloads are of one kind.
+    A null html is an empty payload, a null url leaves the header out. A null page_id
+    is never revisited and never a revisit. Rows with one page_id and equal payloads
+    are of one kind. Very long payloads are written and read whole, one at a time in a
+    task. Only these three columns are read, whatever others are named. No rows make
+    archives of no records.
     """
     payload = F.coalesce("html", F.lit("")).cast("binary")
     light = pages.select("page_id", F.sha1(payload).alias("_sha1"), F.octet_length(payload).alias("_n")).where(F.col("_n") >= least_bytes)
