@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -109,6 +110,40 @@ def test_merge_rounds_on_odd_texts(pieces, text):
     assert ids.tolist() == [1, *library.encode(text or ""), 2]
 
 
+def unbroken(n, seed=0):
+    rng = np.random.default_rng(seed)
+    words = ["the", "tion", "in", "er", "qu", "zx", "anti", "BOX", "7", "ing", "house", "e", "ss", "aa"]
+    return "".join(rng.choice(words, n))[:n]
+
+
+@pytest.mark.parametrize("text", [unbroken(4000), unbroken(4000, 1).upper(), "ab" * 900 + "ba" * 700, "etaoinshrdlu" * 300, "tete" * 500 + "e", "日本語" * 300, "ſaſe" * 200])
+def test_merge_rounds_on_unbroken_texts(pieces, text):
+    ours, library = pieces
+    ids, _ = ours.encode([text])
+    assert ids.tolist() == [1, *library.encode(text), 2]
+
+
+@given(st.text(st.sampled_from(list("aeinrst")), min_size=1, max_size=120))
+@settings(max_examples=150, deadline=None)
+def test_simultaneous_merges_equal_the_library(pieces, text):
+    ours, library = pieces
+    ids, _ = ours.encode([text, text * 5])
+    assert ids.tolist() == [1, *library.encode(text), 2, 1, *library.encode(text * 5), 2]
+
+
+def test_merge_rounds_are_nearly_linear(pieces):
+    ours, _ = pieces
+
+    def seconds(n):
+        text = unbroken(n)
+        began = time.process_time()
+        ours.encode([text])
+        return time.process_time() - began
+
+    seconds(1000)
+    assert min(seconds(400_000) for _ in range(2)) < 5 * min(seconds(100_000) for _ in range(2))
+
+
 @pytest.mark.parametrize("bits", [False, True])
 def test_planes_round_trip(bits):
     rng = np.random.default_rng(1)

@@ -10,7 +10,7 @@ its next-word distribution diverges from its suffix's: if, each use left out in
 turn, the others predict it better than the suffix does, by LEAST_GAIN nats in
 all. A context that stays is smoothed towards the next shorter one that stays, in
 the end towards the corpus's shares of words, and these towards spellings; of
-three degrees of smoothing it takes the one that predicts the left-out uses best.
+two degrees of smoothing it takes the one that predicts the left-out uses best.
 
 Spellings: the symbols of a word are its bytes and a closing blank, the contexts
 up to DEPTH symbols that reach back to the word's start at most. A context with
@@ -50,7 +50,7 @@ LEAST_GAIN = 1.0
 #: The test's terms are rounded to this part of a nat, so that sums do not depend on their order.
 GRAIN = 64
 #: Weights of the suffix in a context of N uses: these shares of N, LEAST_WEIGHT at least.
-SHARES = (1 / 64, 1 / 8, 1)
+SHARES = (1 / 32, 1 / 2)
 LEAST_WEIGHT = 0.5
 DEPTH = 6
 P_MIN = 4e-6
@@ -139,13 +139,26 @@ class _Bucket:
         return out & (n != self.before(self.count[depth - 2])) if depth > 1 else out
 
     def contexts(self, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The places where a context of ``depth`` is examined, its distinct contexts, and the number of each place's among them."""
+        """The places where a context of ``depth`` is examined, the distinct contexts, and the number of each place's among them."""
         at = np.flatnonzero(self.examined(depth))
         number, own = np.unique(self.which[depth - 1][at - 1], return_inverse=True)
         return at, self.distinct[depth - 1][number], own
 
+    def torn(self, depth: int, at: np.ndarray, own: np.ndarray, contexts: int) -> np.ndarray:
+        """Contexts with two uses in training, one of them here, whose next words differ: leaving either out tells against them."""
+        out = np.zeros(contexts, bool)
+        out[own[self.trained[at] & (self.count[depth - 1][at - 1] == 2) & (self.count[depth][at] == 1)]] = True
+        return out
+
+    def asked(self, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As ``contexts``, without those that are torn."""
+        at, distinct, own = self.contexts(depth)
+        whole = ~self.torn(depth, at, own, len(distinct))
+        number = np.cumsum(whole) - 1
+        return at[whole[own]], distinct[whole], number[own[whole[own]]]
+
     def gains(self, depth: int, tokens: int) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Contexts of ``depth``, and the test's sums over their uses in training here, for each degree of smoothing.
+        """Contexts of ``depth`` to ask for, and the test's sums over their uses in training here, for each degree of smoothing.
 
         The suffix's distribution is smoothed by one use of its own suffix's. A sum
         is left at 0 where the degree before it has the same weight.
@@ -154,7 +167,7 @@ class _Bucket:
         for d in range(1, depth):
             at = np.flatnonzero(self.examined(d) & self.trained)
             q[at] = (self.count[d][at] + q[at]) / (self.count[d - 1][at - 1] + 1)
-        places, distinct, own = self.contexts(depth)
+        places, distinct, own = self.asked(depth)
         used = self.trained[places]
         at, own = places[used], own[used]
         n, c, q = self.count[depth - 1][at - 1], self.count[depth][at], q[at]
@@ -393,23 +406,28 @@ class Tree:
         return out
 
     def words(self, data: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """log10 probability of each word."""
+        """log10 probability of each word. Each (context, symbol) is looked up once, however many words have it."""
         if not len(size):
             return np.zeros(0)
         flat, at, before = sequences(data, size)
-        state = np.zeros(len(at), np.int64)
-        alive, code = np.arange(len(at)), np.zeros(len(at), np.int64)
+        code = np.zeros(len(at), np.int64)
+        for depth in range(1, DEPTH + 1):
+            code |= np.where(before >= depth, flat[at - np.minimum(before, depth)] + 1, 0) << (_BITS * (depth - 1))
+        key, which = np.unique((code << _BITS) | flat[at], return_inverse=True)
+        code, symbol = key >> _BITS, key & ((1 << _BITS) - 1)
+        state, alive = np.zeros(len(key), np.int64), np.arange(len(key))
         for depth in range(1, DEPTH + 1):
-            codes = self.code[depth - 1]
+            codes, full = self.code[depth - 1], code[alive]
+            # every context is at least one symbol long; longer ones where the word has begun that far back
+            there = full >> (_BITS * (depth - 1)) > 0
+            alive, want = alive[there], full[there] & ((1 << (_BITS * depth)) - 1)
             if not len(codes) or not len(alive):
                 break
-            has, code = contexts(flat, at[alive], before[alive], depth, code)
-            alive = alive[has]
-            k = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
-            found = codes[k] == code
-            alive, code = alive[found], code[found]
+            k = np.minimum(np.searchsorted(codes, want), len(codes) - 1)
+            found = codes[k] == want
+            alive = alive[found]
             state[alive] = self.state[depth - 1][k[found]]
-        each = self._next(state, flat[at])
+        each = self._next(state, symbol)[which]
         return np.add.reduceat(each, np.cumsum(size + 1) - (size + 1))
 
 
@@ -434,7 +452,7 @@ def _score(model, tokens: int, known: int):
         # contexts that stay, from the shortest on: their shares, smoothed by what the shorter ones gave
         logp = root[which]
         for depth in range(1, WORDS + 1):
-            at, _, own = b.contexts(depth)
+            at, _, own = b.asked(depth)
             degree = degrees[depth - 1][own]
             at, degree = at[degree > 0], degree[degree > 0]
             n, c = b.count[depth - 1][at - 1], b.count[depth][at]

@@ -67,10 +67,15 @@ class PieceModel:
         self.key = np.array([r[0] for r in rows], np.int64)
         self.rank = np.array([r[1] for r in rows], np.int64)
         self.made = np.array([r[2] for r in rows], np.int64)
-        #: Merges after which a pair of less rank may arise: these are made one at a time.
+        #: Merges after which a pair of no more rank may arise.
         careful = {x for key, r, _ in rows for x in (key >> 20, key & ((1 << 20) - 1)) if x in rank and r <= rank[x]}
         self.careful = np.zeros(n + len(chars), bool)
         self.careful[list(careful)] = True
+        #: Neighbouring characters within some piece: no merge spans any others, so texts are cut there.
+        self.inside = np.unique(np.array([ord(a) << 21 | ord(b) for p in normal for a, b in zip(p, p[1:], strict=False)], np.int64))
+        low = self.inside[(self.inside >> 21 < 256) & (self.inside & 0x1FFFFF < 256)]
+        self.inside_low = np.zeros((256, 256), bool)
+        self.inside_low[low >> 21, low & 0x1FFFFF] = True
         surface = [b"" if control[i] else bytes([int(p[3:5], 16)]) if sp.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(self.text)]
         surface[self.unk] = " ⁇ ".encode()
         self.surface = np.frombuffer(b"".join(surface), np.uint8)
@@ -114,9 +119,18 @@ class PieceModel:
             k = np.arange(len(hit))
             run = np.maximum.accumulate(np.where(np.r_[True, np.diff(hit) != 1], k, 0))
             take = (k - run) % 2 == 0
-            # and only the first of its word, where a merge may open a better pair
-            take &= ~self.careful[made] | np.r_[True, word[hit[1:]] != word[hit[:-1]]]
             hit, made = hit[take], made[take]
+            # and of each word those up to the first that opens a pair of no more rank, which comes before the next
+            some = np.flatnonzero(self.careful[made])
+            if len(some):
+                opens = np.zeros(len(hit), bool)
+                opens[some] = self._opens(sym, word, rank, hit, made, some)
+                if opens.any():
+                    own = word[hit]
+                    start = np.maximum.accumulate(np.where(np.r_[True, own[1:] != own[:-1]], np.arange(len(hit)), 0))
+                    before = np.cumsum(opens) - opens
+                    take = before == before[start]
+                    hit, made = hit[take], made[take]
             sym[hit] = made
             keep = np.ones(len(sym), bool)
             keep[hit + 1] = False
@@ -134,6 +148,34 @@ class PieceModel:
         order = np.argsort(word, kind="stable")
         return sym[order].astype(np.int64), np.bincount(word, minlength=words)
 
+    def _opens(self, sym: np.ndarray, word: np.ndarray, rank: np.ndarray, hit: np.ndarray, made: np.ndarray, some: np.ndarray) -> np.ndarray:
+        """Whether each of ``some`` merges, made in order of their places, opens a pair of no more rank with a neighbour."""
+        at, new, least = hit[some], made[some], rank[hit[some]]
+        out = np.zeros(len(some), bool)
+        # on the left the merge before may have been made; on the right none has
+        left = np.where(at > 0, sym[at - 1], 0)
+        touches = (some > 0) & (hit[some - 1] + 2 == at)
+        left[touches] = made[some[touches] - 1]
+        there = (at > 0) & (word[at - 1] == word[at])
+        out[there] = self._pairs(left[there], new[there])[0] <= least[there]
+        end = at + 2
+        there = end < len(sym)
+        there[there] = word[end[there]] == word[at[there]]
+        out[there] |= self._pairs(new[there], sym[end[there]])[0] <= least[there]
+        return out
+
+    def _cuts(self, code: np.ndarray) -> np.ndarray:
+        """Whether no piece spans each character and the one before it."""
+        a, b = code[:-1], code[1:]
+        out = np.ones(len(code), bool)
+        low = (a < 256) & (b < 256)
+        out[1:][low] = ~self.inside_low[a[low], b[low]]
+        high = np.flatnonzero(~low)
+        key = a[high] << 21 | b[high]
+        k = np.minimum(np.searchsorted(self.inside, key), len(self.inside) - 1)
+        out[1:][high] = self.inside[k] != key
+        return out
+
     def _fallback(self, sym: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Symbols without a piece (below 0: a character; from n on: one of merges only) become their bytes."""
         odd = np.flatnonzero((sym < 0) | (sym >= self.n))
@@ -163,6 +205,7 @@ class PieceModel:
             if self.splits:
                 blank = code == SPACE
                 edge[1:] = blank[1:] & ~blank[:-1]
+            edge |= self._cuts(code)
             edge[begin] = True
             s = np.flatnonzero(edge)
             size = np.diff(np.r_[s, len(code)])
