@@ -48,7 +48,7 @@ class Written:
     def __init__(self, df: DataFrame, name: str) -> None:
         self.spark = df.sparkSession
         self.path = scratch_path(self.spark, name)
-        df.write.parquet(self.path)
+        df.write.option("compression", "zstd").parquet(self.path)
         # what a result still reads stays until the driver ends, and no longer
         fs, at = _at(self.spark, self.path)
         fs.deleteOnExit(at)
