@@ -1,7 +1,16 @@
-"""Traces, node paths and distances between them, as column expressions."""
+"""Traces, node paths and distances between them, as column expressions.
+
+The two distances that fill a table for each pair of paths run over Arrow batches;
+everything else is SQL functions.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,34 +44,73 @@ def is_valid_path(path: Column) -> Column:
     return F.coalesce(F.size(path) > 1, F.lit(False))
 
 
-def _near(a: Column, b: Column, epsilon: float) -> Column:
-    return F.sqrt(F.pow(a["x"] - b["x"], F.lit(2)) + F.pow(a["y"] - b["y"], F.lit(2))) <= epsilon
+#: Cells of the tables that are filled together.
+CELLS = 1 << 22
 
 
-def _table(a: Column, b: Column, first: Column, row_start, cell) -> Column:
-    """The last cell of a dynamic program over points a (rows) and b (columns).
+def _tables(a: pa.Array, b: pa.Array, epsilon: float, kind: str) -> np.ndarray:
+    """The last cell of a dynamic program over the points of each pair of paths, many pairs at a time.
 
-    A row is an array of size(b) + 1 integers. row_start(old row): its first cell;
-    cell(p, q, diagonal, above, left): a further one.
+    Rows are points of a, columns points of b. What a cell takes from its left
+    neighbour is a running maximum (kind lcss) or minimum (edr) along the row, so a
+    row is filled at once. Shorter paths are padded; their cells are not read.
     """
-
-    def row(old: Column, p: Column) -> Column:
-        steps = F.zip_with(b, F.zip_with(F.slice(old, F.lit(1), F.size(b)), F.slice(old, F.lit(2), F.size(b)), lambda d, u: F.struct(d.alias("d"), u.alias("u"))), lambda q, o: F.struct(q.alias("q"), o.alias("o")))
-        return F.aggregate(steps, F.array(row_start(old)), lambda now, s: F.concat(now, F.array(cell(p, s["q"], s["o"]["d"], s["o"]["u"], F.element_at(now, -1)))))
-
-    return F.element_at(F.aggregate(a, first, row), -1)
+    (na, ax, ay), (nb, bx, by) = _points(a), _points(b)
+    out = np.zeros(len(na))
+    begin = 0
+    order = np.argsort(np.maximum(na, nb), kind="stable")
+    while begin < len(order):
+        end = len(order)
+        while end - begin > 1 and (end - begin) * (nb[order[begin:end]].max() + 1) > CELLS:
+            end = (begin + end) // 2
+        some, begin = order[begin:end], end
+        m = int(nb[some].max(initial=0))
+        column = np.arange(m + 1)
+        ends = np.minimum(column[:-1], np.maximum(nb[some] - 1, 0)[:, None])
+        first = (np.cumsum(nb) - nb)[some]
+        qx, qy = (v[np.minimum(first[:, None] + ends, len(v) - 1)] if len(v) else np.zeros(ends.shape) for v in (bx, by))
+        old = np.tile(column if kind == "edr" else np.zeros(m + 1, np.int64), (len(some), 1))
+        start = (np.cumsum(na) - na)[some]
+        for i in range(int(na[some].max(initial=0))):
+            live = np.flatnonzero(na[some] > i)
+            px, py = ax[start[live] + i][:, None], ay[start[live] + i][:, None]
+            near = np.sqrt((px - qx[live]) ** 2 + (py - qy[live]) ** 2) <= epsilon
+            was, row = old[live], np.empty((len(live), m + 1), np.int64)
+            if kind == "lcss":
+                row[:, 0] = 0
+                row[:, 1:] = np.maximum(was[:, 1:], was[:, :-1] + near)
+                old[live] = np.maximum.accumulate(row, axis=1)
+            else:
+                row[:, 0] = i + 1
+                row[:, 1:] = np.minimum(was[:, 1:] + 1, was[:, :-1] + ~near)
+                old[live] = np.minimum.accumulate(row - column, axis=1) + column
+        out[some] = old[np.arange(len(some)), nb[some]]
+    return out
+
+
+def _points(paths: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The number of points of each path, and their coordinates one after another."""
+    flat = paths.flatten()
+    x, y = (pc.struct_field(flat, n).cast(pa.float64()).to_numpy(zero_copy_only=False) for n in ("x", "y"))
+    return pc.list_value_length(paths).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), x, y
+
+
+def _distance(kind: str, epsilon: float) -> Callable[[Column, Column], Column]:
+    @F.arrow_udf("double")
+    def distance(a: pa.Array, b: pa.Array) -> pa.Array:
+        n, m = (pc.list_value_length(v).fill_null(0).to_numpy(zero_copy_only=False) for v in (a, b))
+        last, real = _tables(a, b, epsilon, kind), (n > 0) & (m > 0)
+        size = np.where(real, np.minimum(n, m) if kind == "lcss" else np.maximum(n, m), 1)
+        return pa.array(1 - last / size if kind == "lcss" else last / size, mask=~real)
+
+    return distance
 
 
 def lcss_distance(a: Column, b: Column, epsilon: float) -> Column:
-    """1 - longest common subsequence / shorter length; points within epsilon match. Null if either is empty."""
-    zero = F.transform(F.sequence(F.lit(0), F.size(b)), lambda i: F.lit(0))
-    cell = lambda p, q, d, u, left: F.when(_near(p, q, epsilon), d + 1).otherwise(F.greatest(u, left))
-    length = _table(a, b, zero, lambda old: F.lit(0), cell)
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), 1 - length / F.least(F.size(a), F.size(b)))
+    """1 - longest common subsequence / shorter length; points within epsilon match. Null if either is null or empty."""
+    return _distance("lcss", epsilon)(a, b)
 
 
 def edr_distance(a: Column, b: Column, epsilon: float) -> Column:
-    """Edit distance on real sequences / longer length; points within epsilon are equal. Null if either is empty."""
-    cell = lambda p, q, d, u, left: F.least(d + F.when(_near(p, q, epsilon), 0).otherwise(1), u + 1, left + 1)
-    edits = _table(a, b, F.sequence(F.lit(0), F.size(b)), lambda old: old[0] + 1, cell)
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), edits / F.greatest(F.size(a), F.size(b)))
+    """Edit distance on real sequences / longer length; points within epsilon are equal. Null if either is null or empty."""
+    return _distance("edr", epsilon)(a, b)

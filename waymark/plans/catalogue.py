@@ -347,20 +347,19 @@ def trace_build(spark: SparkSession, sf: str) -> DataFrame:
     return t.select("vehicle_id", F.size("t").cast("long").alias("n"), text.alias("trace"))
 
 
-def _paths(spark: SparkSession, sf: str, most: int | None = None) -> DataFrame:
-    """Each vehicle's nodes by time; the first ``most`` of them, where the query's SQL takes these."""
+def _paths(spark: SparkSession, sf: str) -> DataFrame:
+    """Each vehicle's nodes by time."""
     ordered = F.sort_array(F.collect_list(F.struct("time", "record_id", "camera_id")))
-    ordered = ordered if most is None else F.slice(ordered, 1, most)
     return records(spark, sf).groupBy("vehicle_id").agg(F.transform(ordered, lambda s: s["camera_id"]).alias("path"))
 
 
 SQL_STEPS = f"{SQL_RECORDS}, num AS (SELECT vehicle_id, camera_id, row_number() OVER (PARTITION BY vehicle_id ORDER BY time, record_id) AS k FROM rec)"
 
 
-@query(f"""WITH {SQL_STEPS}, {SQL_TRADE}, e AS (SELECT a.vehicle_id, a.k, a.camera_id AS u, b.camera_id AS v, EXISTS (SELECT 1 FROM trade WHERE trade.u = a.camera_id AND trade.v = b.camera_id) AS ok FROM num a JOIN num b ON a.vehicle_id = b.vehicle_id AND b.k = a.k + 1 WHERE a.k <= 11)
+@query(f"""WITH {SQL_STEPS}, {SQL_TRADE}, e AS (SELECT a.vehicle_id, a.k, a.camera_id AS u, b.camera_id AS v, EXISTS (SELECT 1 FROM trade WHERE trade.u = a.camera_id AND trade.v = b.camera_id) AS ok FROM num a JOIN num b ON a.vehicle_id = b.vehicle_id AND b.k = a.k + 1)
  SELECT vehicle_id, count(*) AS edges, count(*) FILTER (NOT ok) AS missing, bool_and(ok) AS valid FROM e GROUP BY 1""")
 def path_validity(spark: SparkSession, sf: str) -> DataFrame:
-    p = _paths(spark, sf, 12).withColumn("edges", trajectories.path_edges(F.col("path"))).where("size(edges) > 0")
+    p = _paths(spark, sf).withColumn("edges", trajectories.path_edges(F.col("path"))).where("size(edges) > 0")
     # a path of edges gives its nodes back
     p = p.withColumn("back", trajectories.node_path(F.col("edges"))).where(F.col("back") == F.col("path"))
     known = trade(spark, sf).select("u", "v", F.lit(True).alias("known"))
@@ -369,8 +368,8 @@ def path_validity(spark: SparkSession, sf: str) -> DataFrame:
     return e.groupBy("vehicle_id").agg(F.count("*").alias("edges"), missing.alias("missing"), (missing == 0).alias("valid"))
 
 
-@query(f"""WITH RECURSIVE {SQL_STEPS}, {SQL_NATIONS}, pts AS (SELECT vehicle_id, list((x, y) ORDER BY k) AS p FROM num JOIN node ON camera_id = node_id WHERE k <= 10 GROUP BY 1),
- pr AS (SELECT a.vehicle_id AS id, a.p AS a, b.p AS b FROM pts a JOIN pts b ON b.vehicle_id = a.vehicle_id + 1 WHERE a.vehicle_id % 3 = 0 AND len(a.p) > 1 AND len(b.p) > 1),
+@query(f"""WITH RECURSIVE {SQL_STEPS}, {SQL_NATIONS}, pts AS (SELECT vehicle_id, list((x, y) ORDER BY k) AS p FROM num JOIN node ON camera_id = node_id GROUP BY 1),
+ pr AS (SELECT a.vehicle_id AS id, a.p AS a, b.p AS b FROM pts a JOIN pts b ON b.vehicle_id = a.vehicle_id + 1 WHERE len(a.p) > 1 AND len(b.p) > 1),
  dp AS (SELECT id, a, b, 0 AS i, list_transform(range(0, len(b) + 1), lambda j: 0) AS r, list_transform(range(0, len(b) + 1), lambda j: j::INT) AS d FROM pr UNION ALL
   SELECT id, a, b, i + 1,
    list_reduce(range(1, len(b) + 1), lambda acc, j: list_append(acc, CASE WHEN sqrt(pow(a[i + 1][1] - b[j][1], 2) + pow(a[i + 1][2] - b[j][2], 2)) <= 1.0 THEN r[j] + 1 ELSE greatest(r[j + 1], acc[-1]) END), [0]),
@@ -378,18 +377,18 @@ def path_validity(spark: SparkSession, sf: str) -> DataFrame:
   FROM dp WHERE i < len(a))
  SELECT id, round(1 - r[-1] / least(len(a), len(b)), 6) AS lcss, round(d[-1] / greatest(len(a), len(b)), 6) AS edr FROM dp WHERE i = len(a)""")
 def lcss_edr(spark: SparkSession, sf: str) -> DataFrame:
-    points = evaluation.points_along(_paths(spark, sf, 10), nations(spark, sf), "vehicle_id", "path")
+    points = evaluation.points_along(_paths(spark, sf), nations(spark, sf), "vehicle_id", "path")
     other = points.select((F.col("vehicle_id") - 1).alias("vehicle_id"), F.col("points").alias("true_points"))
-    pairs = points.where("vehicle_id % 3 = 0").join(other, "vehicle_id")
+    pairs = points.join(other, "vehicle_id")
     d = evaluation.path_distances(pairs, "points", "true_points", 1.0)
     return d.select(F.col("vehicle_id").alias("id"), r6("lcss").alias("lcss"), r6("edr").alias("edr"))
 
 
-@query(f"""WITH {SQL_RECORDS}, num AS (SELECT vehicle_id, string_agg(event_type[1:1], '' ORDER BY time, record_id) FILTER (k <= 15) AS s FROM (SELECT *, row_number() OVER (PARTITION BY vehicle_id ORDER BY time, record_id) AS k FROM rec) GROUP BY 1)
+@query(f"""WITH {SQL_RECORDS}, num AS (SELECT vehicle_id, string_agg(event_type[1:1], '' ORDER BY time, record_id) AS s FROM rec GROUP BY 1)
  SELECT a.vehicle_id AS id, round(levenshtein(a.s, b.s) / greatest(length(a.s), length(b.s)), 6) AS edr FROM num a JOIN num b ON b.vehicle_id = a.vehicle_id + 1""")
 def edr_letters(spark: SparkSession, sf: str) -> DataFrame:
     code = F.ascii(F.substring("event_type", 1, 1)).cast("double")
-    ordered = F.slice(F.sort_array(F.collect_list(F.struct("time", "record_id", code.alias("c")))), 1, 15)
+    ordered = F.sort_array(F.collect_list(F.struct("time", "record_id", code.alias("c"))))
     p = records(spark, sf).groupBy("vehicle_id").agg(F.transform(ordered, lambda s: F.struct(s["c"].alias("x"), F.lit(0.0).alias("y"))).alias("p"))
     both = p.join(p.select((F.col("vehicle_id") - 1).alias("vehicle_id"), F.col("p").alias("q")), "vehicle_id")
     return both.select(F.col("vehicle_id").alias("id"), r6(trajectories.edr_distance(F.col("p"), F.col("q"), 0.0)).alias("edr"))
@@ -435,10 +434,10 @@ def aux_expansion(spark: SparkSession, sf: str) -> DataFrame:
     return graph.expand_auxiliary(e, graph.auxiliary_regions(graph.border_edges(e, n)), cams, 16, 1, 5)
 
 
-@query(f"""WITH {SQL_STEPS}, {SQL_AUX}, e AS (SELECT a.vehicle_id, a.camera_id AS u, b.camera_id AS v FROM num a JOIN num b ON a.vehicle_id = b.vehicle_id AND b.k = a.k + 1 WHERE a.k <= 14)
+@query(f"""WITH {SQL_STEPS}, {SQL_AUX}, e AS (SELECT a.vehicle_id, a.camera_id AS u, b.camera_id AS v FROM num a JOIN num b ON a.vehicle_id = b.vehicle_id AND b.k = a.k + 1)
  SELECT DISTINCT vehicle_id AS cluster_id, region, direction FROM e JOIN bor USING (u, v)""")
 def crossing_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    paths = _paths(spark, sf, 15).select(F.col("vehicle_id").alias("cluster_id"), F.col("path").alias("node_path"))
+    paths = _paths(spark, sf).select(F.col("vehicle_id").alias("cluster_id"), F.col("path").alias("node_path"))
     return merging.crossing(paths, graph.border_edges(ring(spark, sf), nations(spark, sf)))
 
 
