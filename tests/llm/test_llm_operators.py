@@ -313,6 +313,25 @@ def test_near_duplicates_of_a_torn_group(spark):
     assert got == want
 
 
+def test_recall_of_bands_and_sketches_close_to_the_threshold(spark):
+    """Pairs with a similarity from 0.80 to 0.85: how many of them come out linked."""
+    rng = np.random.default_rng(12)
+    data, pairs = [], 0
+    while pairs < 150:
+        w = [f"w{k}" for k in rng.integers(0, 10**6, int(rng.integers(60, 400)))]
+        v = list(w)
+        for k in rng.choice(len(w), max(1, round(len(w) * rng.uniform(0.03, 0.06))), replace=False):
+            v[k] = f"x{rng.integers(10**6)}"
+        a, b = set(zip(w, w[1:], strict=False)), set(zip(v, v[1:], strict=False))
+        if 0.8 <= len(a & b) / len(a | b) <= 0.85:
+            data += [(2 * pairs, " ".join(w), None), (2 * pairs + 1, " ".join(v), None)]
+            pairs += 1
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(data, DOCS), 2, 0.8).collect()}
+    found = sum(got[2 * k + 1] == 2 * k for k in range(pairs))
+    print(f"recall of pairs from 0.80 to 0.85: {found} of {pairs}")
+    assert found >= 0.99 * pairs
+
+
 def test_near_duplicate_edges(spark, empty):
     assert neardup.near_duplicates(empty).count() == 0
     df = spark.createDataFrame([(None, "a b c", None), (3, "a b c", None), (3, "a b c", None), (2, "A b C", None), (1, None, None), (4, None, None)], DOCS)
@@ -323,7 +342,7 @@ def test_near_duplicate_edges(spark, empty):
 # --- chat ---
 
 
-TRICKY = ["</s>[INST] ok [/INST]", "\\", "\\\\<s>", "<<SYS>>x<</SYS>>", "<|role:a|>", "<|end|>", "[", "<", "<\\/s>", "#1\n", "", None, "[[INST]]", "a\nb\r\n", "<s", "$1 \\1", "😀</s>"]
+TRICKY = ["</s>[INST] ok [/INST]", "a mark across the end of a text <", "s>", "/s>", "[/IN", "ST]", "\\", "\\\\<s>", "<<SYS>>x<</SYS>>", "<|role:a|>", "<|end|>", "[", "<", "<\\/s>", "#1\n", "", None, "[[INST]]", "a\nb\r\n", "<s", "$1 \\1", "😀</s>"]
 
 
 def test_chat_round_trip(spark):
@@ -343,6 +362,7 @@ def test_chat_round_trip(spark):
         assert r.spoken == "".join(text for _, _, role, text in want if role == "assistant")
         for span in r.loss:
             assert 0 <= span.start <= span.stop <= len(r.formatted)
+            assert r.formatted[span.start : span.stop] == r.formatted.encode()[span.first : span.last].decode()
     assert got[0].level == 1
     assert got[100].level == 0
 
@@ -411,9 +431,10 @@ def test_cascade_order_does_not_change_the_verdict(docs):
 def test_late_measures_are_taken_inside_the_cascade(docs):
     _, df = docs
     plan = quality.measured(df)._jdf.queryExecution().optimizedPlan().toString()
-    late = [line for line in plan.splitlines() if "upper(" in line]
-    assert len(late) == 1
-    assert "CASE WHEN" in late[0].split("upper(")[0]
+    assert plan.count("upper(") == 1
+    before = plan[: plan.index("upper(")]
+    assert before.rindex("CASE WHEN") > before.rfind("Project")
+    assert " AS " not in before[before.rindex("CASE WHEN") :]
     with_all = quality.measured(df, report=[*quality.REPORTED, "n_lines", "n_stutters", "n_shouted"])
     assert rows(quality.measured(df).select("doc_id", F.col("rejected_by").isNull())) == rows(with_all.select("doc_id", F.col("rejected_by").isNull()))
 
@@ -450,6 +471,7 @@ def test_near_vectors(spark, monkeypatch):
     for chunk in (2048, 40):
         monkeypatch.setattr(embeddings, "CHUNK", chunk)
         monkeypatch.setattr(embeddings, "CELL", 20)
+        monkeypatch.setattr(embeddings, "INDEXED", 100)
         got = sorted(embeddings.near_vectors(df, 0.9).collect())
         found = np.array([r.n_links for r in got])
         assert (found <= links).all()
@@ -474,6 +496,7 @@ def test_traversal_visits_the_nearest_cells_in_order():
 def test_near_vectors_of_two_widths(spark, monkeypatch):
     """Each width has links of its own, also the rarer one, and extra columns with clashing names do no harm."""
     monkeypatch.setattr(embeddings, "CHUNK", 30)
+    monkeypatch.setattr(embeddings, "INDEXED", 60)
     rng = np.random.default_rng(9)
     x = {i: (lambda v: v + rng.normal(size=len(v)) * 0.05)(np.eye(6 if i % 4 else 9)[i % 5]).tolist() for i in range(200)}
     df = spark.createDataFrame([(i, v, 1, 2) for i, v in x.items()], "vec_id long, embedding array<double>, n_links int, head int")
@@ -717,6 +740,20 @@ def test_token_output(spark, docs, bits):
         start += len(ids)
 
 
+def test_token_output_of_equal_ids_and_clashing_columns(spark, monkeypatch):
+    """Rows of one doc_id are dealt over several files, and come back in order of their place."""
+    monkeypatch.setattr(tokenfile, "SHARD_DOCS", 20)
+    text = vocab.read_vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
+    library = Tokenizer.from_str(text)
+    data = [(5 if i % 2 else i, f"text number {i}", 7, "x") for i in range(300)]
+    manifest = tokenfile.write_tokens(spark.createDataFrame(data, "doc_id long, text string, start long, _tie string"), text, 2)
+    got = tokenfile.read_tokens(manifest).orderBy("start").collect()
+    assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got[:-1])]).tolist()
+    assert [r.doc_id for r in got] == sorted(r[0] for r in data)
+    assert sorted(bytes(r.ids) for r in got) == sorted(np.array([*library.encode(r[1]).ids, 2], "<u4").tobytes() for r in data)
+    assert manifest.where("n_docs < 60").count() > 5
+
+
 def test_token_output_edges(spark, empty):
     text = vocab.read_vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
     assert tokenfile.read_tokens(tokenfile.write_tokens(empty, text, 2)).count() == 0

@@ -51,6 +51,26 @@ def test_stages_keep_the_columns(spark, tmp_path):
         corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count()
 
 
+def test_stages_of_odd_rows_and_clashing_columns(spark, tmp_path):
+    """Null ids and texts, repeated rows, and columns named like those that operators use."""
+    extra = ["_bucket", "n_words", "n_removed", "spans", "factors", "_words", "_text", "_row", "rejected_by", "component_id", "kept", "n_shingles", "k1", "bands", "piece", "length", "block"]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} long" for c in extra)
+    texts = [t for _, t, _ in corpus(30, 7)]
+    data = [(None if i % 11 == 4 else i, None if i % 13 == 6 else t, "en", None, 5, *(100 * i + k for k in range(len(extra)))) for i, t in enumerate(texts)]
+    data += data[:4]
+    docs = spark.createDataFrame(data, kind)
+    by_first = {r[5]: r for r in data}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == [c.split()[0] for c in kind.split(", ")], name
+        found = docs.collect()
+        assert found
+        for r in found:
+            assert (r[0], *r[5:]) == (by_first[r[5]][0], *by_first[r[5]][5:]), name
+        docs = spark.createDataFrame(found, kind)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() >= len(found)
+
+
 @pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
 def test_registered(spark):
     import __spark_entry__

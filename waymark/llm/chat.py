@@ -77,17 +77,22 @@ def format_conversations(rows: DataFrame) -> DataFrame:
     Turns stand in order of (turn, role, text), nulls first; a null text is empty;
     a null role has marks of its own; rows without a conv_id are one conversation.
     loss: where the assistant's texts stand in ``formatted``, as characters from
-    start to before stop, each once and in order. A conversation must fit a row.
+    start to before stop, and as bytes of its UTF-8 from first to before last, each
+    once and in order. A conversation must fit a row; repeated rows are turns like
+    others; other columns are not read; no rows give none.
     Raises an error should level 1 not come back as it was.
     """
     text = F.coalesce("text", F.lit(""))
     turn = rows.select("conv_id", "turn", "role", text.alias("text"))
     raised = turn.select("*", escape(F.col("text")).alias("_safe"), _open(F.col("role")).alias("_open"), _close(F.col("role")).alias("_close"))
-    frame = F.char_length("_open") + F.char_length("_close")
     before = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
-    start = lambda t: (F.coalesce(F.sum(frame + F.char_length(t)).over(before), F.lit(0)) + 3 + F.char_length("_open")).cast("long")
-    placed = raised.select("*", start("text").alias("_at0"), start("_safe").alias("_at1"))
-    together = placed.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "_at0", "_at1", "_safe", "_open", "_close"))).alias("t"))
+
+    def start(size, t: str) -> Column:
+        return (F.coalesce(F.sum(size("_open") + size(t) + size("_close")).over(before), F.lit(0)) + 3 + size("_open")).cast("long")
+
+    sizes = {"c": F.char_length, "b": F.octet_length}
+    placed = raised.select("*", *(start(size, t).alias(f"_{k}{i}") for k, size in sizes.items() for i, t in enumerate(("text", "_safe"))))
+    together = placed.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "_c0", "_c1", "_b0", "_b1", "_safe", "_open", "_close"))).alias("t"))
 
     def rendered(level: int, field: str) -> Column:
         return F.concat(F.lit(f"#{level}\n"), F.array_join(F.transform("t", lambda x: F.concat(x["_open"], x[field], x["_close"])), ""))
@@ -99,9 +104,10 @@ def format_conversations(rows: DataFrame) -> DataFrame:
     same = (F.col("level") == 0) | parse(F.col("formatted")).eqNullSafe(F.col("_source"))
     out = out.withColumn("formatted", F.when(same, F.col("formatted")).otherwise(F.raise_error(F.lit("a conversation did not come back as it was")).cast("string")))
     spoken = F.filter("t", lambda x: x["role"].eqNullSafe("assistant"))
-    at = lambda x: F.when(F.col("level") == 0, x["_at0"]).otherwise(x["_at1"])
-    long = lambda x: F.when(F.col("level") == 0, F.char_length(x["text"])).otherwise(F.char_length(x["_safe"]))
-    loss = F.transform(spoken, lambda x: F.struct(at(x).alias("start"), (at(x) + long(x)).alias("stop")))
+    held = lambda x: F.when(F.col("level") == 0, x["text"]).otherwise(x["_safe"])
+    at = lambda x, k: F.when(F.col("level") == 0, x[f"_{k}0"]).otherwise(x[f"_{k}1"])
+    end = lambda x, k: at(x, k) + sizes[k](held(x))
+    loss = F.transform(spoken, lambda x: F.struct(at(x, "c").alias("start"), end(x, "c").alias("stop"), at(x, "b").alias("first"), end(x, "b").alias("last")))
     return out.select("conv_id", "level", "formatted", loss.alias("loss"))
 
 
@@ -111,7 +117,7 @@ def turns(formatted: DataFrame) -> DataFrame:
 
 
 def loss_text(formatted: Column, loss: Column) -> Column:
-    """All text under the loss mask, unescaped, nothing between."""
-    raw = F.transform(loss, lambda s: F.substring(formatted, (s["start"] + 1).cast("int"), (s["stop"] - s["start"]).cast("int")))
-    plain = F.transform(raw, lambda x: F.when(F.substring(formatted, 2, 1) == "1", unescape(x)).otherwise(x))
+    """All text under the loss mask, unescaped, nothing between. Spans are cut by bytes, so none is searched from the start."""
+    cut = lambda body: F.transform(loss, lambda s: F.substring(body, (s["first"] + 1).cast("int"), (s["last"] - s["first"]).cast("int")).cast("string"))
+    plain = F.transform(let(formatted.cast("binary"), cut), lambda x: F.when(F.substring(formatted, 2, 1) == "1", unescape(x)).otherwise(x))
     return F.array_join(plain, "")

@@ -14,8 +14,8 @@ every vector is a query. Vectors that are equal are one entry with a weight. Bot
 codebooks grow with the number of vectors, so that a cell holds about CELL of them,
 and a query is sent to the cells it visits and to no others. Cells with many members
 are cut into chunks, and so are their queries, so no group gets more than CHUNK of
-either. Vectors of different widths have indexes of their own; one with CHUNK
-vectors or fewer is a single cell. Vectors travel as they came, at single precision
+either. Vectors of different widths have indexes of their own; those of a width with
+INDEXED vectors or fewer are a single cell. Vectors travel as they came, at single precision
 if they came so; lengths and cosines are computed in double.
 """
 
@@ -38,6 +38,7 @@ from waymark.storage import Written
 
 SAMPLE = 8192
 CHUNK = 8192
+INDEXED = 512
 RECALL = 0.999
 #: Codewords of a half, at most: with it the driver's table of crowded cells has a bound, too.
 MOST_CODEWORDS = 1024
@@ -291,10 +292,10 @@ def _stars(pairs: np.ndarray, nodes: int) -> np.ndarray:
 
 
 def fit_indexes(classes: DataFrame, kind: type, cosine: float, recall: float) -> dict[int, Index]:
-    """An index for each width that more than CHUNK distinct vectors have, so there are few."""
+    """An index for each width that more than INDEXED distinct vectors have; a job each, and a table has few."""
     width = (F.octet_length("unit") / np.dtype(kind).itemsize).cast("int")
     out = {}
-    for w, n in classes.groupBy(width.alias("w")).count().where(F.col("count") > CHUNK).orderBy("w").collect():
+    for w, n in classes.groupBy(width.alias("w")).count().where(F.col("count") > INDEXED).orderBy("w").collect():
         sample = _stack(classes.where(width == w).orderBy(F.xxhash64("unit")).limit(SAMPLE).select("unit").toArrow().column(0), kind)
         if w > 1:
             out[w] = Index.fit(sample, int(min(MOST_CODEWORDS, len(sample) // 8, max(2, round((n / CELL) ** 0.5)))), cosine, recall)

@@ -54,6 +54,8 @@ SHARES = (1 / 32, 1 / 2)
 LEAST_WEIGHT = 0.5
 DEPTH = 6
 P_MIN = 4e-6
+#: Words whose spelling a worker remembers, at 16 bytes each.
+REMEMBERED = 1 << 21
 BLANK = 0x20
 SYMBOLS = 256
 _BITS = 9
@@ -98,8 +100,12 @@ class _Bucket:
         self.distinct: list[np.ndarray] = []
         self.which: list[np.ndarray] = []
         self.count: list[np.ndarray] = []
-        self._words = w
         self._ask(np.ones(len(self.hash), bool))
+        # the bytes of the distinct words; the empty one has none
+        self.data, word = w.data, np.full(len(self.distinct[0]), -1)
+        word[self.which[0][np.arange(len(w.hash)) + 1 + w.row]] = np.arange(len(w.hash))
+        self.begin = np.where(word >= 0, w.start[word] if len(w.start) else 0, 0)
+        self.size = np.where(word >= 0, w.end[word] - w.start[word] if len(w.start) else 0, 0)
 
     def _ask(self, places: np.ndarray) -> None:
         n = len(self.distinct)
@@ -141,8 +147,10 @@ class _Bucket:
     def contexts(self, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The places where a context of ``depth`` is examined, the distinct contexts, and the number of each place's among them."""
         at = np.flatnonzero(self.examined(depth))
-        number, own = np.unique(self.which[depth - 1][at - 1], return_inverse=True)
-        return at, self.distinct[depth - 1][number], own
+        which, distinct = self.which[depth - 1][at - 1], self.distinct[depth - 1]
+        there = np.zeros(len(distinct), bool)
+        there[which] = True
+        return at, distinct[there], (np.cumsum(there) - 1)[which]
 
     def torn(self, depth: int, at: np.ndarray, own: np.ndarray, contexts: int) -> np.ndarray:
         """Contexts with two uses in training, one of them here, whose next words differ: leaving either out tells against them."""
@@ -213,12 +221,8 @@ def _send(round: int, blocks: int, tokens: int):
                 parts.setdefault(k, {})[name] = make(x, y)
 
         if round == 1:
-            w, h, uses = b._words, b.distinct[0], b.uses(1)
-            _, first = np.unique(w.hash, return_index=True)
-            real = h != _VOID[0]
-            s, size = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
-            s[real], size[real] = w.start[first], w.end[first] - w.start[first]
-            data, at = w.data[ranges(s, size)], np.r_[0, np.cumsum(size)]
+            h, uses, size = b.distinct[0], b.uses(1), b.size
+            data, at = b.data[ranges(b.begin, size)], np.r_[0, np.cumsum(size)]
             put(h, "sizes", lambda x, y: pack(size[x:y]))
             put(h, "words", lambda x, y: data[at[x] : at[y]].tobytes())
             put(h, "uses", lambda x, y: pack(uses[x:y]))
@@ -405,6 +409,21 @@ class Tree:
             state[todo] = self.parent[s]
         return out
 
+    def remembered(self, word: np.ndarray, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """log10 probability of words with ascending hashes. Those of a worker's last buckets, REMEMBERED at most, are kept, as most words come again."""
+        names, values = getattr(self, "_known", (np.zeros(0, np.uint64), np.zeros(0)))
+        at = np.minimum(np.searchsorted(names, word), max(len(names) - 1, 0))
+        known = names[at] == word if len(names) else np.zeros(len(word), bool)
+        out = np.empty(len(word))
+        out[known] = values[at[known]]
+        new = np.flatnonzero(~known)
+        out[new] = self.words(data[ranges(begin[new], size[new])], size[new])
+        if len(names) + len(new) > REMEMBERED:
+            names, values, new = names[:0], values[:0], np.arange(len(word))
+        spot = np.searchsorted(names, word[new])
+        self._known = (np.insert(names, spot, word[new]), np.insert(values, spot, out[new]))
+        return out
+
     def words(self, data: np.ndarray, size: np.ndarray) -> np.ndarray:
         """log10 probability of each word. Each (context, symbol) is looked up once, however many words have it."""
         if not len(size):
@@ -436,15 +455,13 @@ def _score(model, tokens: int, known: int):
         tree: Tree = model.value
         b, degrees = _recall(table, answers, WORDS + 1)
         # the root: a word's share of the corpus, smoothed by its spelling's probability, by the weight of the distinct tokens
-        w, which = b._words, b.which[0]
+        which = b.which[0]
         count = np.zeros(len(b.distinct[0]), np.int64)
         count[which] = b.count[0]
         base = np.log10((count + 1) / (tokens + known + 1))
-        _, first = np.unique(w.hash, return_index=True)
-        real, k = b.distinct[0] != _VOID[0], max(known, 1)
-        size = w.end[first] - w.start[first]
+        real, k = b.size > 0, max(known, 1)
         spelt = np.full(len(count), -np.log10(k + 1))
-        spelt[real] = tree.words(w.data[ranges(w.start[first], size)], size) + np.log10(k / (k + 1))
+        spelt[real] = tree.remembered(b.distinct[0][real], b.data, b.begin[real], b.size[real]) + np.log10(k / (k + 1))
         root = np.log10(k) + spelt
         seen = count > 0
         root[seen] = np.log10(count[seen] + k * 10.0 ** spelt[seen])

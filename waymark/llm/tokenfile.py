@@ -37,6 +37,9 @@ from waymark.storage import materialize, scratch_path
 MAGIC = b"WMPLANE1"
 BLOCK = 1 << 16
 LEVEL = 3
+#: Bytes of text, and documents, of a file, about; the writer's document table is in memory.
+SHARD_BYTES, SHARD_DOCS = 16 << 20, 500_000
+LEAST_SHARDS = 24
 _FOOTER = struct.Struct("<6Q8s")
 
 
@@ -200,8 +203,9 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int, folder: str | No
     smaller form. Each task writes one file of its own name, and the manifest
     names the files of the attempts that counted: a lost executor's half-written
     files are never read. start: ids in all shards before. A null text counts as
-    empty (its end id alone); null doc_ids come first; rows with equal doc_ids
-    stay in order of their texts; no rows make an empty manifest.
+    empty (its end id alone); null doc_ids come first; rows with equal doc_ids stand
+    in order of a hash of their texts, and may fall into several files; long texts are
+    encoded whole; other columns are not read; no rows make an empty manifest.
     """
     spark = docs.sparkSession
     folder = folder or scratch_path(spark, "tokens")
@@ -210,7 +214,10 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int, folder: str | No
     system, at = fs.FileSystem.from_uri(folder)
     system.create_dir(at, recursive=True)
     shared = spark.sparkContext.broadcast(vocabulary)
-    dealt = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("_tie"))
+    size, rows = docs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    files = max(LEAST_SHARDS, -(-(size or 0) // SHARD_BYTES), -(-rows // SHARD_DOCS))
+    dealt = texts.repartitionByRange(files, "doc_id", "_tie").sortWithinPartitions("doc_id", "_tie", "text").drop("_tie")
     shards = materialize(dealt.mapInArrow(_write(folder, shared, end_id, bits), "shard long, path string, n_docs long, n_ids long"), "manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return shards.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
