@@ -1,5 +1,6 @@
 import base64
 import json
+import math
 
 import numpy as np
 import pytest
@@ -162,6 +163,161 @@ def test_matching_and_merging(spark, regions):
     assert untouched.count() == 4
 
 
+def test_spanning_forest():
+    rng = np.random.default_rng(1)
+    for _ in range(30):
+        a, b = rng.integers(0, 30, 40), rng.integers(0, 30, 40)
+        a, b = a[a != b], b[a != b]
+        some = knn._forest(a, b)
+
+        def parts(x, y):
+            of = {i: i for i in [*a, *b]}
+
+            def root(i):
+                while of[i] != i:
+                    i = of[i]
+                return i
+
+            for u, v in zip(x, y, strict=True):
+                of[root(u)] = root(v)
+            return {frozenset(i for i in of if root(i) == r) for r in map(root, of)}
+
+        assert parts(a[some], b[some]) == parts(a, b)
+        assert len(some) == sum(len(p) - 1 for p in parts(a, b))
+
+
+def test_lists_of_many_equal_vectors(spark):
+    df = spark.createDataFrame([(i, [1.0, 0.0] if i < 40 else [0.0, 1.0], i % 2) for i in range(60)], "id long, feature array<double>, part int")
+    got = {r["id"]: r["neighbors"] for r in knn.knn_lists(df, df, 5).collect()}
+    assert got == {i: ([0, 1, 2, 3, 4] if i < 40 else [40, 41, 42, 43, 44]) for i in range(60)}
+    by = {r["id"]: r["neighbors"] for r in knn.knn_lists(df, df, 3, by="part").collect()}
+    assert by == {i: [(0 if i < 40 else 40) + i % 2 + 2 * k for k in range(3)] for i in range(60)}
+
+
+def test_rough_search_restricts_the_pairs(spark, regions):
+    """The right cluster is matched where its centroid is among the nearest, and not where another's is nearer."""
+    nodes, edges = regions
+    borders = graph.border_edges(edges, nodes)
+    all_nodes = nodes.select(F.col("region").cast("string").alias("region"), "node_id").union(graph.auxiliary_regions(borders))
+    schema = "region string, cluster_id long, record_id string, node_id long"
+    aux = spark.createDataFrame([("0-1", 100, "r2", 2), ("0-1", 100, "r3", 3), ("0-1", 100, "r4", 4)], schema)
+    main = spark.createDataFrame([("0", 1, "r2", 2), ("0", 1, "r3", 3), ("0", 9, "q", 3), ("1", 2, "r4", 4)], schema)
+    paths = spark.createDataFrame([(100, [2, 3, 4])], "cluster_id long, node_path array<long>")
+    kind = "cluster_id long, centroid_vehicle array<double>, centroid_plate array<double>"
+    near = spark.createDataFrame([(100, [1.0, 0.0], None), (1, [1.0, 0.1], None), (9, [0.0, 1.0], None), (2, [1.0, 1.0], None)], kind)
+    far = spark.createDataFrame([(100, [1.0, 0.0], None), (1, [0.0, 1.0], None), (9, [1.0, 0.1], None), (2, [1.0, 1.0], None)], kind)
+    plate = spark.createDataFrame([(100, [1.0, 0.0], [1.0, 0.0]), (1, [0.0, 1.0], [1.0, 0.0]), (9, [1.0, 0.1], None), (2, None, None)], kind)
+    found = lambda c, k: rows(merging.match_across(aux, main, paths, borders, all_nodes, c, k))
+    assert found(near, 1) == [(100, 1), (100, 2)]
+    assert found(far, 1) == [(100, 2)]
+    assert found(far, 2) == [(100, 1), (100, 2)]
+    assert found(plate, 1) == [(100, 1)]
+
+
+def test_trajectory_evaluation(spark):
+    nodes = spark.createDataFrame([(i, float(i), 0.0) for i in range(6)], "node_id long, x double, y double")
+    edges = spark.createDataFrame([(i, j, 1.0) for i in range(6) for j in range(6) if abs(i - j) == 1], "u long, v long, length double")
+    kind = "cluster_id long, record_id string, node_id long, time double"
+    # cluster 10 is vehicle 1 without its last record; vehicle 2 is in no cluster
+    truth = spark.createDataFrame([("a", 1, 0, 0.0), ("b", 1, 2, 2.0), ("c", 1, 3, 3.0), ("d", 2, 5, 0.0), ("e", None, 4, 9.0)], "record_id string, vehicle_id long, node_id long, time double")
+    members = spark.createDataFrame([(10, "a", 0, 0.0), (10, "b", 2, 2.0)], kind)
+    paths = spark.createDataFrame([(10, [0, 1, 2])], "cluster_id long, node_path array<long>")
+    got = evaluation.trajectories_against_records(members, paths, truth, nodes, edges, 0.8, 0.5).first()
+    assert (got["lcss"], got["edr"]) == (0.0, 0.25)
+    near = (2 + math.exp(-1)) / 3
+    assert got["stlc"] == pytest.approx(1 - (0.8 * (1 + near) + 0.2 * (1 + near)) / 2)
+    true_members = spark.createDataFrame([(7, "a", 0, 0.0), (7, "b", 2, 2.0), (7, "c", 3, 3.0)], kind)
+    true_paths = spark.createDataFrame([(7, [0, 1, 2, 3])], "cluster_id long, node_path array<long>")
+    vehicles = spark.createDataFrame([(1,), (2,), (3,)], "vehicle_id long")
+    assert evaluation.trajectories_against_clusters(members, paths, true_members, true_paths, vehicles, truth, nodes, 0.8, 0.5).first() == got
+    none = evaluation.trajectories_against_clusters(members.limit(0), paths, true_members, true_paths, vehicles, truth, nodes).first()
+    assert tuple(none) == (None, None, None)
+
+
+def test_match_points(spark):
+    """A street with a detour: points off the network pull the path onto the detour, noise does not."""
+    places = {0: (0, 0), 1: (100, 0), 2: (200, 0), 3: (100, 80), 4: (300, 0), 9: (900, 900)}
+    ways = [(0, 1), (1, 2), (2, 4), (0, 3), (3, 2)]
+    nodes = spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in places.items()], "node_id long, x double, y double")
+    edges = spark.createDataFrame([(u, v, math.dist(places[u], places[v])) for u, v in ways], "u long, v long, length double")
+    straight, detour = [(2, 5), (60, -8), (140, 3), (290, 6)], [(2, 5), (50, 42), (98, 75), (150, 44), (290, 6)]
+    data = [(1, straight), (2, detour), (3, []), (4, None), (5, [(895, 905), (1, 1)]), (6, [(101, 78)])]
+    traces = spark.createDataFrame([(k, None if t is None else [{"x": float(x), "y": float(y)} for x, y in t]) for k, t in data], "id long, trace array<struct<x:double,y:double>>")
+    got = {r["id"]: r["node_path"] for r in mapmatching.match_points(traces, edges, nodes, distance=20.0).collect()}
+    assert got == {1: [0, 1, 2, 4], 2: [0, 3, 2, 4], 3: None, 4: None, 5: None, 6: [3]}
+
+
+def test_distances_equal_a_plain_table():
+    import pyarrow as pa
+
+    from waymark.functions import trajectories
+
+    rng = np.random.default_rng(4)
+    paths = [[[{"x": float(x), "y": float(y)} for x, y in rng.integers(0, 3, (n, 2))] for n in rng.integers(0, 9, 40)] for _ in range(2)]
+    kind = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
+    a, b = (pa.array(p, kind) for p in paths)
+    for cells in (1 << 22, 20):
+        trajectories.CELLS = cells
+        got = {k: trajectories._tables(a, b, 1.0, k) for k in ("lcss", "edr")}
+        for i, (p, q) in enumerate(zip(*paths, strict=True)):
+            lcss, edr = np.zeros((len(p) + 1, len(q) + 1)), np.zeros((len(p) + 1, len(q) + 1))
+            edr[0], edr[:, 0] = np.arange(len(q) + 1), np.arange(len(p) + 1)
+            for x in range(len(p)):
+                for y in range(len(q)):
+                    near = math.dist(p[x].values(), q[y].values()) <= 1.0
+                    lcss[x + 1, y + 1] = lcss[x, y] + 1 if near else max(lcss[x, y + 1], lcss[x + 1, y])
+                    edr[x + 1, y + 1] = min(edr[x, y] + (not near), edr[x, y + 1] + 1, edr[x + 1, y] + 1)
+            assert got["lcss"][i] == lcss[-1, -1]
+            assert got["edr"][i] == edr[-1, -1]
+
+
+def test_clusters_as_one_array(spark, tmp_path):
+    import json
+    from pathlib import Path
+
+    kind = "cluster_id string, centroid_vehicle_feature array<float>, centroid_license_plate_feature array<float>, centroid_license_plate_text string, node_path array<long>, records array<struct<record_id:string,vehicle_id:long,camera_id:long,time:long>>"
+    data = [(f"c{i}", [1.0, 0.0], None, None, [1, 2], [(f"r{i}", None, 1, i)]) for i in range(5)]
+    for name, n in (("many", 5), ("none", 0)):
+        path = f"{tmp_path}/{name}"
+        sources.write_clusters(spark.createDataFrame(data[:n], kind).repartition(3), path, one_array=True)
+        files = [f for f in Path(path).glob("part-*") if f.stat().st_size]
+        assert len(files) == 1
+        assert [c["cluster_id"] for c in json.loads(files[0].read_text())] == [f"c{i}" for i in range(n)]
+        assert sorted(r["cluster_id"] for r in sources.read_clusters(spark, path, one_array=True).collect()) == [f"c{i}" for i in range(n)]
+
+
+@pytest.mark.parametrize("one_array", [False, True])
+def test_commands(spark, tmp_path, capsys, one_array):
+    """Two vehicles on a street of two regions, from files to clusters to figures."""
+    from waymark.plans import commands
+
+    feature = lambda v: base64.b64encode(np.array(v, "<f4").tobytes()).decode()
+    cars = {1: [1.0, 0.05, 0.0, 0.0], 2: [0.0, 0.0, 1.0, 0.02]}
+    lines = [{"record_id": f"r{v}{k}", "vehicle_id": v, "camera_id": k, "car_feature": feature([x + 0.001 * k for x in cars[v]]), "plate_feature": feature([0.0] * 4), "plate_text": "", "time": 10 * k + v} for v in cars for k in range(4)]
+    (tmp_path / "records.json").write_text("\n".join(map(json.dumps, lines)))
+    (tmp_path / "cameras.json").write_text("\n".join(json.dumps({"camera_id": k, "position": [100.0 * k + 3, 2.0]}) for k in range(4)))
+    (tmp_path / "nodes.csv").write_text("node_id,x,y,region\n" + "".join(f"{k},{100.0 * k},0.0,{k // 2}\n" for k in range(4)))
+    (tmp_path / "edges.csv").write_text("u,v,length\n" + "".join(f"{k},{k + 1},100.0\n{k + 1},{k},100.0\n" for k in range(3)))
+    common = [x for n, e in (("records", "json"), ("cameras", "json"), ("nodes", "csv"), ("edges", "csv")) for x in (f"--{n}", f"{tmp_path}/{n}.{e}")] + (["--one-array"] if one_array else [])
+    commands.main(["centralized", *common, "--output", f"{tmp_path}/out", "--k", "5", "--dimension", "2"], spark)
+    commands.main(["evaluate", *common, "--clusters", f"{tmp_path}/out"], spark)
+    alone = json.loads(capsys.readouterr().out)
+    assert (alone["precision"], alone["recall"], alone["f1"], alone["expansion"]) == (1, 1, 1, 1)
+    assert (alone["lcss"], alone["edr"]) == (0, 0)
+    assert alone["stlc"] == pytest.approx(0)
+    commands.main(["evaluate", *common, "--clusters", f"{tmp_path}/out", "--true-clusters", f"{tmp_path}/out"], spark)
+    assert json.loads(capsys.readouterr().out) == alone
+    commands.main(["distributed", *common, "--output", f"{tmp_path}/both", "--k", "5", "--dimension", "2"], spark)
+    found = sources.read_clusters(spark, f"{tmp_path}/both", one_array).collect()
+    assert {r["record_id"] for c in found for r in c["records"]} == {line["record_id"] for line in lines}
+
+
+def test_map_document_of_some_nodes(spark, tmp_path):
+    (tmp_path / "map.json").write_text('[{"id": 1, "type": "node", "xy": [1.0, 2.0]}, {"id": 2, "type": "node", "xy": [3.0, 4.0]}, {"id": 3, "type": "way"}]')
+    ids = spark.createDataFrame([(2,), (2,), (3,)], "node_id long")
+    assert rows(sources.read_map_document(spark, f"{tmp_path}/map.json", ids)) == [(2, 3.0, 4.0)]
+
+
 def test_evaluation(spark):
     truth = spark.createDataFrame([("a", 1), ("b", 1), ("c", 2), ("d", 3), ("e", 3), ("x", None)], "record_id string, vehicle_id long")
     # vehicle 1 in two clusters (a tie), 2 with an unannotated record, 3 in none

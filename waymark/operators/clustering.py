@@ -182,7 +182,7 @@ def cluster_by_threshold(records: DataFrame, threshold: float = SIMILARITY_THRES
     from waymark.operators.components import connected_components
     from waymark.operators.knn import similar_pairs
 
-    of = connected_components(similar_pairs(records, threshold, id_col="record_id", vec="vehicle_feature"), "a", "b")
+    of = connected_components(similar_pairs(records, threshold, id_col="record_id", vec="vehicle_feature", spanning=True), "a", "b")
     return records.select("record_id").join(of.withColumnRenamed("node", "record_id"), "record_id", "left").select("record_id", F.coalesce("component", "record_id").alias("cluster_id"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions.trajectories import edr_distance, is_valid_path, lcss_distance
 from waymark.operators.aggregates import best
+from waymark.operators.mapmatching import map_match
 
 GAMMA = 0.8
 EPSILON = 200.0
@@ -62,14 +63,16 @@ def stlc(pairs: DataFrame, points: DataFrame, true_points: DataFrame, gamma: flo
     point: joins on the pair and minima, then means of exp(-distance). A pair with
     an empty side has no row.
     """
-    a = pairs.join(points, "id").select("pair_id", "x", "y", "t").withColumn("n", F.monotonically_increasing_id())
-    b = pairs.join(true_points.withColumnRenamed("id", "true_id"), "true_id").select("pair_id", "x", "y", "t").withColumn("n", F.monotonically_increasing_id())
+    a = pairs.join(points, "id").groupBy("pair_id", "x", "y", "t").agg(F.count("*").alias("n"))
+    b = pairs.join(true_points.withColumnRenamed("id", "true_id"), "true_id").groupBy("pair_id", "x", "y", "t").agg(F.count("*").alias("n"))
 
     def similarity(p: DataFrame, q: DataFrame) -> DataFrame:
         q = q.select("pair_id", F.col("x").alias("qx"), F.col("y").alias("qy"), F.col("t").alias("qt"))
         space = F.sqrt(F.pow(F.col("x") - F.col("qx"), F.lit(2)) + F.pow(F.col("y") - F.col("qy"), F.lit(2)))
-        near = p.join(q, "pair_id").groupBy("pair_id", "n").agg(F.min(space).alias("s"), F.min(F.abs(F.col("t") - F.col("qt"))).alias("d"))
-        return near.groupBy("pair_id").agg(F.avg(F.exp(-F.col("s"))).alias("s"), F.avg(F.exp(-F.col("d"))).alias("d"))
+        # points that are equal have equal neighbours: each place and time is one row, with the number of its points
+        near = p.join(q, "pair_id").groupBy("pair_id", "x", "y", "t", "n").agg(F.min(space).alias("s"), F.min(F.abs(F.col("t") - F.col("qt"))).alias("d"))
+        mean = lambda c: (F.sum(F.col("n") * F.exp(-F.col(c))) / F.sum("n")).alias(c)
+        return near.groupBy("pair_id").agg(mean("s"), mean("d"))
 
     there, back = similarity(a, b), similarity(b, a).toDF("pair_id", "s2", "d2")
     total = gamma * (F.col("s") + F.col("s2")) + (1 - gamma) * (F.col("d") + F.col("d2"))
@@ -87,3 +90,52 @@ def points_along(paths: DataFrame, nodes: DataFrame, key: str, path: str) -> Dat
     steps = paths.select(key, F.posexplode(path).alias("i", "node_id")).join(nodes.select("node_id", "x", "y"), "node_id")
     ordered = F.sort_array(F.collect_list(F.struct("i", "x", "y")))
     return steps.groupBy(key).agg(F.transform(ordered, lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y"))).alias("points"))
+
+
+def _trajectories(members: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
+    """Points ``(id, x, y, t)`` of records (key, node_id, time)."""
+    return members.select(F.col(key).alias("id"), "node_id", F.col("time").alias("t")).join(nodes.select("node_id", "x", "y"), "node_id").select("id", "x", "y", "t")
+
+
+def _distances(stlc_pairs: DataFrame, points: DataFrame, true_points: DataFrame, path_pairs: DataFrame, nodes: DataFrame, gamma: float, epsilon: float) -> DataFrame:
+    """One row: averages of the three distances, each over the pairs that have it; null where none has."""
+    along = points_along(path_pairs.select("pair_id", "node_path"), nodes, "pair_id", "node_path")
+    true_along = points_along(path_pairs.select("pair_id", "true_path"), nodes, "pair_id", "true_path").withColumnRenamed("points", "true_points")
+    both = path_distances(along.join(true_along, "pair_id"), "points", "true_points", epsilon)
+    none = F.lit(None).cast("double")
+    each = both.select("lcss", "edr", none.alias("stlc")).union(stlc(stlc_pairs, points, true_points, gamma).select(none, none, "stlc"))
+    return each.agg(*(F.avg(c).alias(c) for c in ("lcss", "edr", "stlc")))
+
+
+def trajectories_against_records(members: DataFrame, paths: DataFrame, truth: DataFrame, nodes: DataFrame, edges: DataFrame, gamma: float = GAMMA, epsilon: float = EPSILON) -> DataFrame:
+    """``(lcss, edr, stlc)``: averages over vehicles of the distances between their records and those of their best cluster.
+
+    members: (cluster_id, record_id, node_id, time); paths: (cluster_id, node_path);
+    truth: (record_id, vehicle_id, node_id, time), vehicle_id null for records without
+    annotation; nodes: (node_id, x, y) in metres; edges: (u, v, length). A vehicle's
+    own path is matched from its records. Vehicles in no cluster, and for the path
+    distances those with a path missing, do not count.
+    """
+    known = truth.where("vehicle_id IS NOT NULL")
+    best_of = best_clusters(members.select("cluster_id", "record_id"), known.select("record_id", "vehicle_id")).where("cluster_id IS NOT NULL")
+    pairs = best_of.select(F.col("vehicle_id").alias("pair_id"), F.col("cluster_id").alias("id"), F.col("vehicle_id").alias("true_id"))
+    ordered = F.sort_array(F.collect_list(F.struct("time", "record_id", "node_id")))
+    traces = known.groupBy("vehicle_id").agg(F.transform(ordered, lambda r: r["node_id"]).alias("trace"))
+    true_paths = map_match(traces, edges).select(F.col("vehicle_id").alias("true_id"), F.col("node_path").alias("true_path"))
+    held = pairs.join(paths.select(F.col("cluster_id").alias("id"), "node_path"), "id").join(true_paths, "true_id")
+    held = held.where(is_valid_path(F.col("node_path")) & is_valid_path(F.col("true_path")))
+    return _distances(pairs, _trajectories(members, nodes, "cluster_id"), _trajectories(known, nodes, "vehicle_id"), held, nodes, gamma, epsilon)
+
+
+def trajectories_against_clusters(members: DataFrame, paths: DataFrame, true_members: DataFrame, true_paths: DataFrame, vehicles: DataFrame, truth: DataFrame, nodes: DataFrame, gamma: float = GAMMA, epsilon: float = EPSILON) -> DataFrame:
+    """The same against clusters taken as the truth, over the ids in ``vehicles``: each vehicle's best true cluster and best cluster.
+
+    true_members and true_paths as members and paths; truth: (record_id, vehicle_id).
+    """
+    known = truth.select("record_id", "vehicle_id")
+    c = best_clusters(members.select("cluster_id", "record_id"), known).select("vehicle_id", F.col("cluster_id").alias("id"))
+    t = best_clusters(true_members.select("cluster_id", "record_id"), known).select("vehicle_id", F.col("cluster_id").alias("true_id"))
+    pairs = vehicles.select("vehicle_id").distinct().join(c, "vehicle_id").join(t, "vehicle_id").where("id IS NOT NULL AND true_id IS NOT NULL").withColumnRenamed("vehicle_id", "pair_id")
+    held = pairs.join(paths.select(F.col("cluster_id").alias("id"), "node_path"), "id").join(true_paths.select(F.col("cluster_id").alias("true_id"), F.col("node_path").alias("true_path")), "true_id")
+    held = held.where(is_valid_path(F.col("node_path")) & is_valid_path(F.col("true_path")))
+    return _distances(pairs, _trajectories(members, nodes, "cluster_id"), _trajectories(true_members, nodes, "cluster_id"), held, nodes, gamma, epsilon)

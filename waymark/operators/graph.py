@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.storage import materialize
@@ -14,10 +14,12 @@ def without_self_loops(edges: DataFrame) -> DataFrame:
 
 def with_travel_time(edges: DataFrame, length: str, speed: str, road_class: str) -> DataFrame:
     """Missing speeds from the mean of the road class, or of all; ``travel_time`` = length / speed."""
-    mean = F.avg(speed).over(Window.partitionBy(road_class))
-    overall = edges.agg(F.avg(speed).alias("_all"))
-    filled = F.coalesce(F.col(speed), mean, F.col("_all"))
-    return edges.crossJoin(F.broadcast(overall)).withColumn("speed_used", filled).withColumn("travel_time", F.col(length) / F.col("speed_used")).drop("_all")
+    each = edges.groupBy(F.col(road_class).alias("_class")).agg(F.avg(speed).alias("_mean"), F.sum(speed).alias("_sum"), F.count(speed).alias("_n"))
+    total, n = each.agg(F.sum("_sum"), F.sum("_n")).first()
+    overall = F.lit(total / n if n else None).cast("double")
+    filled = F.coalesce(F.col(speed), F.col("_mean"), overall)
+    out = edges.join(each.select("_class", "_mean"), F.col(road_class).eqNullSafe(F.col("_class")), "left")
+    return out.withColumn("speed_used", filled).withColumn("travel_time", F.col(length) / F.col("speed_used")).drop("_class", "_mean")
 
 
 def with_geometry(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -23,10 +23,9 @@ MERGES = 16
 _LISTS = "g string, id long, neighbors array<long>, similarities array<double>"
 
 
-def _blocks(df: DataFrame, id_col: str, vector_col: str, by: str | None, n: int) -> DataFrame:
-    group = (F.col(by) if by else F.lit(None)).cast("string").alias("g")
-    clean = df.select(group, F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.col("v").isNotNull() & F.exists("v", lambda x: x != 0))
-    return clean.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
+def _clean(df: DataFrame, id_col: str, vector_col: str, by: str | None) -> DataFrame:
+    group = (F.col(by) if by else F.lit("")).cast("string").alias("g")
+    return df.select(group, F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.col("v").isNotNull() & F.exists("v", lambda x: x != 0))
 
 
 def _count(df: DataFrame, block: int) -> int:
@@ -45,9 +44,14 @@ def _unit(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _tiles(queries: DataFrame, base: DataFrame, ids: tuple[str, str], features: tuple[str, str], by: str | None, work, schema: str) -> DataFrame:
-    nq, nb = _count(queries, BLOCK), _count(base, BASE_BLOCK)
-    q = _blocks(queries, ids[0], features[0], by, nq).withColumnRenamed("block", "qb").withColumn("bb", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
-    b = _blocks(base, ids[1], features[1], by, nb).withColumnRenamed("block", "bb").withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
+    """``work`` over each block of queries and block of the base of a group; a group has as many blocks as its own rows need."""
+    q, b = _clean(queries, ids[0], features[0], by), _clean(base, ids[1], features[1], by)
+    blocks = lambda df, n, name: df.groupBy("g").agg(F.ceil(F.count("*") / n).cast("int").alias(name))
+    counts = blocks(q, BLOCK, "_nq").join(blocks(b, BASE_BLOCK, "_nb"), "g")
+    block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    q = q.join(counts, "g").select("g", "id", "v", block("_nq").alias("qb"), every("_nb").alias("bb"))
+    b = b.join(counts, "g").select("g", "id", "v", block("_nb").alias("bb"), every("_nq").alias("qb"))
     return q.groupBy("g", "qb", "bb").cogroup(b.groupBy("g", "qb", "bb")).applyInArrow(work, schema)
 
 
@@ -61,7 +65,7 @@ def knn_lists(queries: DataFrame, base: DataFrame, k: int, *, q_id: str = "id",
     """``(g, id, neighbors, similarities)``: the k vectors of ``base`` with the greatest cosine to each query, best first.
 
     by: a column of both sides; neighbours are sought among rows with an equal
-    value, which comes back as ``g``. A vector that is in both is its own
+    value, which comes back as ``g`` (empty without ``by``); a null is none. A vector that is in both is its own
     neighbour; lists are shorter than k if ``base`` is. Ties go to the smaller
     neighbor. Null and zero vectors are in neither side. Ids are integers.
     """
@@ -74,9 +78,14 @@ def knn_lists(queries: DataFrame, base: DataFrame, k: int, *, q_id: str = "id",
         count, out = [], []
         for s in range(0, len(qi), 128):
             sim = qv[s : s + 128] @ bv.T
-            # all that reach the k-th similarity leave the tile, so ties are settled over all tiles
+            # of those that reach the k-th similarity, the k best leave the tile, ties by the smaller neighbour as over all tiles
             least = np.partition(sim, len(bi) - k, axis=1)[:, len(bi) - k] if len(bi) > k else np.full(len(sim), -np.inf)
             i, j = np.nonzero(sim >= least[:, None])
+            order = np.lexsort((bi[j], -sim[i, j], i))
+            i, j = i[order], j[order]
+            first = np.searchsorted(i, np.arange(len(sim)))
+            kept = np.arange(len(i)) - first[i] < k
+            i, j = i[kept], j[kept]
             count.append(np.bincount(i, minlength=len(sim)))
             out.append((bi[j], sim[i, j]))
         neighbors, sims = map(np.concatenate, zip(*out, strict=True))
@@ -106,8 +115,12 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, *, q_id: str = "id", b
     return rows if by else rows.drop("g")
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, *, id_col: str = "id", vec: str = "feature") -> DataFrame:
-    """``(a, b, similarity)`` with a < b of all pairs with a cosine above ``threshold``."""
+def similar_pairs(vectors: DataFrame, threshold: float, *, id_col: str = "id", vec: str = "feature", spanning: bool = False) -> DataFrame:
+    """``(a, b, similarity)`` with a < b of all pairs with a cosine above ``threshold``.
+
+    spanning: only as many of them as join what the pairs of a tile join, for
+    components: no more rows than vectors leave a tile, however dense it is.
+    """
 
     def work(q: pa.Table, b: pa.Table) -> pa.Table:
         if not q.num_rows or not b.num_rows:
@@ -115,11 +128,34 @@ def similar_pairs(vectors: DataFrame, threshold: float, *, id_col: str = "id", v
         (qi, qv), (bi, bv) = _unit(q), _unit(b)
         sim = qv @ bv.T
         i, j = np.nonzero((sim > threshold) & (qi[:, None] < bi[None, :]))
+        if spanning:
+            some = _forest(qi[i], bi[j])
+            i, j = i[some], j[some]
         return pa.table({"a": qi[i], "b": bi[j], "similarity": sim[i, j]})
 
     return _tiles(vectors, vectors, (id_col, id_col), (vec, vec), None, work, "a long, b long, similarity double")
 
 
+def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places of edges that form a spanning forest of all of them, by rounds of hooking each component on its smallest neighbour."""
+    names, ends = np.unique(np.r_[a, b], return_inverse=True)
+    u, v = ends[: len(a)], ends[len(a) :]
+    label, chosen = np.arange(len(names)), [np.zeros(0, np.int64)]
+    while (open_ := np.flatnonzero(label[u] != label[v])).size:
+        x, y = label[u[open_]], label[v[open_]]
+        high, low = np.maximum(x, y), np.minimum(x, y)
+        # of each component's edges to smaller ones, that to the smallest
+        order = np.lexsort((open_, low, high))
+        one = order[np.r_[True, high[order][1:] != high[order][:-1]]]
+        chosen.append(open_[one])
+        label_of = np.arange(len(names))
+        label_of[high[one]] = low[one]
+        while (label_of[label_of] != label_of).any():
+            label_of = label_of[label_of]
+        label = label_of[label]
+    return np.sort(np.concatenate(chosen))
+
+
 def candidate_lists(records: DataFrame, k: int, features: tuple[str, ...], id_col: str = "id", by: str | None = None) -> DataFrame:
     """``(g, id, candidates)``: the union over features of each record's k nearest, without itself, in ascending order."""
     kinds = F.explode(F.array(*(F.struct(F.lit(f"{i}|").alias("kind"), F.col(f).cast("array<double>").alias("feature")) for i, f in enumerate(features))))

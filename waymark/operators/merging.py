@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from waymark.functions.scalars import MERGE_DECAY, MERGING_THRESHOLD, merge_score
 from waymark.functions.trajectories import is_valid_path, path_edges
 from waymark.operators.aggregates import best, centroid, majority
+from waymark.operators.clustering import K
 from waymark.operators.components import connected_components
+from waymark.operators.knn import knn_join
 
 
 def crossing(clusters: DataFrame, borders: DataFrame) -> DataFrame:
@@ -40,7 +42,26 @@ def pairs_to_merge(scores: DataFrame, threshold: float = MERGING_THRESHOLD, keys
     return best(scores, list(keys), "score", ["right_id"]).where(F.col("score") >= threshold)
 
 
-def match_across(aux: DataFrame, main: DataFrame, aux_paths: DataFrame, borders: DataFrame, nodes: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
+def rough_search(queries: DataFrame, base: DataFrame, centroids: DataFrame, k: int = K) -> DataFrame:
+    """``(aux, main, cluster_id, other)``: for each cluster of ``queries`` the clusters of ``base`` with the nearest centroids.
+
+    queries: (aux, main, cluster_id); base: (aux, main, other); centroids:
+    (cluster_id, centroid_vehicle, centroid_plate). The k nearest by the vehicle
+    centroid and the k nearest by the plate centroid, among clusters of the same
+    pair of regions; a null centroid is near nothing. Ids are integers.
+    """
+
+    def long(side: DataFrame, name: str) -> DataFrame:
+        kinds = F.explode(F.array(*(F.struct(F.lit(f"{i}|").alias("kind"), F.col(c).cast("array<double>").alias("feature")) for i, c in enumerate(("centroid_vehicle", "centroid_plate")))))
+        held = side.select("aux", "main", F.col(name).alias("cluster_id")).distinct().join(centroids, "cluster_id")
+        return held.select(F.col("cluster_id").alias("id"), "aux", "main", kinds.alias("k")).select(F.concat("k.kind", "aux", F.lit("|"), "main").alias("kg"), "id", "k.feature")
+
+    near = knn_join(long(queries, "cluster_id"), long(base, "other"), k, by="kg")
+    part = F.split("g", r"\|")
+    return near.select(part[1].alias("aux"), part[2].alias("main"), F.col("id").alias("cluster_id"), F.col("neighbor").alias("other")).where("cluster_id <> other").distinct()
+
+
+def match_across(aux: DataFrame, main: DataFrame, aux_paths: DataFrame, borders: DataFrame, nodes: DataFrame, centroids: DataFrame | None = None, k: int = K) -> DataFrame:
     """``(a, b)``: clusters of auxiliary regions and the main-region clusters they continue, in one plan for all regions.
 
     aux and main: members (region, cluster_id, record_id, node_id); aux_paths:
@@ -48,8 +69,8 @@ def match_across(aux: DataFrame, main: DataFrame, aux_paths: DataFrame, borders:
     main and auxiliary regions. For each auxiliary cluster that crosses from i to j
     (or back), the records it shares with clusters of i, and of j, at nodes that
     the main and the auxiliary region share, are scored; the best of each side is
-    taken. candidates (cluster_id, candidate), if given, restricts the pairs to
-    those of a search on centroids.
+    taken. centroids, if given, restricts the pairs to those that a rough search on
+    them finds, among the main region's clusters with a record in the auxiliary one.
     """
     ends = F.split("region", "-")
     cross = crossing(aux_paths, borders).select("cluster_id", "region", "direction")
@@ -61,8 +82,9 @@ def match_across(aux: DataFrame, main: DataFrame, aux_paths: DataFrame, borders:
     b = in_main.join(shared, ["main", "node_id"]).select("aux", "main", "other", "record_id").distinct()
     keys = ["cluster_id", "aux", "main", "direction"]
     common = a.join(b, ["aux", "main", "record_id"]).groupBy(*keys, "other").agg(F.count("*").alias("common"))
-    if candidates is not None:
-        common = common.join(candidates.select("cluster_id", F.col("candidate").alias("other")), ["cluster_id", "other"], "left_semi")
+    if centroids is not None:
+        near = rough_search(side.select("cluster_id", "aux", "main"), b.select("aux", "main", "other"), centroids, k)
+        common = common.join(near, ["aux", "main", "cluster_id", "other"], "left_semi")
     na = a.groupBy(*keys).agg(F.count("*").alias("_na"))
     nb = b.groupBy("aux", "main", "other").agg(F.count("*").alias("_nb"))
     apart = F.col("_na") + F.col("_nb") - 2 * F.col("common")

@@ -179,7 +179,7 @@ def multimodal_score(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings")
     c = aggregates.centroid(e, ["label"], "embedding").select("label", "centroid")
     text = table(spark, sf, "part").select(F.col("p_partkey").alias("vec_id"), "p_brand")
-    j = e.join(F.broadcast(c), "label").join(text, "vec_id", "left")
+    j = e.join(c, "label").join(text, "vec_id", "left")
     plate = F.when(F.col("vec_id") % 4 != 0, F.slice("embedding", 33, 32))
     brand = F.concat(F.lit("Brand#1"), (F.col("label") % 3 + 1).cast("string"))
     score = scalars.record_cluster_score(F.slice("embedding", 1, 32), plate, F.col("p_brand"), F.slice("centroid", 1, 32), F.slice("centroid", 33, 32), brand)
@@ -323,7 +323,7 @@ def dataset_generation(spark: SparkSession, sf: str) -> DataFrame:
 def camera_node_join(spark: SparkSession, sf: str) -> DataFrame:
     n = nations(spark, sf)
     far = geo.euclidean(F.col("x"), F.col("y"), F.lit(0.0), F.lit(0.0))
-    return records(spark, sf).join(F.broadcast(n), F.col("camera_id") == F.col("node_id")).select("record_id", "node_id", "x", "y", far.alias("far"))
+    return records(spark, sf).join(n, F.col("camera_id") == F.col("node_id")).select("record_id", "node_id", "x", "y", far.alias("far"))
 
 
 @query(f"""WITH {SQL_NATIONS}, p AS (SELECT s_suppkey AS point_id, (s_suppkey * 7 % 41) / 8.0 AS x, (s_suppkey * 11 % 43) / 8.0 AS y FROM supplier),
@@ -341,7 +341,7 @@ def nearest_node(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {SQL_RECORDS}, {SQL_NATIONS} SELECT vehicle_id, count(*) AS n, string_agg(x::INT::VARCHAR || ',' || y::INT::VARCHAR, ' ' ORDER BY time, record_id) AS trace FROM rec JOIN node ON camera_id = node_id GROUP BY 1")
 def trace_build(spark: SparkSession, sf: str) -> DataFrame:
-    j = records(spark, sf).join(F.broadcast(nations(spark, sf)), F.col("camera_id") == F.col("node_id"))
+    j = records(spark, sf).join(nations(spark, sf), F.col("camera_id") == F.col("node_id"))
     t = j.groupBy("vehicle_id").agg(trajectories.trace(F.col("time"), F.col("record_id"), F.col("x"), F.col("y")).alias("t"))
     text = F.array_join(F.transform("t", lambda p: F.concat_ws(",", p["x"].cast("int").cast("string"), p["y"].cast("int").cast("string"))), " ")
     return t.select("vehicle_id", F.size("t").cast("long").alias("n"), text.alias("trace"))
@@ -363,7 +363,7 @@ def path_validity(spark: SparkSession, sf: str) -> DataFrame:
     # a path of edges gives its nodes back
     p = p.withColumn("back", trajectories.node_path(F.col("edges"))).where(F.col("back") == F.col("path"))
     known = trade(spark, sf).select("u", "v", F.lit(True).alias("known"))
-    e = p.select("vehicle_id", F.explode("edges").alias("e")).select("vehicle_id", "e.u", "e.v").join(F.broadcast(known), ["u", "v"], "left")
+    e = p.select("vehicle_id", F.explode("edges").alias("e")).select("vehicle_id", "e.u", "e.v").join(known, ["u", "v"], "left")
     missing = F.count_if(F.col("known").isNull())
     return e.groupBy("vehicle_id").agg(F.count("*").alias("edges"), missing.alias("missing"), (missing == 0).alias("valid"))
 
@@ -402,7 +402,7 @@ SQL_STLC_SIDE = "SELECT a.id, avg(exp(-s)) AS s, avg(exp(-t)) AS t FROM (SELECT
  f AS ({SQL_STLC_SIDE.format(a='a', b='b')}), g AS ({SQL_STLC_SIDE.format(a='b', b='a')})
  SELECT id AS pair_id, round(1 - (0.8 * (f.s + g.s) + 0.2 * (f.t + g.t)) / 2, 6) AS stlc FROM f JOIN g USING (id)""")
 def stlc(spark: SparkSession, sf: str) -> DataFrame:
-    p = records(spark, sf).join(F.broadcast(nations(spark, sf)), F.col("camera_id") == F.col("node_id")).select(F.col("vehicle_id").alias("id"), "x", "y", (F.col("time") / 3600.0).alias("t"))
+    p = records(spark, sf).join(nations(spark, sf), F.col("camera_id") == F.col("node_id")).select(F.col("vehicle_id").alias("id"), "x", "y", (F.col("time") / 3600.0).alias("t"))
     ids = p.select("id").distinct()
     pairs = ids.where("id % 2 = 0").select(F.col("id").alias("pair_id"), "id", (F.col("id") + 1).alias("true_id"))
     return evaluation.stlc(pairs, p, p).select("pair_id", r6("stlc").alias("stlc"))
@@ -464,10 +464,15 @@ def merge_score(spark: SparkSession, sf: str) -> DataFrame:
     return _scores(spark, sf).withColumn("score", F.round("score", 9))
 
 
-@query(f"WITH {SQL_SCORES} SELECT right_id, left_id FROM (SELECT *, row_number() OVER (PARTITION BY right_id ORDER BY common DESC, left_id) AS k FROM sc) WHERE k = 1 AND common >= 3")
+@query(f"""WITH {SQL_RECORDS}, l AS (SELECT vehicle_id * 1000 + time // 432000 % 1000 AS left_id, record_id FROM rec), r AS (SELECT vehicle_id * 1000 + (time + 21600) // 432000 % 1000 AS right_id, record_id FROM rec),
+ c AS (SELECT left_id, right_id, count(*) AS common FROM l JOIN r USING (record_id) GROUP BY 1, 2), na AS (SELECT left_id, count(*) AS na FROM l GROUP BY 1), nb AS (SELECT right_id, count(*) AS nb FROM r GROUP BY 1),
+ sc AS (SELECT left_id, right_id, pow(0.8, na + nb - 2 * common) / (1 + exp(-common::DOUBLE)) AS score FROM c JOIN na USING (left_id) JOIN nb USING (right_id))
+ SELECT left_id, right_id FROM (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY round(score, 12) DESC, right_id) AS k FROM sc) WHERE k = 1 AND score >= 0.6""")
 def merge_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    top = aggregates.best(_scores(spark, sf), ["right_id"], "common", ["left_id"])
-    return top.where("common >= 3").select("right_id", "left_id")
+    r = records(spark, sf)
+    cut = lambda late: r.select((F.col("vehicle_id") * 1000 + F.floor((F.col("time") + late) / 432000) % 1000).alias("cluster_id"), "record_id")
+    scores = merging.overlap_scores(cut(0), cut(21600)).withColumn("score", F.round("score", 12))
+    return merging.pairs_to_merge(scores).select("left_id", "right_id")
 
 
 @query(f"""WITH RECURSIVE {SQL_UNIT}, e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM emb a, emb b WHERE a.vec_id <> b.vec_id AND {SQL_COS} > 0.42),

@@ -14,7 +14,7 @@ from waymark.storage import materialize
 def _with_paths(clusters: DataFrame, cameras: DataFrame, edges: DataFrame) -> DataFrame:
     """Clusters of two records or more get the path through their records' nodes in order of time."""
     step = clusters.where("n >= 2").select("region", "cluster_id", F.posexplode("records").alias("i", "r"))
-    nodes = step.select("region", "cluster_id", "i", F.col("r.camera_id").alias("camera_id")).join(F.broadcast(cameras.select("camera_id", "node_id")), "camera_id")
+    nodes = step.select("region", "cluster_id", "i", F.col("r.camera_id").alias("camera_id")).join(cameras.select("camera_id", "node_id"), "camera_id")
     ordered = F.sort_array(F.collect_list(F.struct("i", "node_id")))
     traces = nodes.groupBy("region", "cluster_id").agg(F.transform(ordered, lambda s: s["node_id"]).alias("trace"))
     matched = mapmatching.map_match(traces, edges).drop("trace")
@@ -34,19 +34,21 @@ def distributed(records: DataFrame, cameras: DataFrame, edges: DataFrame, region
     Every region, main or auxiliary, is a group of the same plan: what the original
     system runs on separate hosts and ships by messages is a shuffle here. A record
     in several regions is clustered in each; ids of clusters tell regions apart.
+    Across regions, clusters are compared that a search on centroids finds near.
     """
     regions = region_cameras.select("region").distinct()
     number = regions.select("region", F.xxhash64("region").alias("_r"))
     assigned = clustering.cluster_records(in_regions(records, region_cameras), k, threshold).join(number, "region")
     assigned = materialize(assigned.withColumn("cluster_id", F.xxhash64("_r", "cluster_id")).drop("_r"), "assigned")
     clusters = materialize(_with_paths(clustering.summarize(assigned), cameras, edges), "clusters")
-    members = assigned.select("region", "cluster_id", "record_id", "camera_id", "time").join(F.broadcast(cameras.select("camera_id", "node_id")), "camera_id")
+    members = assigned.select("region", "cluster_id", "record_id", "camera_id", "time").join(cameras.select("camera_id", "node_id"), "camera_id")
     aux = F.col("region").contains("-")
     shipped = clusters.where(is_valid_path(F.col("node_path"))).select("cluster_id")
     moving = members.join(shipped, "cluster_id", "left_semi")
     paths = clusters.where(aux).select("cluster_id", "node_path")
-    pairs = materialize(merging.match_across(moving.where(aux), moving.where(~aux), paths, borders, region_nodes.select("region", "node_id")), "pairs")
     flat = clusters.select("cluster_id", "centroid_vehicle", "centroid_plate", "plate_text")
+    centroids = flat.select("cluster_id", "centroid_vehicle", "centroid_plate")
+    pairs = materialize(merging.match_across(moving.where(aux), moving.where(~aux), paths, borders, region_nodes.select("region", "node_id"), centroids, k), "pairs")
     merged, moved = merging.merge(flat, members.select("cluster_id", "record_id", "camera_id", "node_id", "time"), pairs)
     moved = materialize(moved, "members")
     ordered = F.sort_array(F.collect_list(F.struct("time", "record_id", "node_id")))

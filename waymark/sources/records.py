@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -81,18 +82,39 @@ def read_nodes_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("NodeID long, Longitude double, Latitude double").csv(path, header=True).select(F.col("NodeID").alias("node_id"), F.col("Longitude").alias("x"), F.col("Latitude").alias("y"))
 
 
-def read_map_document(spark: SparkSession, path: str) -> DataFrame:
-    """``(node_id, x, y)`` of a map document: one JSON array of {id, type, xy}; entries of type node."""
+def read_map_document(spark: SparkSession, path: str, ids: DataFrame | None = None) -> DataFrame:
+    """``(node_id, x, y)`` of a map document: one JSON array of {id, type, xy}; entries of type node, of those in ids (node_id) if given."""
     raw = spark.read.schema("id long, type string, xy array<double>").option("multiLine", True).json(path)
-    return raw.where("type = 'node'").select(F.col("id").alias("node_id"), F.col("xy")[0].alias("x"), F.col("xy")[1].alias("y"))
+    nodes = raw.where("type = 'node'").select(F.col("id").alias("node_id"), F.col("xy")[0].alias("x"), F.col("xy")[1].alias("y"))
+    return nodes if ids is None else nodes.join(ids.select("node_id").distinct(), "node_id", "left_semi")
 
 
-def write_clusters(clusters: DataFrame, path: str) -> None:
-    """One JSON object a line, fields of CLUSTER; no plate: an empty centroid and text."""
+def write_clusters(clusters: DataFrame, path: str, one_array: bool = False) -> None:
+    """Fields of CLUSTER; no plate: an empty centroid and text. One JSON object a line.
+
+    one_array: a single file that is one JSON array, as other tools read. It is written
+    by one task, a row after another, so keep it for results that fit one file.
+    """
     plate = F.coalesce("centroid_license_plate_feature", F.array().cast("array<float>"))
     text = F.coalesce("centroid_license_plate_text", F.lit(""))
     shaped = clusters.withColumn("centroid_license_plate_feature", plate).withColumn("centroid_license_plate_text", text)
-    shaped.select([c.split()[0] for c in ("cluster_id", "centroid_vehicle_feature", "centroid_license_plate_feature", "centroid_license_plate_text", "node_path", "records")]).write.json(path)
+    shaped = shaped.select([c.split()[0] for c in ("cluster_id", "centroid_vehicle_feature", "centroid_license_plate_feature", "centroid_license_plate_text", "node_path", "records")])
+    if not one_array:
+        shaped.write.json(path)
+        return
+    lines = shaped.select("cluster_id", F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).coalesce(1).sortWithinPartitions("cluster_id").select("value")
+
+    def bracket(batches):
+        last = None
+        yield pa.RecordBatch.from_pydict({"value": ["["]})
+        for b in batches:
+            for value in b.column(0).to_pylist():
+                if last is not None:
+                    yield pa.RecordBatch.from_pydict({"value": [last + ","]})
+                last = value
+        yield pa.RecordBatch.from_pydict({"value": [*([last] if last is not None else []), "]"]})
+
+    lines.mapInArrow(bracket, "value string").write.text(path)
 
 
 def read_clusters(spark: SparkSession, path: str, one_array: bool = False) -> DataFrame:
