@@ -247,8 +247,13 @@ def _verify(shared, kind: type, cosine: float):
         many = len(index.books[0]) * len(index.books[1]) > 1
         # the cells that queries come from, and whether each member visits them
         home, own = np.unique(index.cells(x[q])[:, 0], return_inverse=True) if many else (np.full(1, cell), np.zeros(len(q), np.int64))
-        visited = np.concatenate([np.zeros((0, len(home)), bool), *((index.cells(x[m[s : s + 512]])[:, :, None] == home).any(1) for s in range(0, len(m), 512))]) if many else np.ones((len(m), 1), bool)
-        total, label = np.zeros(len(head), np.int64), np.arange(len(head))
+        visited = np.full((len(m), len(home)), not many)
+        for s in range(0, len(m) if many else 0, 1024):
+            cells = index.cells(x[m[s : s + 1024]])
+            k = np.minimum(np.searchsorted(home, cells), max(len(home) - 1, 0))
+            row, column = np.nonzero(home[k] == cells) if len(home) else (k[:0, 0], k[:0, 0])
+            visited[s + row, k[row, column]] = True
+        total = np.zeros(len(head), np.int64)
         name, first = np.unique(head, return_inverse=True)
         pairs = []
         for s in range(0, len(q), 512):
