@@ -312,6 +312,40 @@ def test_commands(spark, tmp_path, capsys, one_array):
     assert {r["record_id"] for c in found for r in c["records"]} == {line["record_id"] for line in lines}
 
 
+def test_protobuf_bytes():
+    from waymark.sources import protobuf
+
+    assert protobuf.varint(300) == b"\xac\x02"
+    cluster = {"cluster_id": "c", "centroid_vehicle_feature": [1.0], "centroid_license_plate_feature": None, "centroid_license_plate_text": None, "node_path": [1, 300], "records": [{"record_id": "r", "vehicle_id": None, "camera_id": 7, "time": -2}]}
+    raw = bytes.fromhex("0a0163" "12040000803f" "2a0301ac02" "3209" "0a0172" "1001" "1807" "2003")
+    assert protobuf.write_cluster(cluster) == raw
+    assert protobuf.write_envelope("x", True, None) == bytes.fromhex("0a0178" "1001" "1801")
+    assert protobuf.read_cluster(memoryview(raw)) == cluster
+    # numbers that are not packed, an unknown field of each kind, and the last of two contents
+    odd = bytes.fromhex("2801" "28ac02" "7801" "7a0161" "7d00000000" "790000000000000000")
+    assert protobuf.read_cluster(memoryview(odd))["node_path"] == [1, 300]
+    assert protobuf.read_envelope(bytes.fromhex("1801" "2203" "0a0163"))[2:][1]["cluster_id"] == "c"
+    with pytest.raises(ValueError, match="ends"):
+        list(protobuf.fields(memoryview(b"\x0a\x05a")))
+
+
+def test_protobuf_round_trip(spark):
+    from waymark.sources import protobuf
+
+    data = [
+        ("c1", [1.5, -2.0], [0.25], "粤B", [1, 2**40], [("r1", 5, 1, 10), ("r2", None, 2, -3)]), ("c2", [1.0], None, None, [3, 4], []),
+        ("c3", None, None, "", [9], [("r3", None, 1, 1)]),
+    ]
+    clusters = spark.createDataFrame(data, protobuf.CLUSTER)
+    got = protobuf.from_messages(protobuf.to_messages(clusters, F.lit("0-1"), F.lit(True))).collect()
+    assert sorted((r["region_id"], r["is_auxiliary"], r["done"], r["cluster_id"]) for r in got if not r["done"]) == [("0-1", True, False, "c1"), ("0-1", True, False, "c2")]
+    assert [(r["cluster_id"], r["records"]) for r in got if r["done"]] == [(None, None)]
+    back = {r["cluster_id"]: r for r in got}
+    for row in data[:2]:
+        r = back[row[0]]
+        assert (r["centroid_vehicle_feature"], r["centroid_license_plate_feature"], r["centroid_license_plate_text"], r["node_path"], [tuple(x) for x in r["records"]]) == row[1:]
+
+
 def test_map_document_of_some_nodes(spark, tmp_path):
     (tmp_path / "map.json").write_text('[{"id": 1, "type": "node", "xy": [1.0, 2.0]}, {"id": 2, "type": "node", "xy": [3.0, 4.0]}, {"id": 3, "type": "way"}]')
     ids = spark.createDataFrame([(2,), (2,), (3,)], "node_id long")

@@ -115,8 +115,10 @@ def expand_auxiliary(edges: DataFrame, aux_nodes: DataFrame, cameras: DataFrame,
 def nearest(points: DataFrame, sites: DataFrame, cell: float) -> DataFrame:
     """``(point_id, site_id, distance)``: the nearest site (site_id, x, y) of each point (point_id, x, y), ties to the smaller id.
 
-    Sites are hashed into square cells; a point looks into the cells around its
-    own, ring by ring, until no farther cell can hold a nearer site.
+    Sites are hashed into square cells; a point looks into its own cell and the eight
+    around it. Points that can't be sure of their nearest site then go on with cells
+    of twice the width, so a far point asks nine cells a round, and rounds grow with
+    the logarithm of its distance.
     """
     grid = materialize(sites.select("site_id", F.col("x").alias("sx"), F.col("y").alias("sy"), F.floor(F.col("x") / cell).alias("cx"), F.floor(F.col("y") / cell).alias("cy")), "sites")
     left = materialize(points.select("point_id", "x", "y", F.floor(F.col("x") / cell).alias("px"), F.floor(F.col("y") / cell).alias("py")), "points")
@@ -125,9 +127,11 @@ def nearest(points: DataFrame, sites: DataFrame, cell: float) -> DataFrame:
     if span[0] is None:
         return left.select("point_id", F.lit(None).cast("long").alias("site_id"), F.lit(None).cast("double").alias("distance")).limit(0)
     while not left.isEmpty():
-        around = left.withColumn("cx", F.explode(F.sequence(F.col("px") - ring, F.col("px") + ring))).withColumn("cy", F.explode(F.sequence(F.col("py") - ring, F.col("py") + ring)))
+        wide = lambda c: F.floor(F.col(c) / ring)  # noqa: B023, E731
+        beside = lambda c: F.explode(F.sequence(wide(c) - 1, wide(c) + 1))  # noqa: B023, E731
+        around = left.withColumn("cx", beside("px")).withColumn("cy", beside("py"))
         d = F.sqrt(F.pow(F.col("x") - F.col("sx"), F.lit(2)) + F.pow(F.col("y") - F.col("sy"), F.lit(2)))
-        hit = around.join(grid, ["cx", "cy"]).withColumn("d", d).groupBy("point_id").agg(F.min(F.struct("d", "site_id")).alias("m"))
+        hit = around.join(grid.withColumn("cx", wide("cx")).withColumn("cy", wide("cy")), ["cx", "cy"]).withColumn("d", d).groupBy("point_id").agg(F.min(F.struct("d", "site_id")).alias("m"))
         hit = materialize(hit.where(F.col("m.d") <= ring * cell).select("point_id", F.col("m.site_id").alias("site_id"), F.col("m.d").alias("distance")), "nearest")
         best = hit if best is None else best.union(hit)
         left = materialize(left.join(hit, "point_id", "left_anti"), "points")

@@ -125,6 +125,17 @@ def knn_two_modality_union(spark: SparkSession, sf: str) -> DataFrame:
     return knn.candidates(e, 5, ("vehicle", "plate"))
 
 
+def _sql_near(a: int, b: int, k: int) -> str:
+    return _sql_half(a, b, k).replace("SELECT id, candidate FROM (SELECT", "SELECT aux, id AS cluster_id, candidate AS other FROM (SELECT a.label::VARCHAR AS aux,").replace("FROM emb a, emb b)", "FROM emb a JOIN emb b ON a.label = b.label)")
+
+
+@query(f"WITH {SQL_UNIT} {_sql_near(1, 32, 4)} UNION {_sql_near(33, 64, 4)}")
+def rough_search(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("cluster_id"), F.col("label").cast("string").alias("aux"), F.slice("embedding", 1, 32).alias("centroid_vehicle"), F.slice("embedding", 33, 32).alias("centroid_plate"))
+    side = e.select("aux", F.col("aux").alias("main"), "cluster_id")
+    return merging.rough_search(side, side.withColumnRenamed("cluster_id", "other"), e.drop("aux"), 4).select("aux", "cluster_id", "other")
+
+
 @query(f"WITH {SQL_UNIT} SELECT a.vec_id AS a, b.vec_id AS b, round({SQL_COS}, 6) AS similarity FROM emb a, emb b WHERE a.vec_id < b.vec_id AND {SQL_COS} > 0.3")
 def cosine_pairs_threshold(spark: SparkSession, sf: str) -> DataFrame:
     pairs = knn.similar_pairs(table(spark, sf, "embeddings"), 0.3, id_col="vec_id", vec="embedding")
@@ -408,6 +419,42 @@ def stlc(spark: SparkSession, sf: str) -> DataFrame:
     return evaluation.stlc(pairs, p, p).select("pair_id", r6("stlc").alias("stlc"))
 
 
+@query(f"""WITH RECURSIVE {SQL_CLUSTERS}, {SQL_NATIONS}, hit AS (SELECT vehicle_id, cluster_id, count(*) AS n FROM mem GROUP BY 1, 2),
+ bst AS (SELECT vehicle_id AS id, cluster_id FROM (SELECT *, row_number() OVER (PARTITION BY vehicle_id ORDER BY n DESC, cluster_id) AS k FROM hit) WHERE k = 1),
+ a AS (SELECT id, record_id AS k, x, y, time AS t FROM bst JOIN mem USING (cluster_id) JOIN node ON camera_id = node_id), b AS (SELECT vehicle_id AS id, record_id AS k, x, y, time AS t FROM rec JOIN node ON camera_id = node_id),
+ f AS ({SQL_STLC_SIDE.format(a='a', b='b')}), g AS ({SQL_STLC_SIDE.format(a='b', b='a')}),
+ pa AS (SELECT id, list((x, y) ORDER BY t, k) AS a FROM a GROUP BY 1), pb AS (SELECT id, list((x, y) ORDER BY t, k) AS b FROM b GROUP BY 1), pr AS (SELECT * FROM pa JOIN pb USING (id) WHERE len(a) > 1 AND len(b) > 1),
+ dp AS (SELECT id, a, b, 0 AS i, list_transform(range(0, len(b) + 1), lambda j: 0) AS r, list_transform(range(0, len(b) + 1), lambda j: j::INT) AS d FROM pr UNION ALL
+  SELECT id, a, b, i + 1,
+   list_reduce(range(1, len(b) + 1), lambda acc, j: list_append(acc, CASE WHEN sqrt(pow(a[i + 1][1] - b[j][1], 2) + pow(a[i + 1][2] - b[j][2], 2)) <= 1.0 THEN r[j] + 1 ELSE greatest(r[j + 1], acc[-1]) END), [0]),
+   list_reduce(range(1, len(b) + 1), lambda acc, j: list_append(acc, least(d[j] + CASE WHEN sqrt(pow(a[i + 1][1] - b[j][1], 2) + pow(a[i + 1][2] - b[j][2], 2)) <= 1.0 THEN 0 ELSE 1 END, d[j + 1] + 1, acc[-1] + 1)), [d[1] + 1])
+  FROM dp WHERE i < len(a))
+ SELECT round(avg(1 - r[-1] / least(len(a), len(b))), 6) AS lcss, round(avg(d[-1] / greatest(len(a), len(b))), 6) AS edr,
+  round((SELECT avg(1 - (0.8 * (f.s + g.s) + 0.2 * (f.t + g.t)) / 2) FROM f JOIN g USING (id)), 6) AS stlc FROM dp WHERE i = len(a)""")
+def trajectory_eval(spark: SparkSession, sf: str) -> DataFrame:
+    """Clusters of a made-up clustering against each vehicle's own records as its true cluster, with paths from node to node."""
+    columns = ("cluster_id", "record_id", F.col("camera_id").alias("node_id"), F.col("time").cast("double").alias("time"))
+    of = members(spark, sf).select(*columns)
+    true = records(spark, sf).withColumn("cluster_id", F.col("vehicle_id").cast("string")).select(*columns)
+    path = F.transform(F.sort_array(F.collect_list(F.struct("time", "record_id", "node_id"))), lambda r: r["node_id"]).alias("node_path")
+    r = records(spark, sf)
+    out = evaluation.trajectories_against_clusters(of, of.groupBy("cluster_id").agg(path), true, true.groupBy("cluster_id").agg(path), r.select("vehicle_id"), r.select("record_id", "vehicle_id"), nations(spark, sf), 0.8, 1.0)
+    return out.select(*(r6(c).alias(c) for c in ("lcss", "edr", "stlc")))
+
+
+@query()
+def match_points(spark: SparkSession, sf: str) -> DataFrame:
+    """Each vehicle's records as points beside its cameras, matched to the roads between neighbours on the grid."""
+    n = nations(spark, sf)
+    off = lambda c: (F.col(c) + (F.col("record_id") % 7 - 3) * 0.05).alias(c)
+    j = records(spark, sf).join(n, F.col("camera_id") == F.col("node_id"))
+    traces = j.select("vehicle_id", "time", "record_id", off("x"), off("y")).groupBy("vehicle_id").agg(trajectories.trace(F.col("time"), F.col("record_id"), F.col("x"), F.col("y")).alias("trace"))
+    m = n.select(F.col("node_id").alias("v"), F.col("x").alias("vx"), F.col("y").alias("vy"))
+    step = [m.join(n.select(F.col("node_id").alias("u"), (F.col("x") + dx).alias("vx"), (F.col("y") + dy).alias("vy")), ["vx", "vy"]) for dx, dy in ((0, 1), (1, 0), (0, -1), (-1, 0))]
+    edges = step[0].union(step[1]).union(step[2]).union(step[3]).select("u", "v", F.lit(1.0).alias("length"))
+    return mapmatching.match_points(traces, edges, n, distance=0.3, share=0.9).select("vehicle_id", F.size("trace").alias("n"), "node_path")
+
+
 # --- graph and regions ---
 
 
@@ -447,15 +494,15 @@ def overlap_clusters(spark: SparkSession, sf: str) -> DataFrame:
     return merging.overlapping(m, graph.auxiliary_regions(graph.border_edges(ring(spark, sf), nations(spark, sf))))
 
 
-SQL_SCORES = f"""{SQL_RECORDS}, l AS (SELECT vehicle_id % 40 AS left_id, record_id FROM rec WHERE vehicle_id % 7 < 5), r AS (SELECT time // 86400 % 1000 * 1000 + vehicle_id % 40 AS right_id, record_id FROM rec WHERE vehicle_id % 7 > 1),
+SQL_SCORES = f"""{SQL_RECORDS}, l AS (SELECT vehicle_id % 40 AS left_id, record_id FROM rec), r AS (SELECT time // 86400 % 1000 * 1000 + vehicle_id % 40 AS right_id, record_id FROM rec),
  c AS (SELECT left_id, right_id, count(*) AS common FROM l JOIN r USING (record_id) GROUP BY 1, 2), na AS (SELECT left_id, count(*) AS na FROM l GROUP BY 1), nb AS (SELECT right_id, count(*) AS nb FROM r GROUP BY 1),
  sc AS (SELECT left_id, right_id, common, na + nb - 2 * common AS apart, pow(0.8, na + nb - 2 * common) / (1 + exp(-common::DOUBLE)) AS score FROM c JOIN na USING (left_id) JOIN nb USING (right_id))"""
 
 
 def _scores(spark: SparkSession, sf: str) -> DataFrame:
     r = records(spark, sf)
-    left = r.where("vehicle_id % 7 < 5").select((F.col("vehicle_id") % 40).alias("cluster_id"), "record_id")
-    right = r.where("vehicle_id % 7 > 1").select((F.floor(F.col("time") / 86400) % 1000 * 1000 + F.col("vehicle_id") % 40).alias("cluster_id"), "record_id")
+    left = r.select((F.col("vehicle_id") % 40).alias("cluster_id"), "record_id")
+    right = r.select((F.floor(F.col("time") / 86400) % 1000 * 1000 + F.col("vehicle_id") % 40).alias("cluster_id"), "record_id")
     return merging.overlap_scores(left, right)
 
 
