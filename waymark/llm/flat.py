@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import mmap
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,11 +29,24 @@ _Q = 0xD6E8FEB86659FD93
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
+#: Memory that a worker may hold on to between pieces of work; taking it anew from the system costs time.
+KEPT_BYTES = 450 << 20
+
+
+def _resident() -> int:
+    try:
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * mmap.PAGESIZE
+    except OSError:
+        return KEPT_BYTES + 1
+
+
 def give_back() -> None:
-    """Return freed memory to the system: Python workers live on between tasks, beside the executor's heap."""
-    pa.default_memory_pool().release_unused()
-    if _trim is not None:
-        _trim(0)
+    """Return freed memory to the system if it is much: Python workers live on between tasks, beside the executor's heap."""
+    if _resident() > KEPT_BYTES:
+        pa.default_memory_pool().release_unused()
+        if _trim is not None:
+            _trim(0)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
