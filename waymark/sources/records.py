@@ -102,6 +102,9 @@ def write_clusters(clusters: DataFrame, path: str, one_array: bool = False) -> N
     if not one_array:
         shaped.write.json(path)
         return
+    if shaped.isEmpty():
+        shaped.sparkSession.sql("SELECT '[]' AS value").write.text(path)
+        return
     lines = shaped.select("cluster_id", F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).coalesce(1).sortWithinPartitions("cluster_id").select("value")
 
     def bracket(batches):
