@@ -43,12 +43,16 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 class Written:
-    """A DataFrame written to the shared folder and read back."""
+    """A DataFrame written to the shared folder and read back.
 
-    def __init__(self, df: DataFrame, name: str) -> None:
+    Sizes of files decide on broadcasts, so they are compressed as usual, unless a
+    table is known not to be joined.
+    """
+
+    def __init__(self, df: DataFrame, name: str, compression: str = "snappy") -> None:
         self.spark = df.sparkSession
         self.path = scratch_path(self.spark, name)
-        df.write.option("compression", "zstd").parquet(self.path)
+        df.write.option("compression", compression).parquet(self.path)
         # what a result still reads stays until the driver ends, and no longer
         fs, at = _at(self.spark, self.path)
         fs.deleteOnExit(at)
@@ -58,9 +62,9 @@ class Written:
         remove(self.spark, self.path)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """``df``, computed once and read from the shared folder from then on."""
-    return Written(df, name).df
+    return Written(df, name, compression).df
 
 
 def release(spark: SparkSession) -> None:
