@@ -523,7 +523,7 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     n, blocks = deal_counts(rows)
     dealt = bucketed(rows, n)
     sent = dealt.groupBy("_bucket").applyInArrow(_send(1, blocks, 0), MESSAGE)
-    first = materialize(sent.groupBy("block").applyInArrow(_answer, ANSWER), "answers")
+    first = materialize(sent.groupBy("block").applyInArrow(_answer, ANSWER), "answers", "zstd")
     # the messages are answered: their shuffle need not be kept beside the next
     release(spark)
     vocabulary = first.where("_bucket IS NULL")
@@ -533,7 +533,7 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     answers = first.where("_bucket IS NOT NULL").select(F.lit(1).alias("round"), "_bucket", "block", "counts", "key_counts", "degrees")
     for r in range(2, WORDS + 2):
         sent = dealt.groupBy("_bucket").cogroup(answers.groupBy("_bucket")).applyInArrow(_send(r, blocks, total), MESSAGE)
-        more = materialize(sent.groupBy("block").applyInArrow(_answer, ANSWER), "answers")
+        more = materialize(sent.groupBy("block").applyInArrow(_answer, ANSWER), "answers", "zstd")
         release(spark)
         answers = answers.unionByName(more.where("_bucket IS NOT NULL").select(F.lit(r).alias("round"), "_bucket", "block", "counts", "key_counts", "degrees"))
     return dealt.groupBy("_bucket").cogroup(answers.groupBy("_bucket")).applyInArrow(_score(tree, total, known), SCORES)
