@@ -40,8 +40,12 @@ def rows(df):
 
 def check_plan(lengths, demand, capacity):
     plan = packing.solve(lengths, demand, capacity)
-    assert (sum(c * n for c, n in plan.configurations) == demand).all()
-    assert all((c * lengths).sum() <= capacity for c, _ in plan.configurations)
+    covered = np.zeros(len(lengths), np.int64)
+    for at, copies, n in plan.configurations:
+        assert (lengths[at] * copies).sum() <= capacity
+        assert copies.min() > 0 < n
+        covered[at] += copies * n
+    assert (covered == demand).all()
     assert plan.bound <= plan.sequences <= plan.bound + len(plan.configurations)
     return plan
 

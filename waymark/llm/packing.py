@@ -46,11 +46,15 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _GOLDEN, _PLASTIC = 0.6180339887498949, 0.7548776662466927
 
 
+#: Places of the lengths in a sequence, the copies of each, and how many sequences are filled like that.
+Configuration = tuple[np.ndarray, np.ndarray, int]
+
+
 @dataclass
 class Plan:
-    """Configurations (copies by length) and how often each is used, which cover the demand exactly."""
+    """Configurations that cover the demand exactly."""
 
-    configurations: list[tuple[np.ndarray, int]]
+    configurations: list[Configuration]
     #: Share of the tokens that configurations of the linear program place; best fit places the others.
     share: float
     #: What the dual program shows that any packing needs.
@@ -58,7 +62,7 @@ class Plan:
 
     @property
     def sequences(self) -> int:
-        return sum(n for _, n in self.configurations)
+        return sum(n for _, _, n in self.configurations)
 
     @property
     def gap(self) -> float:
@@ -111,7 +115,7 @@ def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> Plan:
     if not len(lengths):
         return Plan([], 0.0, 0)
     share, left, total = lengths / capacity, demand.copy(), int((demand * lengths).sum())
-    out: list[tuple[np.ndarray, int]] = []
+    out: list[Configuration] = []
     weights, rounds = np.zeros(len(lengths)), 0
     while (behind := (left * lengths).sum() / total) >= REST:
         at = np.flatnonzero(left)
@@ -122,19 +126,18 @@ def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> Plan:
             spread = (at * _GOLDEN + rounds * _PLASTIC) % 1
             least = np.lexsort((spread, -np.round(8 * need[at])))[: PRICED // 2]
             at = np.unique(np.r_[at[least], at[np.argsort(spread)[: PRICED // 2]]])
-        copies = np.zeros(len(lengths), np.int64)
-        _, copies[at] = best_configuration(lengths[at], weight[at], left[at], capacity)
-        has = copies > 0
-        times = (int((left[has] // copies[has]).min()) + 1) // 2
-        left = left - copies * times
-        out.append((copies, times))
+        _, copies = best_configuration(lengths[at], weight[at], left[at], capacity)
+        at, copies = at[copies > 0], copies[copies > 0]
+        times = (int((left[at] // copies).min()) + 1) // 2
+        left[at] -= copies * times
+        out.append((at, copies, times))
     # any weights are a dual solution once divided by the most that one sequence can hold of them
     bound = max(float((y * demand).sum()) / best_configuration(lengths, y, demand, capacity, told=False)[0] for y in (share, weights / max(rounds, 1)) if y.any())
     placed = 1 - float((left * lengths).sum()) / total
     return Plan(out + best_fit(lengths, left, capacity), placed, math.ceil(bound - 1e-6))
 
 
-def best_fit(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
+def best_fit(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> list[Configuration]:
     """Best fit decreasing over counts: sequences of equal content are handled together."""
     room: dict[int, dict[tuple, int]] = {}
     for j in range(len(lengths) - 1, -1, -1):
@@ -164,21 +167,21 @@ def best_fit(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> list[tup
     out = []
     for held in room.values():
         for content, times in held.items():
-            copies = np.zeros(len(lengths), np.int64)
+            copies: dict[int, int] = {}
             for j, k in content:
-                copies[j] += k
-            out.append((copies, times))
+                copies[j] = copies.get(j, 0) + k
+            out.append((np.array(sorted(copies)), np.array([copies[j] for j in sorted(copies)]), times))
     return out
 
 
-def places(lengths: np.ndarray, plan: list[tuple[np.ndarray, int]]) -> dict[str, np.ndarray]:
+def places(lengths: np.ndarray, plan: list[Configuration]) -> dict[str, np.ndarray]:
     """For each length and configuration: the first rank it serves, and where those ranks go."""
     rows, base = [], 0
-    for copies, times in plan:
+    for at, copies, times in plan:
         offset = 0
-        for j in np.flatnonzero(copies)[::-1]:
-            rows.append((int(lengths[j]), int(copies[j]), times, base, offset))
-            offset += int(copies[j]) * int(lengths[j])
+        for size, n in zip(lengths[at[::-1]].tolist(), copies[::-1].tolist(), strict=True):
+            rows.append((size, n, times, base, offset))
+            offset += n * size
         base += times
     rows.sort(key=lambda r: (r[0], r[3], r[4]))
     t = np.array(rows, np.int64).reshape(-1, 5)
