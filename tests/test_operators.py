@@ -234,6 +234,98 @@ def test_trajectory_evaluation(spark):
     assert tuple(none) == (None, None, None)
 
 
+def _shuffled(spark) -> int:
+    """Rows that all stages so far have shuffled."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_trajectory_shared_by_many_vehicles(spark, monkeypatch):
+    """A long cluster that is the best of many vehicles goes to each part once, not to each vehicle; parts give what plain loops give."""
+    vehicles, long, short = 200, 3000, 5
+    rng = np.random.default_rng(7)
+    nodes = {i: (float(i % 3), float(i // 3)) for i in range(9)}
+    places = spark.createDataFrame([(i, *xy) for i, xy in nodes.items()], "node_id long, x double, y double")
+    kind = "cluster_id long, record_id long, node_id long, time double"
+    own = [(-1, k, int(rng.integers(9)), float(rng.integers(40_000))) for k in range(long)]
+    true = [(k % vehicles, k, own[k][2], own[k][3]) for k in range(vehicles * short)]
+    truth = spark.createDataFrame([(k, v) for v, k, _, _ in true], "record_id long, vehicle_id long")
+
+    def paths(members):
+        by = {}
+        for c, k, n, t in sorted(members, key=lambda m: (m[3], m[1])):
+            by.setdefault(c, []).append(n)
+        return by
+
+    def table(by):
+        return spark.createDataFrame(list(by.items()), "cluster_id long, node_path array<long>")
+
+    of = lambda v: ([nodes[n] for n in paths(true)[v]], [(*nodes[n], t) for c, _, n, t in true if c == v])
+    whole, points = [nodes[n] for n in paths(own)[-1]], [(*nodes[n], t) for _, _, n, t in own]
+    expected = []
+    for v in range(vehicles):
+        path, records = of(v)
+        common, edits = [0] * (short + 1), list(range(short + 1))
+        for i, p in enumerate(whole, 1):
+            near = [math.dist(p, q) <= 0.5 for q in path]
+            c, e = [0], [i]
+            for j in range(short):
+                c.append(common[j] + 1 if near[j] else max(common[j + 1], c[j]))
+                e.append(min(edits[j] + (not near[j]), edits[j + 1] + 1, e[j] + 1))
+            common, edits = c, e
+        a, b = np.array(points), np.array(records)
+        space = np.hypot(*(a[:, None, :2] - b[:, :2]).transpose(2, 0, 1))
+        time = np.abs(a[:, None, 2] - b[:, 2])
+        mean = lambda d: np.exp(-d.min(1)).mean() + np.exp(-d.min(0)).mean()
+        expected.append((1 - common[-1] / short, edits[-1] / long, 1 - (0.8 * mean(space) + 0.2 * mean(time)) / 2))
+    args = spark.createDataFrame(own, kind), table(paths(own)), spark.createDataFrame(true, kind), table(paths(true)), truth.select("vehicle_id"), truth, places, 0.8, 0.5
+    # joins as of large tables
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    before = _shuffled(spark)
+    try:
+        got = evaluation.trajectories_against_clusters(*args).first()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert tuple(got) == pytest.approx(np.mean(expected, axis=0))
+    assert _shuffled(spark) - before < vehicles * long / 4
+    monkeypatch.setattr(evaluation, "PAIRS", 30)
+    assert tuple(evaluation.trajectories_against_clusters(*args).first()) == pytest.approx(tuple(got))
+
+
+def test_path_bits_equal_a_table(monkeypatch):
+    from waymark.functions import trajectories
+
+    rng = np.random.default_rng(5)
+    n = np.r_[0, 1, rng.integers(2, 9, 5), 63, 64, 65, 127, 128, 129, 200]
+    px, py = rng.integers(0, 3, (2, n.sum())).astype(float)
+    px[::17] = np.nan
+    ends = np.cumsum(n)
+    for cells, most in ((1 << 22, 512), (300, 512), (1 << 22, 70)):
+        monkeypatch.setattr(trajectories, "CELLS", cells)
+        monkeypatch.setattr(trajectories, "MOST_BITS", most)
+        for long in (0, 1, 5, 150):
+            x, y = rng.integers(0, 3, (2, long)).astype(float)
+            lcss, edr = trajectories.against_one(x, y, (n, px, py), 1.0)
+            for i, m in enumerate(n.tolist()):
+                sides = (np.array([long]), x, y), (n[i : i + 1], px[ends[i] - m : ends[i]], py[ends[i] - m : ends[i]])
+                common, edits = (trajectories._fill(*sides, 1.0, k)[0] for k in ("lcss", "edr"))
+                expected = (1 - common / min(m, long), edits / max(m, long)) if min(m, long) else (math.nan, math.nan)
+                assert (lcss[i], edr[i]) == pytest.approx(expected, nan_ok=True, abs=0)
+
+
+@pytest.mark.parametrize("sizes", [(0, 3), (3, 0), (4, 300), (300, 4), (50, 50)])
+def test_similarity_in_time(sizes):
+    from waymark.functions.trajectories import similarity_in_time
+
+    rng = np.random.default_rng(6)
+    for spread in (3, 300, 30_000):
+        a, b = (np.sort(rng.integers(0, spread, k)).astype(float) for k in sizes)
+        plain = np.exp(-np.abs(a[:, None] - b).min(1)).sum() if all(sizes) else 0.0
+        assert similarity_in_time(a, b) == pytest.approx(plain, abs=1e-300)
+
+
 def test_match_points(spark):
     """A street with a detour: points off the network pull the path onto the detour, noise does not."""
     places = {0: (0, 0), 1: (100, 0), 2: (200, 0), 3: (100, 80), 4: (300, 0), 9: (900, 900)}
