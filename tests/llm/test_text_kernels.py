@@ -174,3 +174,35 @@ def test_empty_token_file(tmp_path):
     path = f"file://{tmp_path}/x.planes"
     tokenfile.Writer(path).close()
     assert list(tokenfile.Reader(path).documents()) == []
+
+
+@pytest.mark.parametrize("kind", ["hashes", "keys", "one", "none", "equal upper bits"])
+def test_unique_equals_numpy(kind):
+    h = np.random.default_rng(8).integers(0, 2**64, 300, dtype=np.uint64)
+    h = np.r_[h, h[::3], h[:7]]
+    h = {"hashes": h, "keys": h & np.uint64((1 << 40) - 1), "one": h[:1], "none": h[:0], "equal upper bits": h & np.uint64(15) | np.uint64(1 << 63)}[kind]
+    for got, expected in zip(flat.unique(h, first=True), (np.unique(h), *np.unique(h, return_inverse=True, return_index=True)[:0:-1]), strict=True):
+        assert np.array_equal(got, expected)
+    assert len(flat.unique(h)) == 2
+
+
+def test_spellings_tell_words_apart():
+    """Equal words of any length have equal hashes wherever they stand, others do not, those that differ in one byte or in length included."""
+    rng = np.random.default_rng(9)
+    words = [bytes(rng.integers(0, 3, n).astype(np.uint8)) for n in [*range(1, 20), 63, 64, 65, 72, 73, 200, 5000] for _ in range(4)]
+    words += [w[:k] + b"\x07" + w[k + 1 :] for w in words[-20:] for k in (0, 7, 8, len(w) - 1)] + [b"", b"\0", b"\0\0", b"\0" * 8, b"\0" * 9, b"\0" * 65]
+    every = words + words[::-1]
+    size = np.array([len(w) for w in every])
+    h = flat.spellings(np.frombuffer(b"".join(every), np.uint8), np.cumsum(size) - size, size)
+    assert len({*h.tolist()}) == len({*words})
+    assert len({*zip(every, h.tolist(), strict=True)}) == len({*words})
+
+
+def test_words_join_no_rows():
+    for texts in (["ab", "cd", "", " e", "f "], ["", ""], [" "], [], ["a"], ["A b\x08\x0e\x0b", "\t", "x"]):
+        raw, off = flat.buffers(pa.array(texts, pa.string()))
+        w = flat.words(raw, off, lower=True)
+        got = [(r, bytes(w.data[s:e]).decode()) for r, s, e in zip(w.row.tolist(), w.start.tolist(), w.end.tolist(), strict=True)]
+        expected = [(i, x) for i, t in enumerate(texts) for x in re.findall(r"[^\x20\x09-\x0D]+", t.lower())]
+        assert got == expected
+        assert np.array_equal(w.first, np.searchsorted(w.row, np.arange(len(texts) + 1)))

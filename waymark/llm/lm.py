@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.llm.exchange import KEY_BYTES, binary, bucketed, cuts, deal_counts, keys, ordered, pack, read_keys, unpack_all
-from waymark.llm.flat import buffers, give_back, hashes, mix, ranges, words
+from waymark.llm.flat import buffers, give_back, ranges, spellings, unique, words
 from waymark.storage import Written, materialize, release
 
 #: Words of a context.
@@ -52,6 +52,8 @@ GRAIN = 64
 #: Weights of the suffix in a context of N uses: these shares of N, LEAST_WEIGHT at least.
 SHARES = (1 / 32, 1 / 2)
 LEAST_WEIGHT = 0.5
+#: Probabilities below 10 to this are kept as logarithms alone.
+LEAST_LOG = -200.0
 DEPTH = 6
 P_MIN = 4e-6
 #: Words whose spelling a worker remembers, at 16 bytes each.
@@ -65,7 +67,7 @@ MESSAGE = "block int, _bucket int, sizes binary, words binary, uses binary, keys
 #: Answers of equal order; rows without a bucket are the block's part of the vocabulary.
 ANSWER = "_bucket int, block int, counts binary, key_counts binary, degrees binary, sizes binary, words binary, n long, total long"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-_VOID = hashes(np.zeros(0, np.uint8), np.zeros(1, np.int64))
+_VOID = spellings(np.zeros(0, np.uint8), np.zeros(1, np.int64), np.zeros(1, np.int64))
 _A = np.uint64(0xA24BAED4963EE407)
 
 
@@ -84,11 +86,11 @@ class _Bucket:
 
     def __init__(self, table: pa.Table) -> None:
         self.table = ordered(table)
-        w = words(*buffers(self.table.column("text")), lower=True)
+        w = words(*buffers(self.table.column("text")), lower=True, hashed=False)
         self.train = self.table.column("_train").to_numpy().astype(bool)
         rows = len(self.train)
         self.n = np.diff(w.first)
-        self.hash = np.r_[_VOID, np.insert(w.hash, w.first[1:], _VOID[0])]
+        self.hash = np.r_[_VOID, np.insert(spellings(w.data, w.start, w.end - w.start), w.first[1:], _VOID[0])]
         self.row = np.r_[-1, np.insert(w.row, w.first[1:], np.arange(rows))]
         start = np.cumsum(self.n + 1) - self.n
         #: Words that the longest sequence ending at a place may have, the start counted.
@@ -100,10 +102,12 @@ class _Bucket:
         self.distinct: list[np.ndarray] = []
         self.which: list[np.ndarray] = []
         self.count: list[np.ndarray] = []
+        #: By depth, what ``examined`` has given.
+        self.seen: dict[int, np.ndarray] = {}
         self._ask(np.ones(len(self.hash), bool))
         # the bytes of the distinct words; the empty one has none
         self.data, word = w.data, np.full(len(self.distinct[0]), -1)
-        word[self.which[0][np.arange(len(w.hash)) + 1 + w.row]] = np.arange(len(w.hash))
+        word[self.which[0][np.arange(len(w.start)) + 1 + w.row]] = np.arange(len(w.start))
         self.begin = np.where(word >= 0, w.start[word] if len(w.start) else 0, 0)
         self.size = np.where(word >= 0, w.end[word] - w.start[word] if len(w.start) else 0, 0)
 
@@ -111,10 +115,12 @@ class _Bucket:
         n = len(self.distinct)
         if n:
             longer = np.zeros(len(self.hash), np.uint64)
-            longer[n:] = mix(self.sequence[-1][n:] * _A + self.hash[: len(self.hash) - n])
+            # words' hashes are mixed, so a polynomial of them needs no more
+            np.multiply(self.sequence[-1][n:], _A, out=longer[n:])
+            longer[n:] += self.hash[: len(self.hash) - n]
             self.sequence.append(longer)
         at = np.flatnonzero(places)
-        distinct, own = np.unique(self.sequence[-1][at], return_inverse=True)
+        distinct, own = unique(self.sequence[-1][at])
         which = np.full(len(self.hash), -1, np.int32)
         which[at] = own
         self.distinct.append(distinct)
@@ -127,7 +133,7 @@ class _Bucket:
 
     def told(self, counts: np.ndarray) -> None:
         known, which = np.r_[counts, 0], self.which[len(self.count)]
-        self.count.append(known[which])
+        self.count.append((known.astype(np.int32) if known.max() < 1 << 31 else known)[which])
 
     def uses(self, n: int) -> np.ndarray:
         """Uses of the distinct sequences of n words in training documents here."""
@@ -140,9 +146,11 @@ class _Bucket:
 
     def examined(self, depth: int) -> np.ndarray:
         """Places whose context of ``depth`` words is examined."""
-        n = self.before(self.count[depth - 1])
-        out = (self.reach > depth) & (n >= 2) & (self.row >= 0)
-        return out & (n != self.before(self.count[depth - 2])) if depth > 1 else out
+        if depth not in self.seen:
+            n = self.before(self.count[depth - 1])
+            out = (self.reach > depth) & (n >= 2) & (self.row >= 0)
+            self.seen[depth] = out & (n != self.before(self.count[depth - 2])) if depth > 1 else out
+        return self.seen[depth]
 
     def contexts(self, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The places where a context of ``depth`` is examined, the distinct contexts, and the number of each place's among them."""
@@ -257,7 +265,7 @@ def _read_sums(data: bytes) -> np.ndarray:
 
 def _total(key: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The sum of the values of each distinct key, and the key's number at each entry."""
-    distinct, which = np.unique(key, return_inverse=True)
+    distinct, which = unique(key)
     return np.bincount(which, weights=values, minlength=len(distinct)), which
 
 
@@ -273,11 +281,11 @@ def _answer(table: pa.Table) -> pa.Table:
 
     size, each = unpack_all(table.column("sizes"))
     data = np.frombuffer(b"".join(x or b"" for x in table.column("words").to_pylist()), np.uint8)
-    word = hashes(data, size)
-    total, which = _total(word, unpack_all(table.column("uses"))[0])
-    total = total.astype(np.int64)
+    word = spellings(data, np.cumsum(size) - size, size)
+    _, which, seen = unique(word, first=True)
+    total = np.bincount(which, weights=unpack_all(table.column("uses"))[0], minlength=len(seen)).astype(np.int64)
     out["counts"] = [pack(x) for x in split(total[which], each)]
-    seen = np.unique(which, return_index=True)[1][total > 0] if len(which) else np.zeros(0, np.int64)
+    seen = seen[total > 0]
     begin = (np.cumsum(size) - size)[seen]
     vocabulary = {"sizes": pack(size[seen]), "words": data[ranges(begin, size[seen])].tobytes(), "n": len(seen), "total": int(total.sum())}
 
@@ -289,8 +297,9 @@ def _answer(table: pa.Table) -> pa.Table:
     gains = np.concatenate([_read_sums(x or b"") for x in table.column("gains").to_pylist()], axis=1)
     context = read_keys(asked)
     best, degree = np.full(len(context), GRAIN * LEAST_GAIN), np.zeros(len(context), np.uint8)
+    distinct, which = unique(context)
     for k in range(len(SHARES)):
-        sums, which = _total(context, gains[k])
+        sums = np.bincount(which, weights=gains[k], minlength=len(distinct))
         better = sums[which] > best if len(context) else np.zeros(0, bool)
         best[better], degree[better] = sums[which][better], k + 1
     out["degrees"] = [x.tobytes() for x in split(degree, np.array([len(x) // KEY_BYTES for x in asked]))]
@@ -467,17 +476,27 @@ def _score(model, tokens: int, known: int):
         root[seen] = np.log10(count[seen] + k * 10.0 ** spelt[seen])
         root -= np.log10(tokens + k)
         # contexts that stay, from the shortest on: their shares, smoothed by what the shorter ones gave
-        logp = root[which]
+        logp, p = root[which], (10.0**root)[which]
+        # only logarithms hold what is very small, as a spelling of hundreds of bytes
+        small = logp < LEAST_LOG
+        touched = np.zeros(len(which), bool)
         for depth in range(1, WORDS + 1):
             at, _, own = b.asked(depth)
             degree = degrees[depth - 1][own]
             at, degree = at[degree > 0], degree[degree > 0]
             n, c = b.count[depth - 1][at - 1], b.count[depth][at]
             weight = weights(n, degree - 1)
-            lower = np.log10(weight) + logp[at]
-            both = c > 0
-            lower[both] = np.log10(c[both] + 10.0 ** lower[both])
-            logp[at] = lower - np.log10(n + weight)
+            p[at] = (c + weight * p[at]) / (n + weight)
+            touched[at] = True
+            some = small[at]
+            if some.any():
+                at, n, c, weight = at[some], n[some], c[some], weight[some]
+                lower = np.log10(weight) + logp[at]
+                both = c > 0
+                lower[both] = np.log10(c[both] + 10.0 ** lower[both])
+                logp[at] = lower - np.log10(n + weight)
+        touched &= ~small
+        logp[touched] = np.log10(p[touched])
         rows = len(b.train)
         row = b.row[1:]
         sums = [np.bincount(row, weights=v[1:], minlength=rows) for v in (base[which], logp)]
