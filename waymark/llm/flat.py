@@ -91,7 +91,8 @@ def unique(h: np.ndarray, first: bool = False) -> tuple[np.ndarray, ...]:
     order.sort()
     order &= (np.uint64(1) << bits) - np.uint64(1)
     order = order.view(np.int64)
-    value, new = h[order], np.ones(len(h), bool)
+    # ``take`` is faster than an index, and faster still where it need not check
+    value, new = h.take(order, mode="clip") if len(h) else h, np.ones(len(h), bool)
     np.not_equal(value[1:], value[:-1], out=new[1:])
     distinct = value[new]
     if cut and ((distinct[1:] ^ distinct[:-1]) >> cut == 0).any():
@@ -212,12 +213,12 @@ def spellings(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarr
     padded = np.zeros(len(data) + 8, np.uint8)
     padded[: len(data)] = data
     eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
-    out = mix((eight[start] & _FIRST[np.minimum(size, 8)]) + size.astype(np.uint64) * np.uint64(_Q))
+    out = mix((eight[start] & _FIRST.take(size, mode="clip")) + size.astype(np.uint64) * np.uint64(_Q))
     for k in range(8, MOST_EIGHTS, 8):
         at = np.flatnonzero(size > k)
         if not len(at):
             return out
-        out[at] = mix(out[at] * np.uint64(_P) + (eight[start[at] + k] & _FIRST[np.minimum(size[at] - k, 8)]))
+        out[at] = mix(out[at] * np.uint64(_P) + (eight[start[at] + k] & _FIRST.take(size[at] - k, mode="clip")))
     at = np.flatnonzero(size > MOST_EIGHTS)
     out[at] = mix(span_hashes(data, start[at], start[at] + size[at], _P, _BYTE) + size[at].astype(np.uint64))
     return out

@@ -91,12 +91,10 @@ class _Bucket:
         rows = len(self.train)
         self.n = np.diff(w.first)
         self.hash = np.r_[_VOID, np.insert(spellings(w.data, w.start, w.end - w.start), w.first[1:], _VOID[0])]
-        self.row = np.r_[-1, np.insert(w.row, w.first[1:], np.arange(rows))]
-        start = np.cumsum(self.n + 1) - self.n
+        self.row = np.r_[-1, np.repeat(np.arange(rows), self.n + 1)]
         #: Words that the longest sequence ending at a place may have, the start counted.
-        self.reach = np.arange(len(self.hash)) - (start[self.row] if rows else 0) + 2
-        self.reach[0] = 1
-        self.trained = np.r_[False, self.train[self.row[1:]]]
+        self.reach = np.r_[1, ranges(np.full(rows, 2), self.n + 1)]
+        self.trained = np.r_[False, np.repeat(self.train, self.n + 1)]
         self.sequence = [self.hash]
         #: By sequence length from 1: ascending distinct hashes, the number of each place's (-1: not asked), the corpus counts by place.
         self.distinct: list[np.ndarray] = []
@@ -107,7 +105,7 @@ class _Bucket:
         self._ask(np.ones(len(self.hash), bool))
         # the bytes of the distinct words; the empty one has none
         self.data, word = w.data, np.full(len(self.distinct[0]), -1)
-        word[self.which[0][np.arange(len(w.start)) + 1 + w.row]] = np.arange(len(w.start))
+        word[self.which[0].take(np.arange(len(w.start)) + 1 + w.row)] = np.arange(len(w.start))
         self.begin = np.where(word >= 0, w.start[word] if len(w.start) else 0, 0)
         self.size = np.where(word >= 0, w.end[word] - w.start[word] if len(w.start) else 0, 0)
 
@@ -133,7 +131,8 @@ class _Bucket:
 
     def told(self, counts: np.ndarray) -> None:
         known, which = np.r_[counts, 0], self.which[len(self.count)]
-        self.count.append((known.astype(np.int32) if known.max() < 1 << 31 else known)[which])
+        # places that were not asked take the last, 0
+        self.count.append((known.astype(np.int32) if known.max() < 1 << 31 else known).take(which, mode="wrap"))
 
     def uses(self, n: int) -> np.ndarray:
         """Uses of the distinct sequences of n words in training documents here."""
