@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from waymark.operators import aggregates, clustering, datasets, evaluation, graph, knn, mapmatching, merging
+from waymark.operators import aggregates, clustering, components, datasets, evaluation, graph, knn, mapmatching, merging
 from waymark.operators.components import connected_components
 from waymark.sources import records as sources
 from waymark.sources import wire
@@ -31,6 +31,29 @@ def test_components_of_a_long_chain_and_a_star(spark):
     assert rows(of) == [(0, 201), (5000, 300)]
 
 
+def test_rounds_of_a_small_graph_are_not_spread_over_all_partitions(spark, monkeypatch):
+    files = []
+
+    class Counted(components.Written):
+        def __init__(self, df, name):
+            super().__init__(df, name)
+            files.append(len(self.df.inputFiles()))
+
+    monkeypatch.setattr(components, "Written", Counted)
+    held = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        chain = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+        assert {r[1] for r in rows(connected_components(chain, "a", "b"))} == {0}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    # the first two are the edges as they come and the self loops
+    assert files[2:] and set(files[2:]) == {1}
+
+
 def test_knn_includes_self_and_breaks_ties(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 1.0]), (4, [0.0, 0.0]), (5, None)], "id long, feature array<double>")
     got = rows(knn.knn_join(v, v, 2).select("id", "neighbor", "rank"))
