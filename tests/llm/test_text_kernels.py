@@ -3,6 +3,7 @@
 import random
 import re
 import time
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -13,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from waymark.llm import flat, tokenfile, vocab
+from waymark.llm import exchange, flat, substring, tokenfile, vocab
 from waymark.llm.sentencepiece import PieceModel, read_model
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -206,3 +207,28 @@ def test_words_join_no_rows():
         expected = [(i, x) for i, t in enumerate(texts) for x in re.findall(r"[^\x20\x09-\x0D]+", t.lower())]
         assert got == expected
         assert np.array_equal(w.first, np.searchsorted(w.row, np.arange(len(texts) + 1)))
+
+
+@pytest.mark.parametrize("turn", [substring.TURN, 50])
+def test_index_unpacks_only_anchors_that_occur_twice(monkeypatch, turn):
+    """Messages of distinct anchors, but for some that each has: all of these look in the bucket with the smallest document."""
+    monkeypatch.setattr(substring, "TURN", turn)
+    rng, messages, n, common = np.random.default_rng(10), 30, 8000, 200
+    some = rng.permutation(np.unique(rng.integers(0, 2**40, common + messages * n + 99, dtype=np.uint64)))
+    shared, own = some[:common], some[common : common + messages * n].reshape(messages, n)
+    parts, where = [], []
+    for m in range(messages):
+        h = np.sort(np.r_[shared, own[m]])
+        sides = np.full((len(h), 8), 7, np.uint8)[:, : substring._SIDE].tobytes()
+        parts.append((exchange.keys(h).tobytes(), sides, sides, substring._planes(np.full(len(h), (m - 4) % messages))))
+        where.append(np.flatnonzero(np.isin(h, shared)))
+    table = pa.table([pa.array([3] * messages, pa.int32()), pa.array(range(100, 100 + messages), pa.int32()), *(exchange.binary([x[k] for x in parts]) for k in range(4))], names=["block", "_bucket", "anchors", "left", "right", "docs"])
+    tracemalloc.start()
+    got = substring._index(13)(table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * table.nbytes
+    assert got.column("_bucket").to_pylist() == table.column("_bucket").to_pylist()
+    for m, entries, targets in zip(range(messages), got.column("entries").to_pylist(), got.column("targets").to_pylist(), strict=True):
+        assert np.array_equal(np.frombuffer(entries, "<i4"), where[m])
+        assert {*np.frombuffer(targets, "<i4").tolist()} == {-1 if m == 4 else 104}

@@ -40,6 +40,8 @@ WINDOW = 13
 #: Words of a window beside its anchor, at most; 12 bits of each word on either side travel with an anchor.
 SPREAD = 4
 CHUNK_BYTES = 8 << 20
+#: Entries of a block that are looked through at a time, with all that share their anchors: it bounds the memory of a block's task.
+TURN = 1 << 18
 _BITS = 12
 _SIDE = 6
 _LENGTHS = 0x9E3779B97F4A7C15
@@ -127,50 +129,69 @@ def _send(size: int, blocks: int, lower: bool):
     return run
 
 
-def _sides(parts: list[bytes]) -> np.ndarray:
-    six = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, _SIDE)
+def _repeated(anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and values of the numbers that occur more than once."""
+    ascending = np.sort(anchor)
+    twice = ascending[1:][ascending[1:] == ascending[:-1]]
+    del ascending
+    if not len(twice):
+        return np.zeros(0, np.int64), anchor[:0]
+    at = np.flatnonzero(twice[np.minimum(np.searchsorted(twice, anchor), len(twice) - 1)] == anchor)
+    return at, anchor[at]
+
+
+def _sides(parts: list[np.ndarray]) -> np.ndarray:
+    six = np.concatenate([np.zeros((0, _SIDE), np.uint8), *parts])
     out = np.zeros((len(six), 8), np.uint8)
     out[:, :_SIDE] = six
     return out.view("<u8").ravel()
 
 
+def _named(spread: int, at: np.ndarray, anchor: np.ndarray, left: np.ndarray, right: np.ndarray, doc: np.ndarray, home: np.ndarray) -> np.ndarray:
+    """Of entries with all that share their anchors: the entry and the bucket to look in, as one number, ascending."""
+    found = []
+    for l in range(spread + 1):
+        r = spread - l
+        there = np.ones(len(at), bool)
+        for side, n in ((left, l), (right, r)):
+            if n:
+                there &= side >> np.uint64(_BITS * (n - 1)) != 0
+        some = np.flatnonzero(there)
+        mask = [np.uint64((1 << (_BITS * n)) - 1) for n in (l, r)]
+        window = mix(mix(anchor[some] + (left[some] & mask[0]) * _L) + (right[some] & mask[1]) * _R)
+        order = np.lexsort((doc[some], window))
+        some, window = some[order], window[order]
+        new = np.r_[True, window[1:] != window[:-1]] if len(some) else np.zeros(0, bool)
+        source = some[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(some) else some
+        other = (doc[source] < doc[some]) & (home[source] != home[some])
+        some, source = some[other], source[other]
+        found.append((at[some] << 32) | home[source])
+        # names the source's own entry: -1, shifted like a bucket
+        found.append((at[np.unique(source)] << 32) | 0xFFFFFFFF)
+    return np.unique(np.concatenate(found))
+
+
 def _index(size: int):
     spread = min(SPREAD, size - 1)
 
     def run(table: pa.Table) -> pa.Table:
         """A block's answers: for each entry, the buckets that hold the smallest document with some window around its anchor."""
         give_back()
-        raw = [table.column(k).to_pylist() for k in ("anchors", "left", "right", "docs")]
-        each = np.array([len(x) // KEY_BYTES for x in raw[0]])
-        bucket = np.repeat(table.column("_bucket").to_numpy(), each)
-        anchor, left, right = read_keys(raw[0]), _sides(raw[1]), _sides(raw[2])
-        doc = np.concatenate([np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view("<i8").ravel() for x in raw[3]])
-        del raw
-        _, which, times = np.unique(anchor, return_inverse=True, return_counts=True)
-        at = np.flatnonzero(times[which] > 1)
-        anchor, left, right, doc, home = anchor[at], left[at], right[at], doc[at], bucket[at]
-        found = []
-        for l in range(spread + 1):
-            r = spread - l
-            there = np.ones(len(at), bool)
-            for side, n in ((left, l), (right, r)):
-                if n:
-                    there &= side >> np.uint64(_BITS * (n - 1)) != 0
-            some = np.flatnonzero(there)
-            mask = [np.uint64((1 << (_BITS * n)) - 1) for n in (l, r)]
-            window = mix(mix(anchor[some] + (left[some] & mask[0]) * _L) + (right[some] & mask[1]) * _R)
-            order = np.lexsort((doc[some], window))
-            some, window = some[order], window[order]
-            new = np.r_[True, window[1:] != window[:-1]] if len(some) else np.zeros(0, bool)
-            source = some[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(some) else some
-            other = (doc[source] < doc[some]) & (home[source] != home[some])
-            some, source = some[other], source[other]
-            found.append((at[some] << 32) | home[source])
-            # names the source's own entry: -1, shifted like a bucket
-            found.append((at[np.unique(source)] << 32) | 0xFFFFFFFF)
-        found = np.unique(np.concatenate(found))
-        entry, target = found >> 32, (found & 0xFFFFFFFF).astype(np.uint32).view(np.int32)
+        sent = {k: [np.frombuffer(x.as_buffer(), np.uint8) for x in table.column(k)] for k in ("anchors", "left", "right", "docs")}
+        each = np.array([len(x) // KEY_BYTES for x in sent["anchors"]])
         base = np.cumsum(each) - each
+        # most anchors are in one message only: of the rest of it, what belongs to the others is unpacked
+        at, anchor = _repeated(read_keys(sent["anchors"]))
+        cut = np.searchsorted(at, np.r_[base, each.sum()])
+        local = [at[x:y] - z for x, y, z in zip(cut[:-1].tolist(), cut[1:].tolist(), base.tolist(), strict=True)]
+        left, right = (_sides([x.reshape(-1, _SIDE)[i] for x, i in zip(sent[k], local, strict=True)]) for k in ("left", "right"))
+        doc = np.concatenate([np.ascontiguousarray(x.reshape(8, -1)[:, i].T).view("<i8").ravel() for x, i in zip(sent["docs"], local, strict=True)])
+        home = np.repeat(table.column("_bucket").to_numpy(), np.diff(cut))
+        del sent, local
+        turns = 1 + len(at) // TURN
+        turn = anchor % np.uint64(turns)
+        found = np.sort(np.concatenate([_named(spread, *(x[i] for x in (at, anchor, left, right, doc, home))) for i in (np.flatnonzero(turn == k) for k in range(turns))]))
+        entry, target = found >> 32, (found & 0xFFFFFFFF).astype(np.uint32).view(np.int32)
         message = np.searchsorted(base, entry, "right") - 1
         # a message without entries has the base of the next
         bounds = np.searchsorted(entry, np.r_[base, each.sum()])
