@@ -317,6 +317,12 @@ def test_near_duplicates_of_a_torn_group(spark):
     assert got == want
 
 
+def test_copies_are_joined_by_shuffles_alone(docs):
+    """Of an aggregate beside it, a join could not split the copies of one document over tasks."""
+    plan = neardup.near_duplicates(docs[1], 2, 0.8)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan and "Aggregate" not in plan
+
+
 def test_recall_of_bands_and_sketches_close_to_the_threshold(spark):
     """Pairs with a similarity from 0.80 to 0.85: how many of them come out linked."""
     rng = np.random.default_rng(12)

@@ -233,7 +233,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) ->
     classes = real.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("head"), F.count("*").alias("n"))
     named = classes.join(of, F.col("head") == F.col("node"), "left").select("k1", "k2", "n_shingles", F.coalesce("component", "head").alias("component_id"), "n", "head")
     # only classes of several documents, or with links, say anything that a document does not know itself
-    named = named.where("n > 1 OR component_id <> head").drop("n", "head")
+    # they are written, so that both sides of the join are shuffled and the copies of one document can be split, however few components there are
+    named = materialize(named.where("n > 1 OR component_id <> head").drop("n", "head"), "named")
     out = signed.select("doc_id", "n_shingles", "k1", "k2").join(named, ["k1", "k2", "n_shingles"], "left")
     root = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", root.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
